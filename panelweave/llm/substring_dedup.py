@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_hash import chunks, inside, windows, words_of
+from .text_hash import chunks, inside, mix, windows, words_of
 
 
 def _smallest(x: np.ndarray, k: int) -> np.ndarray:
@@ -135,7 +135,8 @@ def _packed(batches: Iterator[pd.DataFrame], width: int, anchor: int, buckets: i
 _PACKED = "bucket long, ids array<long>, keys array<long>, sizes array<int>, known binary, full binary, check binary, pos binary"
 
 
-def _positions(rows: pd.DataFrame, keep: np.ndarray | None) -> pd.DataFrame:
+def _dealt(rows: pd.DataFrame, keep: np.ndarray | None, shares: int) -> pd.DataFrame:
+    """The positions kept, packed for each share of the documents."""
     ids = np.concatenate([np.asarray(x, np.int64) for x in rows.ids])
     keys = np.concatenate([np.asarray(x, np.int64) for x in rows["keys"]])
     sizes = np.concatenate([np.asarray(x, np.int64) for x in rows.sizes])
@@ -143,17 +144,25 @@ def _positions(rows: pd.DataFrame, keep: np.ndarray | None) -> pd.DataFrame:
     owner = np.repeat(np.arange(len(sizes)), sizes)
     if keep is not None:
         pos, owner = pos[keep], owner[keep]
-    own, start = np.unique(owner, return_index=True)
-    ends = np.r_[start[1:], len(pos)]
-    return pd.DataFrame({
-        "row_key": ids[own], "text_key": keys[own], "at": [pos[b:e].tobytes() for b, e in zip(start, ends)],
-    })
+    share = mix(keys.view(np.uint64), 3) % np.uint64(shares)
+    order = np.argsort(share[owner], kind="stable")
+    pos, owner = pos[order], owner[order]
+    cuts = np.flatnonzero(np.r_[True, share[owner][1:] != share[owner][:-1]]) if len(owner) else np.zeros(0, np.int64)
+    out = []
+    for b, e in zip(cuts, np.r_[cuts[1:], len(owner)]):
+        start = np.flatnonzero(np.r_[True, owner[b:e][1:] != owner[b:e][:-1]])
+        own = owner[b:e][start]
+        out.append((int(share[own[0]]), ids[own].tobytes(), keys[own].tobytes(), np.diff(np.r_[start, e - b]).astype(np.int32).tobytes(), pos[b:e].tobytes()))
+    return pd.DataFrame(out, columns=["share", "ids", "keys", "sizes", "pos"])
 
 
-def repeated_in_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """The positions of one bucket whose window occurs elsewhere, packed for each document."""
+_SHARED = "share long, ids binary, keys binary, sizes binary, pos binary"
+
+
+def repeated_in_bucket(rows: pd.DataFrame, shares: int = 1) -> pd.DataFrame:
+    """The positions of one bucket whose window occurs elsewhere."""
     if rows.bucket.iloc[0] < 0:
-        return _positions(rows, None)
+        return _dealt(rows, None, shares)
     full = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.full])
     check = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.check])
     known = np.concatenate([np.unpackbits(np.frombuffer(k, np.uint8))[: len(f) // 8] for k, f in zip(rows.known, rows.full)]).astype(bool)
@@ -161,34 +170,38 @@ def repeated_in_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     same = (full[order][1:] == full[order][:-1]) & (check[order][1:] == check[order][:-1])
     again = np.zeros(len(full), bool)
     again[order] = np.r_[same, False] | np.r_[False, same]
-    keep = np.flatnonzero(again | known)
-    if not len(keep):
-        return pd.DataFrame({"row_key": np.zeros(0, np.int64), "text_key": np.zeros(0, np.int64), "at": []})
-    return _positions(rows, keep)
+    return _dealt(rows, np.flatnonzero(again | known), shares)
 
 
-_SPACES = b" \t\n\r\x0b\x0c"
+def intervals_of_share(rows: pd.DataFrame, width: int) -> pd.DataFrame:
+    """One row for each document of a share: its maximal intervals, as begins and ends."""
+    ids, keys = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("ids", "keys"))
+    sizes = np.concatenate([np.frombuffer(x, np.int32) for x in rows.sizes])
+    pos = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.pos]).astype(np.int64)
+    pairs, doc = np.unique(np.stack([ids, keys]), axis=1, return_inverse=True)
+    owner = np.repeat(doc.ravel(), sizes)
+    order = np.lexsort((pos, owner))
+    owner, pos = owner[order], pos[order]
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (pos[1:] - pos[:-1] > width)])  # intervals that touch are one
+    last = np.r_[new[1:], len(pos)] - 1
+    spans = np.stack([pos[new], pos[last] + width], axis=1)
+    cuts = np.searchsorted(owner[new], np.arange(pairs.shape[1] + 1))
+    return pd.DataFrame({"row_key": pairs[0], "text_key": pairs[1], "spans": [spans[a:b].ravel() for a, b in zip(cuts, cuts[1:])]})
 
 
 def _removed(batches: Iterator[pd.DataFrame], width: int, with_text: bool) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for text, packs in zip(pdf.text, pdf.packs):
+        for text, flat in zip(pdf.text, pdf.spans):
             words = [] if text is None else text.encode("utf-8", "surrogatepass").split()
             n = len(words)
-            gone = 0
-            spans: list[tuple[int, int]] = []
-            if packs is not None and len(packs):
-                at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in packs])).astype(np.int64)
-                cut = np.flatnonzero(np.diff(at) > width)  # intervals that touch are one
-                begins, ends = at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + width
-                kept, last = [], 0
-                for b, e in zip(begins.tolist(), ends.tolist()):
-                    kept += words[last:b]
-                    last = e
-                    gone += e - b
-                    spans.append((b, e))
-                words = kept + words[last:]
+            spans = [] if flat is None else np.asarray(flat, np.int64).reshape(-1, 2).tolist()
+            kept, last = [], 0
+            for b, e in spans:
+                kept += words[last:b]
+                last = e
+            words = kept + words[last:]
+            gone = sum(e - b for b, e in spans)
             joined = b" ".join(words)
             row = (n, gone, hashlib.sha256(joined).hexdigest(), [{"begin": b, "end": e} for b, e in spans])
             out.append(row + (joined.decode("utf-8", "surrogatepass"),) if with_text else row)
@@ -213,14 +226,13 @@ def remove_repeats(
     repeated = anchors.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor")
     hits = anchors.join(repeated, "anchor").groupBy(*keys).agg(F.collect_set("anchor").alias("anchors"))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Both joins deal the texts out by the same keys, so Spark shuffles them once and reads that twice.
-    candidates = base.join(hits, keys).select(*keys, "text", "anchors")
+    # Both joins deal the same columns out by the same keys, so Spark shuffles the texts once and reads that twice.
+    columns = ["doc_id", *keys, "text"]
+    candidates = base.join(hits, keys).select(*columns, "anchors")
     packed = candidates.mapInPandas(lambda it: _packed(it, width, anchor, buckets), _PACKED)
-    places = (
-        packed.groupBy("bucket").applyInPandas(repeated_in_bucket, "row_key long, text_key long, at binary")
-        .groupBy(*keys).agg(F.collect_list("at").alias("packs"))
-    )
+    repeats = packed.groupBy("bucket").applyInPandas(lambda g: repeated_in_bucket(g, buckets), _SHARED)
+    places = repeats.groupBy("share").applyInPandas(lambda g: intervals_of_share(g, width), "row_key long, text_key long, spans array<long>")
     schema = "n_words long, n_removed long, kept_sha256 string, removed array<struct<begin:long,end:long>>" + ", kept_text string" * with_text + ", doc_id string"
-    marked = base.join(places, keys, "left").select("doc_id", "text", "packs")
+    marked = base.join(places, keys, "left").select(*columns, "spans")
     result = marked.mapInPandas(lambda it: _removed(it, width, with_text), schema)
     return result.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in result.columns if c != "doc_id"])
