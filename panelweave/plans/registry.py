@@ -33,7 +33,7 @@ def _load() -> None:
         importlib.import_module(f"panelweave.plans.{module}")
 
 
-MODULES: list[str] = []
+MODULES = ["panel_queries", "verb_queries", "linkage_queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
