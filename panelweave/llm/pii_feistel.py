@@ -147,7 +147,7 @@ def pseudonym_sql(v: str, key: str) -> str:
         f"when {kind['ip']} then {ip} when {kind['date']} then {iso} when {kind['day_first']} then {first} when {kind['ssn']} then {ssn} "
         f"when {kind['iban']} then {iban} when {kind['card']} and {valid} then {card} "
         f"when {v} rlike '^[^A-Za-z]*[(+.-][^A-Za-z]*$' then {_phone(v, key)} "
-        f"when {v} rlike '^[0-9a-f]+$' then {hexes} when {kind['secret']} then {_runs(key, v, _quote('secret'))} else {v} end"
+        f"when {v} rlike '^[0-9a-f]*[a-f][0-9a-f]*$' then {hexes} when {kind['secret']} and {v} rlike '[A-Za-z]' then {_runs(key, v, _quote('secret'))} else {v} end"
     )
 
 

@@ -1,0 +1,225 @@
+"""Extraction, classifiers, rules, search, packing, mixing, pseudonyms, pipeline: brute force and edge cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+from html import unescape
+
+import numpy as np
+import pytest
+
+from panelweave.llm.best_fit_packing import default_tokenizer, pack, pack_documents
+from panelweave.llm.html_extract import extract_pages, main_text
+from panelweave.llm.permutation_index import nearest
+from panelweave.llm.pii_feistel import DEFAULT_KEY, ROUNDS, pseudonymise
+from panelweave.llm.quality_classifier import score_quality
+from panelweave.llm.source_mixing import mix_sources
+from panelweave.llm.tokenizer_fertility import quality_rules
+from panelweave.llm.toxicity_grammar import Grammar, score_toxicity
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, words int"
+ODD = [(1, None), (2, ""), (3, " \n\t"), (None, "no id here at all"), (5, "same row"), (5, "same row"), (6, "long " * 30_000), (7, "Ünïcode 日本語 🙂 " * 5)]
+
+
+def frame(spark, rows, lang="en"):
+    return spark.createDataFrame([(d, t, lang, None, 0, 0.5, 1) for d, t in rows], DOC)
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_main_text_rules():
+    page = (
+        "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><header>Site</header>"
+        "<div class='cookie-notice'>We use cookies, as all do.</div><div id=main><article><h1>A &amp; B</h1><p>First <b>bold</b>\n  text, that goes on and on, with marks.<p>Er."
+        "<script>var a='</p>';</script><blockquote>A quote, said so.</blockquote><ul><li>one<li>two</ul></article>"
+        "<section class='comments'><p>I liked this very much, thank you all, it was great.</p></section></div><aside>Side text, long enough to matter, you would think.</aside><form>Name <input></form><footer>&copy; x</footer>"
+    )
+    assert main_text(page) == "A & B\nFirst bold text, that goes on and on, with marks.\nEr.\nA quote, said so.\none\ntwo"
+    assert main_text(None) == main_text("") == main_text("<nav>x</nav>") == ""
+    assert main_text("plain words, no tags.") == "plain words, no tags."
+    divs = "<body><div class=menu><a>a</a></div><div class=content><div class=post><p>Long text here, with commas, and more of it.</p><p>Also this one, of some length.</p></div></div><div class=footer>foot</div></body>"
+    assert main_text(divs) == "Long text here, with commas, and more of it.\nAlso this one, of some length."
+
+
+def test_extract_pages(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r for r in extract_pages(pages).collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ")
+        blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert got[r.page_id].text == "\n".join(b for b in blocks if b) and got[r.page_id].n_chars == len(got[r.page_id].text)
+    odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", "")], "page_id long, url string, html string")
+    assert [r.text for r in extract_pages(odd).collect()] == ["", "", ""] and extract_pages(odd.limit(0)).count() == 0
+
+
+def test_quality_rules_base(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in quality_rules(docs).collect()}
+    for d in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", d.text)
+        seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        repeat = len({j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)})
+        lines = [x for x in d.text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = rows[d.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", d.text)), len(lines) - len(set(lines)), repeat)
+        assert r.base_failed == (len(w) < 10 or 100 * repeat > 20 * len(w)) and not (r.base_failed and r.kept)
+
+
+def test_quality_rules_edges(spark):
+    assert quality_rules(frame(spark, ODD)).count() == len(ODD) and quality_rules(frame(spark, [])).count() == 0
+    junk = quality_rules(frame(spark, [(1, " ".join("\U00010A7D" * 9 for _ in range(12)) + " a b c d e f g h i j k")], "xx")).first()
+    assert junk.byte_share > 0.5
+
+
+@pytest.mark.parametrize("score", [score_quality, score_toxicity])
+def test_classifiers_edges(spark, score):
+    docs = frame(spark, ODD)
+    for rows in ([], [(1, 1, 0)], [(1, None, None), (None, 1, 1), (6, 0, 1), (6, 1, 0)]):
+        got = score(docs, labels(spark, rows)).collect()
+        assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+        assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert score(docs.limit(0), labels(spark, [])).count() == 0
+
+
+
+
+@pytest.mark.parametrize("score,label,least", [(score_quality, "quality", 0.95), (score_toxicity, "toxic", 0.9)])
+def test_held_out_accuracy(spark, score, label, least):
+    d = "/root/testdata/sf0.01"
+    docs, lab = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = score(docs, lab).filter("held_out").join(lab, "doc_id").collect()
+    assert np.mean([r.predicted == r[label] for r in rows]) >= least
+
+
+def test_grammar_clauses():
+    g = Grammar({"idiot": 4.0, "lowe*": 3.0})
+    plain, negated, told = (g.clauses(t)[0][0] for t in ("an idiot here", "not an idiot here", "someone said idiot here"))
+    assert negated < plain and told < plain and g.clauses("you idiot")[0][0] > plain
+    assert g.clauses("I kill time") == [] and g.clauses("they will kill")[0][0] > 0
+    assert g.features("nothing to see") == (0.0, 0.0, 0.0) and g.features("Loweabc.")[0] > 0
+
+
+def test_nearest_recall_and_ties(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[700] = x[50]
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(9000, None, 0), (9050, [0.0] * 16, 0), (9100, [float("nan")] * 16, 0), (None, [1.0] * 16, 0), (9150, [None] * 16, 0), (9200, [1.0, 2.0], 0), (50, [float(v) for v in x[50]], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    got = defaultdict(list)
+    for r in nearest(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 1500, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len({v for v, _ in got[q]} & set(np.lexsort((np.arange(1500), -s))[:5].tolist()))
+        assert all(abs(c - s[v]) < 1e-9 for v, c in got[q])
+    assert set(got) == set(range(0, 1500, 50)) and hits >= 0.9 * 150 and got[50][0][0] == 700
+    assert nearest(df.limit(0)).count() == 0
+
+
+def test_packing(spark, sf):
+    from tokenizers import Tokenizer
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(d and -d, t) for d, t in ODD if d != 5] + [(1000, "a  b <|endoftext|> c"), (1001, " x \n y ")]
+    got = pack_documents(frame(spark, rows)).collect()
+    model = Tokenizer.from_file(default_tokenizer())
+    docs, bins = defaultdict(list), defaultdict(list)
+    for r in got:
+        docs[r.doc_id].append(r)
+        bins[r.sequence_id].append((r.offset, r.length))
+    for d, t in rows:
+        ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        pieces = sorted(docs[d], key=lambda r: r.piece)
+        assert [r.piece for r in pieces] == list(range(len(pieces))) and sum(r.length for r in pieces) == len(ids)
+        assert all(r.length == 1024 for r in pieces[1:])
+        for r in pieces:
+            assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == np.cumsum([0, *[n for _, n in b]])[:-1].tolist() and sum(n for _, n in b) <= 1024
+    total = sum(r.length for r in got)
+    assert len(bins) <= 1.02 * total / 1024 + 2
+    assert pack_documents(frame(spark, [])).count() == 0 and pack_documents(frame(spark, [(5, "x"), (5, "x")])).count() == 2
+
+
+def test_local_search_swaps():
+    assert len(pack(np.array([6, 5, 5, 4, 4, 3, 3]), 10)) == 3
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 1024, 400)
+    bins = pack(sizes, 1024)
+    assert sorted(i for b in bins for i in b) == list(range(400)) and all(sizes[b].sum() <= 1024 for b in bins)
+
+
+def test_mixing_targets(spark):
+    rows = [(i, "w " * (5 + i % 90), ("en", "de")[i % 5 == 0], ("a", "b", None)[i % 7 % 3], 0, 0.1, 1) for i in range(3000)] + [(None, None, None, None, 0, 0.1, 1), (1, "", "en", "a", 0, 0.1, 1)]
+    docs = spark.createDataFrame(rows, DOC)
+    targets = {"source": {"a": 0.5, "b": 0.3}, "lang": {"en": 0.6, "de": 0.4}}
+    got = mix_sources(docs, targets=targets, rounds=30).collect()
+    assert len(got) == len(rows)
+    total = sum(r.n_tokens for r in got)
+    for margin, shares in targets.items():
+        for value, share in shares.items():
+            assert abs(sum(r.n_tokens * r.weight for r in got if r[margin] == value) / total - share) < 1e-3
+    kept = sum(r.n_tokens * r.design_weight for r in got if r.selected)
+    assert abs(kept / total - 1) < 0.15 and all(r.probability <= 1 for r in got)
+    assert mix_sources(docs.limit(0)).count() == 0
+    assert mix_sources(docs, carry=True).columns == [*docs.columns, "mix"]
+
+
+def feistel_digits(x, kind):
+    n = len(x)
+    h = n // 2
+    a, b, left, right = 10**h, 10 ** (n - h), int(x[:h] or 0), int(x[h:])
+    for i in range(ROUNDS):
+        f = lambda v: int(hashlib.sha256(f"{DEFAULT_KEY}|{kind}/10/{n}|{i}|{v}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        if i % 2 == 0:
+            left = (left + f(right) % a) % a
+        else:
+            right = (right + f(left) % b) % b
+    return (f"{left:0{h}d}" if h else "") + f"{right:0{n - h}d}"
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pseudonyms(spark):
+    ssn, card = "123-45-6789", "4111 1111 1111 1111"
+    texts = [f"a {ssn} b", f"{ssn}; {card}", "IBAN DE89 3704 0044 0532 0130 00, born 1987-02-28", "x@y.org at 10.0.0.1 +1 (456) 555-2186", "4111111111111112 1987-02-30 999.1.1.1 1.2.3", None, "", "plain"]
+    got = [r.text for r in pseudonymise(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    new = feistel_digits("123456789", "ssn")
+    assert got[0] == f"a {new[:3]}-{new[3:5]}-{new[5:]} b" and got[1].startswith(got[0][2:-2])
+    number = got[1].split("; ")[1].replace(" ", "")
+    assert number != card.replace(" ", "") and number[0] == "4" and luhn(number) and number[1:-1] == feistel_digits("11111111111111", "card")
+    iban = re.search(r"DE[\d ]+", got[2])[0].replace(" ", "")
+    assert iban != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert re.search(r"born \d{4}-\d\d-\d\d$", got[2]) and "1987-02-28" not in got[2]
+    assert re.fullmatch(r"[a-z]@y\.org at (\d+\.){3}\d+ \+1 \(\d{3}\) \d{3}-\d{4}", got[3]) and "10.0.0.1" not in got[3] and "555-2186" not in got[3]
+    assert got[4:] == texts[4:]
+    many = [f"{i:09d}" for i in range(0, 10**9, 4_000_037)]
+    assert len({feistel_digits(x, "ssn") for x in many}) == len(many)
+    assert pseudonymise(frame(spark, [])).count() == 0 and pseudonymise(frame(spark, ODD)).count() == len(ODD)
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = frame(spark, [*ODD, (8, None)]).select(*docs.columns)
+    for name, stage in P.STAGES:
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+        out = stage(spark, odd, sf)
+        assert name == "best_fit_packing" or out.columns == docs.columns
+        out.collect()
+    copies = frame(spark, [(i, " ".join(f"w{j}" for j in range(50)) + f" {i % 2}") for i in range(8)] + [(20, "z " * 3)]).select(*docs.columns)
+    assert sorted(r.doc_id for r in P.near_duplicate_stage(spark, copies, sf).collect()) == [0, 20]
+    packed = P.run(spark, sf)
+    kept = {r.doc_id for r in quality_rules(docs).filter("kept").collect()}
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} <= kept
