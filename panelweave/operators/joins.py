@@ -80,15 +80,16 @@ def nearest_point(left: DataFrame, right: DataFrame, id_col: str, lat: str, lon:
 
     def cells(b):
         """Longitude cells of a band: none narrower than the radius at its edge farthest from the equator."""
-        edge = F.least(F.lit(89.0), F.greatest(F.abs(b * step), F.abs((b + 1) * step)))
-        return F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.cos(F.radians(edge)) / step)).cast("long")
+        edge = F.greatest(F.abs(b * step), F.abs((b + 1) * step))
+        wide = F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.cos(F.radians(edge)) / step)).cast("long")
+        return F.when(edge >= 89, F.lit(1)).otherwise(wide)  # one cell around a pole
 
     def cell(c, n):
         return F.pmod(F.floor((F.col(c) + 180.0) / 360.0 * n).cast("long"), n)
 
     r = right.filter(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull()).withColumn("_b", band(right_lat)).withColumn("_c", cell(right_lon, cells(F.col("_b"))))
     l = left.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_b", F.explode(F.array(*[band(lat) + d for d in (-1, 0, 1)])))
-    n = cells(F.col("_b"))
+    n = cells(F.col("_b"))  # a band next to the pole's may reach into it
     l = l.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(cell(lon, n) + d, n) for d in (-1, 0, 1)]))))
     pairs = l.join(r, ["_b", "_c"]).withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon))).filter(F.col("km") <= radius_km)
     return pairs.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy("km", right_id))).filter("_r = 1").drop("_r", "_b", "_c")
@@ -148,12 +149,14 @@ def keyword_hits(docs: DataFrame, words: DataFrame, doc_id: str, text: str, word
     lengths = sorted(r[0] for r in p.select("_n").distinct().collect())
     if not lengths:
         return docs.select(doc_id).join(words.select(word_id).limit(0), F.lit(False))
-    w = norm(F.col(text))
+    # The words are a column of their own, so that no gram splits the text again.
+    worded = docs.select(doc_id, norm(F.col(text)).alias("_w"))
+    w = F.col("_w")
 
     def grams_of(n: int) -> Column:
         some = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
         return F.when(F.size(w) >= n, some).otherwise(F.array().cast("array<string>"))
 
     grams = F.flatten(F.array(*[grams_of(n) for n in lengths]))
-    g = docs.select(doc_id, F.explode(F.array_distinct(grams)).alias("_g"))
+    g = worded.select(doc_id, F.explode(F.array_distinct(grams)).alias("_g"))
     return g.join(p.select(word_id, "_g").distinct(), "_g").select(doc_id, word_id).distinct()

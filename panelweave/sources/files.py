@@ -49,9 +49,8 @@ def tolerant_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def equivalent_pairs(lists: DataFrame, values: str = "values") -> DataFrame:
     """Symmetric pairs of the names of each row."""
-    numbered = lists.select(F.monotonically_increasing_id().alias("row"), F.explode(F.array_distinct(values)).alias("name1"))
-    other = numbered.withColumnRenamed("name1", "name2")
-    return numbered.join(other, "row").filter("name1 <> name2").select("name1", "name2").distinct()
+    one = lists.select(F.col(values).alias("_v"), F.explode(values).alias("name1"))
+    return one.select("name1", F.explode("_v").alias("name2")).filter("name1 <> name2").distinct()
 
 
 def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, **options) -> DataFrame:
