@@ -17,7 +17,7 @@ class WordCache:
     words, they are halved until it does or a word stands alone.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], opens: np.ndarray, dtype=np.uint16, prefix: str = "", mark: str | None = None, most: int = 500_000):
+    def __init__(self, encode: Callable[[str], list[int]], opens: np.ndarray, dtype=np.uint16, prefix: str = "", mark: str | None = None, most: int = 250_000):
         self.encode, self.opens, self.dtype, self.prefix, self.mark, self.most = encode, opens, dtype, prefix, mark, most
         self.forget()
 
