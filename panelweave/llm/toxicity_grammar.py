@@ -7,9 +7,10 @@ once over a clause.  A text's score is a logistic function of the weights of its
 matched clauses, never of single words.
 
 Insults are a trie of words and word beginnings with weights.  Besides a short
-fixed list they are learned from a bounded sample of labelled rows: a word or a
-beginning is taken if a fair share of different toxic texts has it and clean
-texts hardly do.
+fixed list they are learned from a bounded sample of labelled rows.  A word is
+taken if a fair share of different toxic texts has it and clean texts hardly do;
+a beginning if that holds for texts with two or more different longer words that
+start so, as an inflected insult shows in several endings and chance doesn't.
 
 Edge cases: null and empty texts have no clause and get the score of a text
 without matches; without usable labels the fixed list and coefficients serve;
@@ -40,6 +41,10 @@ NEGATIONS = "not no never isn't aren't wasn't don't without nicht kein keine nie
 REPORTS = "said says say called calls quoted according alleged reportedly sagte sagt nannte zufolge angeblich dit disait appelé selon dijo dice llamó según".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+FEATURES = ("total", "strongest", "matches", "variety")
+FEATURE_SCHEMA = ", ".join(f"{name} double" for name in FEATURES)
+#: Lengths of the beginnings that are tried.
+BEGINNINGS = (4, 5, 6, 7, 8)
 _CLAUSE = re.compile(r"[.,;:!?\n]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -98,16 +103,18 @@ def compose(parts: list[Transducer]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Grammar:
-    weights: dict[str, float]  # insult words and beginnings ("abc*")
-    coefficients: tuple[float, ...] = (-4.0, 2.0, 0.5, 0.5)
+    weights: dict[str, float]  # insult words, beginnings ("abc*") and beginnings of longer words only ("abc+")
+    coefficients: tuple[float, ...] = (-4.0, 2.0, 0.5, 0.5, 0.5)
     follow: list = field(default_factory=list)
     factor: list = field(default_factory=list)
 
     def __post_init__(self) -> None:
         follow, factor = compose([_insult(), _threat(), _target(), _negation(), _reported()])
         self.follow, self.factor = follow.tolist(), factor.tolist()
-        self.words = {w: (INSULT, v) for w, v in self.weights.items() if not w.endswith("*")}
-        self.begins = {w[:-1]: (INSULT, v) for w, v in self.weights.items() if w.endswith("*")}
+        self.words = {w: (INSULT, v) for w, v in self.weights.items() if w[-1] not in "*+"}
+        self.begins = {w[:-1]: (INSULT, v) for w, v in self.weights.items() if w[-1] in "*+"}
+        # A bare beginning of longer words is no insult by itself.
+        self.words |= {w[:-1]: (OTHER, 0.0) for w in self.weights if w.endswith("+") and w[:-1] not in self.words}
         for symbol, names in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             for w in names:
                 (self.begins if w.endswith("*") else self.words).setdefault(w.rstrip("*"), (symbol, 3.0))
@@ -138,34 +145,41 @@ class Grammar:
 
     def clauses(self, text: str) -> list[tuple[float, str]]:
         """Matched clauses with their weights."""
+        return [(weight, clause) for weight, clause, _ in self._matches(text)]
+
+    def _matches(self, text: str) -> list[tuple[float, str, list[str]]]:
         out = []
         for clause in _CLAUSE.split(text.lower()):
-            state, weight = 0, 0.0
+            state, weight, read = 0, 0.0, []
             for raw in clause.split():
-                symbol, value = self.classify(raw if raw.isalpha() else _EDGE.sub("", raw))
+                word = raw if raw.isalpha() else _EDGE.sub("", raw)
+                symbol, value = self.classify(word)
                 if symbol in (INSULT, THREAT):
                     weight += value * self.factor[state][symbol]
+                    read.append(word)
                 state = self.follow[state][symbol]
             if weight > 0:
-                out.append((weight, clause.strip()))
+                out.append((weight, clause.strip(), read))
         return out
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        w = [x for x, _ in self.clauses(text)]
-        return (float(np.log1p(sum(w))), max(w), float(np.log1p(len(w)))) if w else (0.0, 0.0, 0.0)
+    def features(self, text: str) -> tuple[float, ...]:
+        """FEATURES of a text: summed weight, greatest weight and number of its different matched clauses, different insults and threats in them."""
+        found = list({clause: (weight, clause, read) for weight, clause, read in self._matches(text)}.values())
+        if not found:
+            return (0.0,) * len(FEATURES)
+        w = [x for x, _, _ in found]
+        return float(np.log1p(sum(w))), max(w), float(np.log1p(len(w))), float(np.log1p(len({x for _, _, read in found for x in read})))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.coefficients[0] + x @ np.array(self.coefficients[1:]), -30, 30)))
 
 
 def _terms(text: str) -> set[str]:
-    found = set()
-    for raw in set(text.lower().split()):
-        w = raw if raw.isalpha() else _EDGE.sub("", raw)
-        if w.isalpha() and len(w) > 2:
-            found.add(w)
-            found.update(w[:n] + "*" for n in (4, 5, 6) if n < len(w))
-    return found
+    """Words of a text, and beginnings of two or more different longer words."""
+    words = {raw if raw.isalpha() else _EDGE.sub("", raw) for raw in set(text.lower().split())}
+    words = {w for w in words if w.isalpha() and len(w) > 2}
+    begins = Counter(w[:n] + "+" for w in words for n in BEGINNINGS if n < len(w))
+    return words | {b for b, n in begins.items() if n > 1}
 
 
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,26 +193,20 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn_weights(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Log odds of words and beginnings, the shortest that tell; a bounded list."""
+    """Log odds of words and beginnings; of those that overlap the one that tells most (support times log odds, then the longer)."""
     least = max(3, round(0.02 * n_toxic))
     counts = (
         sample.mapInPandas(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .withColumn("weight", F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0)))
         .filter((F.col("toxic") >= least) & (F.col("weight") >= 3.0) & (F.col("clean") * 4 <= F.col("toxic")))
-        .orderBy(F.desc("weight"), "term").limit(3000)
+        .withColumn("tells", F.col("toxic") * F.col("weight")).orderBy(F.desc("tells"), F.desc(F.length("term")), "term").limit(3000)
     )
-    found = {r.term: (float(r.weight), r.toxic) for r in counts.collect()}
     out: dict[str, float] = {}
-    for term in sorted(found, key=lambda t: (len(t.rstrip("*")), t)):
-        stem = term.rstrip("*")
-        if any(stem[:n] + "*" in out for n in (4, 5, 6) if n <= len(stem)):
-            continue
-        weight, times = found[term]
-        if term.endswith("*"):
-            # A beginning is taken only if it stands for several words; else the word itself is.
-            if any(w.startswith(stem) and not w.endswith("*") and n >= 0.9 * times for w, (_, n) in found.items()):
-                continue
-        out[term] = weight
+    for r in counts.collect():
+        stem = r.term.rstrip("+")
+        covered = any(stem[:n] + "+" in out for n in BEGINNINGS if n <= len(stem))
+        if not covered and not (r.term.endswith("+") and any(t.startswith(stem) for t in out)):
+            out[r.term] = float(r.weight)
     return out
 
 
@@ -218,9 +226,9 @@ def _features(batches: Iterator[pd.DataFrame], grammar: Grammar) -> Iterator[pd.
         rows = []
         for text in pdf.text:
             text = (text or "").lower()
-            rows.append(grammar.features(text) if text and next(finder.iter(text), None) else (0.0, 0.0, 0.0))
-        x = np.array(rows, float).reshape(len(rows), 3)
-        yield pd.DataFrame({"doc_id": pdf.doc_id, "total": x[:, 0], "strongest": x[:, 1], "matches": x[:, 2]})
+            rows.append(grammar.features(text) if text and next(finder.iter(text), None) else (0.0,) * len(FEATURES))
+        x = np.array(rows, float).reshape(len(rows), len(FEATURES))
+        yield pd.DataFrame({"doc_id": pdf.doc_id} | {name: x[:, i] for i, name in enumerate(FEATURES)})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELS) -> Grammar:
@@ -233,20 +241,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
         return Grammar(seeds)
     grammar = Grammar(seeds | learn_weights(sample.select("text", "label"), sizes[1], sizes[0]))
     rows = sample.select("doc_id", "text", "label").join(
-        sample.select("doc_id", "text").mapInPandas(lambda it: _features(it, grammar), "doc_id long, total double, strongest double, matches double"), "doc_id"
-    ).select("doc_id", "label", "total", "strongest", "matches").toPandas().sort_values("doc_id")
-    grammar.coefficients = _fit(rows[["total", "strongest", "matches"]].to_numpy(), rows.label.to_numpy(float))
+        sample.select("doc_id", "text").mapInPandas(lambda it: _features(it, grammar), f"doc_id long, {FEATURE_SCHEMA}"), "doc_id"
+    ).select("doc_id", "label", *FEATURES).toPandas().sort_values("doc_id")
+    grammar.coefficients = _fit(rows[list(FEATURES)].to_numpy(), rows.label.to_numpy(float))
     return grammar
 
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, most: int = MOST_LABELS
 ) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score``, ``predicted`` and the three clause features for each row of ``docs``."""
+    """``doc_id``, ``held_out``, ``score``, ``predicted`` and the clause features (FEATURES) for each row of ``docs``."""
     grammar = train(docs, labels, label, id_col, text_col, most)
     base = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    found = base.mapInPandas(lambda it: _features(it, grammar), "doc_id string, total double, strongest double, matches double")
-    a, b, c, d = grammar.coefficients
-    logit = F.lit(a) + F.lit(b) * F.col("total") + F.lit(c) * F.col("strongest") + F.lit(d) * F.col("matches")
+    found = base.mapInPandas(lambda it: _features(it, grammar), f"doc_id string, {FEATURE_SCHEMA}")
+    logit = F.lit(grammar.coefficients[0])
+    for name, weight in zip(FEATURES, grammar.coefficients[1:]):
+        logit = logit + F.lit(weight) * F.col(name)
     scored = found.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("score", 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit)))))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "total", "strongest", "matches")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *FEATURES)

@@ -99,7 +99,7 @@ def test_grammar_clauses():
     plain, negated, told = (g.clauses(t)[0][0] for t in ("an idiot here", "not an idiot here", "someone said idiot here"))
     assert negated < plain and told < plain and g.clauses("you idiot")[0][0] > plain
     assert g.clauses("I kill time") == [] and g.clauses("they will kill")[0][0] > 0
-    assert g.features("nothing to see") == (0.0, 0.0, 0.0) and g.features("Loweabc.")[0] > 0
+    assert g.features("nothing to see") == (0.0, 0.0, 0.0, 0.0) and g.features("Loweabc.")[0] > 0
 
 
 def test_nearest_recall_and_ties(spark):
