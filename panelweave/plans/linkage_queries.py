@@ -22,7 +22,7 @@ def nearest_year(spark, d):
     return J.nearest_time(few, busy, ["o_custkey"], "row", "year", "f_year", "f_year", 5).select("o_custkey", "year", "f_year", "time_diff")
 
 
-@register("q_lev_blocked_join", "select a.p_partkey as id1, b.p_partkey as id2, levenshtein(a.p_name, b.p_name) as lev from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey where levenshtein(a.p_name, b.p_name) <= 6")
+@register("q_lev_blocked_join", "select a.p_partkey as id1, b.p_partkey as id2, levenshtein(a.p_name, b.p_name)::int as lev from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey where levenshtein(a.p_name, b.p_name) <= 6")
 def lev_join(spark, d):
     p = table(spark, d, "part")
     a = p.select("p_brand", "p_size", F.col("p_partkey").alias("id1"), F.col("p_name").alias("a"))

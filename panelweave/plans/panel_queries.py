@@ -87,9 +87,9 @@ def future_flags(spark, d):
     return P.future_any(yearly(spark, d), ["o_custkey"], "year", F.col("n") >= 3, "busy_later").select("o_custkey", "year", "busy_later")
 
 
-@register("q_running_counts", f"""with {YEARLY} select o_custkey, year, sum(n) over w as running_sum, max(n) over w as running_max, year <> lag(year) over (partition by o_custkey order by year) + 1 as skipped from yearly window w as (partition by o_custkey order by year rows unbounded preceding)""")
+@register("q_running_counts", f"""with {YEARLY} select o_custkey, year, (sum(n) over w)::bigint as running_sum, max(n) over w as running_max, year <> lag(year) over (partition by o_custkey order by year) + 1 as skipped from yearly window w as (partition by o_custkey order by year rows unbounded preceding)""")
 def running(spark, d):
-    return P.running(yearly(spark, d), ["o_custkey"], "year", "n").select("o_custkey", "year", F.col("running_sum").cast("decimal(38,0)"), "running_max", "skipped")
+    return P.running(yearly(spark, d), ["o_custkey"], "year", "n").select("o_custkey", "year", "running_sum", "running_max", "skipped")
 
 
 @register("q_values_before", f"""with {YEARLY} select o_custkey, year, array_to_string(list_sort(list_distinct(coalesce(list(priority) over (partition by o_custkey order by year rows between unbounded preceding and 1 preceding), []))), ';') as before from yearly""")

@@ -121,7 +121,7 @@ def row_reductions(spark, d):
 def sets_and_codes(spark, d):
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     a, b = o.select(F.col("o_custkey").alias("k")), c.select(F.col("c_custkey").alias("k"))
-    parts = [a.union(b).distinct().agg(F.count("*").alias("n_union")), b.intersect(a).agg(F.count("*").alias("n_both")), b.subtract(a).agg(F.count("*").alias("n_only")), V.codes(o, "o_orderpriority", "code").agg(F.max("code").alias("n_codes"))]
+    parts = [a.union(b).distinct().agg(F.count("*").alias("n_union")), b.intersect(a).agg(F.count("*").alias("n_both")), b.subtract(a).agg(F.count("*").alias("n_only")), V.codes(o, "o_orderpriority", "code").agg(F.max("code").cast("long").alias("n_codes"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(F.broadcast(p))  # one row each
@@ -134,7 +134,7 @@ def sample_by_group(spark, d):
 
 
 @register("q_text_scalars", r"""select p_partkey, lower(trim(regexp_replace(regexp_replace(replace(p_name, '-', ' '), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g'))) as cleaned, lpad(p_partkey::varchar, 6, '0') as padded, regexp_replace(p_brand, '[^0-9]', '', 'g') as digits,
-levenshtein(p_name, p_type) as lev, round(levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) as nlev, round(jaro_winkler_similarity(p_name, p_type), 6) as jw from part where length(p_partkey::varchar) <= 6""")
+levenshtein(p_name, p_type)::int as lev, round(levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) as nlev, round(jaro_winkler_similarity(p_name, p_type), 6) as jw from part where length(p_partkey::varchar) <= 6""")
 def text_scalars(spark, d):
     a, b = F.col("p_name"), F.col("p_type")
     return table(spark, d, "part").select("p_partkey", T.clean(a).alias("cleaned"), T.pad_id(F.col("p_partkey")).alias("padded"), T.digits(F.col("p_brand")).alias("digits"), F.levenshtein(a, b).alias("lev"), F.round(T.normalized_levenshtein(a, b), 6).alias("nlev"), F.round(T.jaro_winkler(a, b), 6).alias("jw"))
