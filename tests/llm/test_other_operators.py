@@ -16,7 +16,7 @@ from panelweave.llm.pii_feistel import DEFAULT_KEY, ROUNDS, pseudonymise
 from panelweave.llm.quality_classifier import score_quality
 from panelweave.llm.source_mixing import mix_sources
 from panelweave.llm.tokenizer_fertility import quality_rules
-from panelweave.llm.toxicity_grammar import Grammar, score_toxicity
+from panelweave.llm.toxicity_grammar import Grammar, learn_weights, score_toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, words int"
 ODD = [(1, None), (2, ""), (3, " \n\t"), (None, "no id here at all"), (5, "same row"), (5, "same row"), (6, "long " * 30_000), (7, "Ünïcode 日本語 🙂 " * 5)]
@@ -223,3 +223,16 @@ def test_pipeline_stages(spark, sf):
     packed = P.run(spark, sf)
     kept = {r.doc_id for r in quality_rules(docs).filter("kept").collect()}
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} <= kept
+
+
+def test_beginnings_need_several_endings(spark):
+    """An insult learned by its beginning counts with an ending, the bare beginning doesn't."""
+    toxic = [f"some text number {i} has brelka{a} and then brelka{b} in it" for i, (a, b) in enumerate([("no", "ta"), ("mi", "ro"), ("ta", "mi"), ("ro", "no")] * 10)]
+    clean = [f"some text number {i} has brelka and brelkano in it" for i in range(40, 60)] + [f"some text number {i} is plain" for i in range(60, 400)]
+    rows = [(i, t, int(i < 40)) for i, t in enumerate(toxic + clean)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int").select("text", "label")
+    weights = learn_weights(sample, len(toxic), len(clean))
+    begins = [w for w in weights if w.endswith("+")]
+    assert begins and all("brelka".startswith(w[:-1]) or w.startswith("brelka") for w in begins)
+    g = Grammar({"brelka+": 4.0})
+    assert g.clauses("a brelka here") == [] and g.clauses("a brelkano here")
