@@ -55,3 +55,30 @@ def widest_pair(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     once = df.select(*keys, value).dropDuplicates()
     pairs = once.join(once.withColumnRenamed(value, "_other"), list(keys), "left").filter(f"`{value}` is null or _other is null or `{value}` <= _other")
     return pairs.groupBy(*keys).agg(F.max(F.levenshtein(value, "_other")).alias("widest"))
+
+
+def precedence(outcomes: Sequence[tuple[str, Column, Column]]) -> Column:
+    """A struct (``value``, ``reason``) from the first rule whose condition holds; rules are (reason, condition, value).
+
+    A null condition doesn't hold; a rule may hold with a null value, which then
+    stands, as a period that must stay unknown does.  Both null if none holds.
+    """
+    value = reason = None
+    for name, condition, result in outcomes:
+        value = F.when(condition, result) if value is None else value.when(condition, result)
+        reason = F.when(condition, F.lit(name)) if reason is None else reason.when(condition, F.lit(name))
+    return F.struct(value.alias("value"), reason.alias("reason"))
+
+
+def joint_outcome(a: Column, b: Column) -> Column:
+    """Two 0/1 outcomes as one label: joint, first, second, neither; missing if either is null."""
+    return (
+        F.when(a.isNull() | b.isNull(), "missing").when((a == 1) & (b == 1), "joint").when(a == 1, "first").when(b == 1, "second").otherwise("neither")
+    )
+
+
+def conditional_means(df: DataFrame, keys: Sequence[str], entity: str, condition: Column, value: str) -> DataFrame:
+    """``mean``, ``se`` (sd by the root of n; null under two values), ``n``, ``n_entities`` of the non-null values under a condition, by key; all keys stay."""
+    v = F.when(condition, F.col(value))
+    out = df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("_sd"), F.count(v).alias("n"), F.countDistinct(F.when(v.isNotNull(), F.col(entity))).alias("n_entities"))
+    return out.withColumn("se", F.when(F.col("n") > 1, F.col("_sd") / F.sqrt("n"))).drop("_sd")

@@ -31,3 +31,12 @@ def test_pair_rates_and_empty(spark):
 def test_widest_pair(spark):
     df = spark.createDataFrame([(1, "abc"), (1, "abd"), (1, "xyz"), (2, "q"), (3, None)], "k int, v string")
     assert {r.k: r.widest for r in C.widest_pair(df, ["k"], "v").collect()} == {1: 3, 2: 0, 3: None}
+
+
+def test_precedence_joint_and_means(spark):
+    df = spark.createDataFrame([(1, 1, 1, 2.0), (1, 0, None, 4.0), (2, 0, 0, None)], "k int, a int, b int, v double")
+    rules = [("unknown", F.col("b").isNull(), F.lit(None).cast("int")), ("both", (F.col("a") == 1) & (F.col("b") == 1), F.lit(1))]
+    rows = df.select(C.precedence(rules).alias("o"), C.joint_outcome(F.col("a"), F.col("b")).alias("j")).collect()
+    assert [(r.o.value, r.o.reason, r.j) for r in rows] == [(1, "both", "joint"), (None, "unknown", "missing"), (None, None, "neither")]
+    means = {r.k: (r["mean"], r.se, r.n, r.n_entities) for r in C.conditional_means(df, ["k"], "a", F.lit(True), "v").collect()}
+    assert means == {1: (3.0, 1.0, 2, 2), 2: (None, None, 0, 0)}
