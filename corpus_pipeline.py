@@ -16,14 +16,14 @@ from panelweave.llm.jaccard_join import jaccard_classes
 from panelweave.llm.jobs import shared_folder
 from panelweave.llm.pii_feistel import pseudonymise_column
 from panelweave.llm.source_mixing import mix_sources
-from panelweave.llm.tokenizer_fertility import fertility_column
+from panelweave.llm.tokenizer_fertility import fertility_column, measured_bands
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    judged = docs.select(*COLUMNS, fertility_column(F.col("text"), F.col("lang")).alias("verdict"))
+    judged = docs.select(*COLUMNS, fertility_column(F.col("text"), F.col("lang"), bands=measured_bands(docs)).alias("verdict"))
     return judged.filter("verdict.kept").select(*COLUMNS)
 
 

@@ -7,6 +7,12 @@ bits, divided by the greatest value that its number of tokens allows.  Each has
 a rejection band for the document's language; a language without bands of its
 own takes those of the script most of its letters belong to.
 
+Within these fixed bands a language with ``LEAST_DOCS`` judged documents or more
+has narrower ones, measured over the whole table: medians less or more so many
+quartile ranges.  As the entropy falls with the length of a text, its median and
+range are taken for each half octave of tokens and carried on in between, and
+only a low one rejects.  The byte share has its fixed band only.
+
 Base counts (words, symbols, repeated lines and words) come with the verdict.
 
 Edge cases: null and empty texts have no words and fail the base rule; a text
@@ -18,10 +24,11 @@ a result, repeated or not; other columns are ignored.
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text_hash import chunks, inside, mix, windows, words_of
@@ -45,6 +52,11 @@ SCRIPT_BANDS = {
     "cjk": (0.3, 4.0, 0.90, 0.20),
     "other": (0.25, 10.0, 0.98, 0.15),
 }
+#: Documents of a language, and of a half octave of tokens, that make a measured band; quartile ranges from its median.
+LEAST_DOCS, LEAST_SPAN = 100, 20
+ENTROPY_RANGES, CHARS_RANGES = 2.0, 5.0
+#: Steps of the counted measures.
+ENTROPY_STEP, CHARS_STEP = 0.002, 0.005
 #: First and last code point of the blocks by which a script is told.
 SCRIPT_RANGES = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)),
@@ -81,11 +93,41 @@ class Fertility(WordCache):
         super().__init__(model.encode, opens, mark="\u2581")
 
 
+@dataclass(frozen=True)
+class MeasuredBand:
+    """Of one language: least and most characters per token, and by log2 of tokens the median and quartile range of relative entropy."""
+
+    chars: tuple[float, float]
+    at: tuple[float, ...]
+    median: tuple[float, ...]
+    spread: tuple[float, ...]
+
+    def least_entropy(self, n_tokens: int) -> float:
+        x, at, y = float(np.log2(n_tokens)), self.at, self.median
+        if not at:
+            return 0.0
+        middle = float(np.interp(x, at, y))
+        if len(at) > 1 and x > at[-1]:
+            middle += min(0.0, (y[-1] - y[-2]) / (at[-1] - at[-2])) * (x - at[-1])
+        return middle - ENTROPY_RANGES * float(np.interp(x, at, self.spread))
+
+    def fits(self, n_tokens: int, per_token: float, relative: float) -> bool:
+        return self.chars[0] <= per_token <= self.chars[1] and relative >= self.least_entropy(n_tokens)
+
+
+def _quartiles(steps: pd.Series, n: pd.Series, step: float) -> tuple[float, float]:
+    """Median and quartile range of counted values, the range at least one step."""
+    order = np.argsort(steps.to_numpy(), kind="stable")
+    upto = np.cumsum(n.to_numpy()[order])
+    low, middle, high = (steps.to_numpy()[order][np.searchsorted(upto, q * upto[-1])] * step for q in (0.25, 0.5, 0.75))
+    return float(middle), float(max(high - low, step))
+
+
 _models: dict[str, Fertility] = {}
 
 
-def measures(texts: list[str | None], path: str, languages: list[str | None] | None = None) -> pd.DataFrame:
-    """All counts, measures and verdicts of a batch, in its order."""
+def measures(texts: list[str | None], path: str, languages: list[str | None] | None = None, bands: dict[str, MeasuredBand] | None = None) -> pd.DataFrame:
+    """All counts, measures and verdicts of a batch, in its order; without ``bands`` by the fixed ones alone."""
     if path not in _models:
         _models[path] = Fertility(path)
     model = _models[path]
@@ -131,6 +173,9 @@ def measures(texts: list[str | None], path: str, languages: list[str | None] | N
             language = languages[s][i] if languages is not None else None
             band = LANGUAGE_BANDS.get(language) or SCRIPT_BANDS[script_of(text)]
             fits = n_tokens[i] < MIN_TOKENS or (band[0] <= per_token <= band[1] and share <= band[2] and relative[i] >= band[3])
+            measured = (bands or {}).get(language)
+            if measured is not None and n_tokens[i] >= MIN_TOKENS:
+                fits = fits and measured.fits(n_tokens[i], per_token, relative[i])
             rows.append((int(n[i]), chars, symbols, len(lines) - len(set(lines)), int(repeated[i]), base_failed, bool(fits and not base_failed), int(n_tokens[i]), per_token, float(share), float(entropy[i]), float(relative[i])))
     return pd.DataFrame(rows, columns=FIELDS)
 
@@ -139,20 +184,47 @@ FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, relative_entropy double"
 
 
-def fertility_column(text, language, vocabulary: str | None = None):
+def fertility_column(text, language, vocabulary: str | None = None, bands: dict[str, MeasuredBand] | None = None):
     """A struct column with FIELDS; no shuffle, so a filter on it keeps the other columns as they are."""
     path = vocabulary or default_vocabulary()
 
     @F.pandas_udf(SCHEMA)
     def judge(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return measures(texts.tolist(), path, languages.tolist())
-
-    return judge(text, language)
+        return measures(texts.tolist(), path, languages.tolist(), bands)
+
+    # So declared, it is not worked out once more for a filter on the verdict.
+    return judge.asNondeterministic()(text, language)
+
+
+def measured_bands(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None) -> dict[str, MeasuredBand]:
+    """The bands of each language, from counts of the rounded measures of all documents within the fixed bands."""
+    language = F.col(lang_col).cast("string")
+    seen = docs.select(language.alias("lang"), fertility_column(F.col(text_col), language, vocabulary).alias("q")).filter("lang is not null")
+    seen = seen.filter(F.col("q.kept") & (F.col("q.n_tokens") >= MIN_TOKENS)).select("lang", F.explode(F.array(
+        F.struct(F.floor(2 * F.log2("q.n_tokens")).cast("int").alias("span"), F.round(F.col("q.relative_entropy") / ENTROPY_STEP).cast("int").alias("step")),
+        F.struct(F.lit(-1).alias("span"), F.round(F.col("q.chars_per_token") / CHARS_STEP).cast("int").alias("step")),
+    )).alias("v")).groupBy("lang", "v.span", "v.step").agg(F.count("*").alias("n"))
+    counts = seen.withColumn("_all", F.sum("n").over(Window.partitionBy("lang"))).filter(F.col("_all") >= 2 * LEAST_DOCS).drop("_all").toPandas()
+    bands = {}
+    for name, own in counts.groupby("lang"):
+        chars, at, median, spread = (0.0, np.inf), [], [], []
+        for span, part in own.groupby("span"):
+            if span < 0:
+                middle, width = _quartiles(part.step, part.n, CHARS_STEP)
+                chars = (middle - CHARS_RANGES * width, middle + CHARS_RANGES * width)
+            elif part.n.sum() >= LEAST_SPAN:
+                middle, width = _quartiles(part.step, part.n, ENTROPY_STEP)
+                at.append((span + 0.5) / 2)
+                median.append(middle)
+                spread.append(width)
+        bands[name] = MeasuredBand(chars, tuple(at), tuple(median), tuple(spread))
+    return bands
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", vocabulary: str | None = None) -> DataFrame:
-    """``doc_id`` and FIELDS for each row of ``docs``."""
+    """``doc_id`` and FIELDS for each row of ``docs``; reads them twice, first for the measured bands."""
     language = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    judged = docs.select(F.col(id_col).cast("long").alias("doc_id"), fertility_column(F.col(text_col), language, vocabulary).alias("q"))
+    bands = measured_bands(docs, text_col, lang_col, vocabulary) if lang_col else {}
+    judged = docs.select(F.col(id_col).cast("long").alias("doc_id"), fertility_column(F.col(text_col), language, vocabulary, bands).alias("q"))
     return judged.select("doc_id", "q.*")

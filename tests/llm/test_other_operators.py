@@ -74,6 +74,23 @@ def test_quality_rules_edges(spark):
     assert junk.byte_share > 0.5
 
 
+def test_quality_rules_reject_by_each_measure(spark):
+    """Against 200 plain texts: texts of symbols (low entropy), of bare codes (characters per token) and of rare signs (byte share) go, their plain likes stay."""
+    rng = np.random.default_rng(5)
+    words = "the of and to in is was for on that with as his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
+    plain = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, plain(int(n))) for i, n in enumerate(rng.integers(60, 240, 200))]
+    peppered = " ".join(w + "###" * (k % 2) for k, w in enumerate(plain(150).split()))
+    codes = " ".join(f"{x:x}" for x in rng.integers(1 << 40, 1 << 44, 80))
+    rare = " ".join(w + ("\U00010A7D" * 3 if k % 4 == 0 else "") for k, w in enumerate(plain(150).split()))
+    rows += [(900, peppered), (901, plain(150)), (902, codes), (903, plain(80)), (904, rare), (905, plain(300))]
+    got = {r.doc_id: r for r in quality_rules(frame(spark, rows)).collect()}
+    assert not any(got[i].base_failed for i in range(900, 906))
+    assert [got[i].kept for i in range(900, 906)] == [False, True] * 3
+    assert got[904].byte_share > 0.1 and got[902].chars_per_token < got[903].chars_per_token and got[900].relative_entropy < got[901].relative_entropy
+    assert sum(got[i].kept for i in range(200)) >= 190
+
+
 @pytest.mark.parametrize("score", [score_quality, score_toxicity])
 def test_classifiers_edges(spark, score):
     docs = frame(spark, ODD)
