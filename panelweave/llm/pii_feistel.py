@@ -8,6 +8,11 @@ halves of its domain, so equal values get equal pseudonyms in every document and
 different ones stay different; whoever holds the key can reverse it.  Check
 digits are computed anew.  What fails validation is left as it is.
 
+A card or an IBAN may stand beside other numbers or words of its form.  So a
+whole run of such groups is taken, all of its stretches of groups are tried, and
+those that are valid are values, usual groupings first, then from the left and
+the longest; the rest of the run is searched for the other kinds.
+
 Domains: runs of digits and of letters keep their length and class; a card keeps
 its first digit; a telephone number its country code; an address its domain; a
 date stays a valid date between 1700-01-01 and 2099-12-31 (146,097 days, which
@@ -27,7 +32,8 @@ ROUNDS = 8
 DEFAULT_KEY = "demonstration key"
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-NAMED = r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)"
+_NAMES = "(?i:password|passwd|pwd|secret|token|api_key|apikey)"
+NAMED = rf"(?<={_NAMES}\s{{0,2}}[=:]\s{{0,2}}[\"']?)"
 #: What each kind looks like.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -47,7 +53,17 @@ def _quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Runs that may hold values of these kinds, at any of their groups.
+RUNS = {"iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9 ]{10,}[A-Z0-9]\b", "card": r"(?<![0-9])[0-9][0-9 -]{11,}[0-9](?![0-9])"}
+#: What every text with a value holds.
+HINT = f"[0-9@]|AKIA|{_NAMES}"
+
+
+def _any(patterns: dict[str, str]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns.values())
+
+
+ANY = _any({k: p for k, p in PATTERNS.items() if k not in RUNS})
 
 
 def _feistel(key: str, left: str, right: str, a: str, b: str, tweak: str) -> str:
@@ -117,6 +133,47 @@ def _mod97(x: str) -> str:
     )
 
 
+def _stretches(v: str, groups: str, reach: int, valid: str, usual: str) -> str:
+    """The segments (text, value) of a run: its stretches of up to ``reach`` groups and gaps that are ``valid``, and what is between them.
+
+    Of stretches w that overlap a ``usual`` one comes before others, then the leftmost, then the longest.
+    """
+    join = lambda i, j: f"array_join(slice(g, {i} + 1, {j} - {i} + 1), '')"
+    found = (
+        f"flatten(transform(sequence(0, size(g) - 1, 2), i -> filter(transform(sequence(i, least(size(g) - 1, i + {reach}), 2), j -> {_let('w', join('i', 'j'), f'named_struct({_quote("i")}, i, {_quote("r")}, if({usual}, 0, 1), {_quote("l")}, -j, {_quote("ok")}, {valid})')}), c -> c.ok)))"
+    )
+    apart = "filter(f, c -> c.r = 0 or not exists(filter(f, b -> b.r = 0), b -> b.i <= -c.l and -b.l >= c.i))"
+    picked = (
+        f"aggregate(array_sort({apart}), named_struct('e', -1, 'p', cast(array() as array<struct<i:int,j:int>>)), "
+        "(a, c) -> if(c.i > a.e, named_struct('e', -c.l, 'p', concat(a.p, array(named_struct('i', c.i, 'j', -c.l)))), a)).p"
+    )
+    start = "if(k = 0, 0, p[k - 1].j + 1)"
+    parts = f"flatten(transform(p, (c, k) -> array(named_struct('text', {join(start, '(c.i - 1)')}, 'value', false), named_struct('text', {join('c.i', 'c.j')}, 'value', true))))"
+    last = f"named_struct('text', {join('if(size(p) = 0, 0, p[size(p) - 1].j + 1)', '(size(g) - 1)')}, 'value', false)"
+    return _let("g", f"regexp_extract_all({v}, {_quote(groups)}, 0)", _let("f", found, _let("p", picked, f"concat({parts}, array({last}))")))
+
+
+def _segments(t: str, kind: str) -> str:
+    """A text as an array of (plain, value): what stands before each valid card or IBAN and the value; the last has no value."""
+    search = _quote(_any({k: p for k, p in PATTERNS.items() if k not in RUNS} | {kind: RUNS[kind]}))
+    plain = lambda x: f"array(named_struct('text', {x}, 'value', false))"
+    if kind == "card":
+        tried = _stretches("v", "[0-9]+|[ -]+", 36, f"w rlike '^[0-9](?:[ -]?[0-9]){{12,18}}$' and {_luhn(_only_digits('w'))} % 10 = 0", "w rlike '^(?:[0-9]+|[0-9]{4}([ -])[0-9]{4}\\\\1[0-9]{4}\\\\1[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$'")
+        run = f"v rlike '^[0-9][0-9 -]{{11,}}[0-9]$' and length({_only_digits('v')}) > 12"
+    else:
+        squeezed = "replace(w, ' ', '')"
+        tried = _stretches("v", "[^ ]+| +", 26, f"w rlike {_quote('^(?:' + PATTERNS['iban'] + ')$')} and length({squeezed}) between 15 and 34 and {_mod97(squeezed)} = 1", "true")
+        run = f"v rlike {_quote('^(?:' + RUNS['iban'] + ')$')}"
+    runs = f"if({run}, {tried}, {plain('v')})"
+    both = f"flatten(zip_with(split({t}, {search}, -1), transform(regexp_extract_all({t}, {search}, 0), v -> {runs}), (a, b) -> concat({plain('a')}, coalesce(b, cast(array() as array<struct<text:string,value:boolean>>)))))"
+    closed = (
+        f"aggregate({both}, named_struct('done', cast(array() as array<struct<plain:string,value:string>>), 'rest', ''), (s, x) -> "
+        "if(x.value, named_struct('done', concat(s.done, array(named_struct('plain', s.rest, 'value', x.text))), 'rest', ''), named_struct('done', s.done, 'rest', concat(s.rest, x.text))))"
+    )
+    whole = f"array(named_struct('plain', {t}, 'value', cast(null as string)))"
+    return f"if({t} rlike {_quote(RUNS[kind])}, {_let('y', closed, 'concat(y.done, array(named_struct(' + _quote('plain') + ', y.rest, ' + _quote('value') + ', cast(null as string))))')}, {whole})"
+
+
 def _date(key: str, year: str, month: str, day: str, make: str, value: str) -> str:
     """``make``: the new value, of a date named d."""
     real = f"try_to_date(concat_ws('-', {year}, {month}, {day}), 'yyyy-MM-dd')"
@@ -159,10 +216,14 @@ def _phone(v: str, key: str) -> str:
 def pseudonymise_column(name: str, key: str = DEFAULT_KEY) -> Column:
     """A struct: ``text`` with pseudonyms, ``n`` values that changed."""
     t = "`" + name.replace("`", "``") + "`"
-    found = f"if({t} rlike '[0-9@]', regexp_extract_all({t}, {_quote(ANY)}, 0), array())"
-    made = f"transform({found}, v -> named_struct('old', v, 'new', {pseudonym_sql('v', key)}))"
-    between = f"zip_with(split({t}, {_quote(ANY)}, -1), x, (a, b) -> concat(a, coalesce(b.new, '')))"
-    return F.expr(_let("x", made, f"named_struct('text', if(size(x) = 0, {t}, array_join({between}, '')), 'n', size(filter(x, b -> b.old <> b.new)))"))
+    # Values and what stands before each; the last of a stretch takes the value that ends it.
+    ended = lambda pairs, value: _let("z", pairs, f"concat(slice(z, 1, size(z) - 1), array(named_struct('plain', element_at(z, -1).plain, 'value', {value})))")
+    rest = f"zip_with(split(q.plain, {_quote(ANY)}, -1), regexp_extract_all(q.plain, {_quote(ANY)}, 0), (a, b) -> named_struct('plain', a, 'value', b))"
+    valid = f"flatten(transform({_segments(t, 'iban')}, h -> {ended(_segments('h.plain', 'card'), 'h.value')}))"
+    found = f"flatten(transform({valid}, q -> {ended(rest, 'q.value')}))"
+    made = f"transform({found}, u -> {_let('v', 'u.value', f'named_struct({_quote("plain")}, u.plain, {_quote("old")}, v, {_quote("new")}, if(v is null, {_quote("")}, {pseudonym_sql("v", key)}))')})"
+    changed = _let("x", made, "named_struct('text', array_join(transform(x, b -> concat(b.plain, b.new)), ''), 'n', size(filter(x, b -> b.old <> b.new)))")
+    return F.expr(f"if({t} rlike {_quote(HINT)}, {changed}, named_struct('text', {t}, 'n', 0))")
 
 
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
