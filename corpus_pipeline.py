@@ -42,8 +42,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample that meets the target weights."""
-    return mix_sources(docs.select(*COLUMNS), carry=True).filter("mix.selected").select(*COLUMNS)
+    """The sample that meets the target weights without design weights, which later stages do not take."""
+    return mix_sources(docs.select(*COLUMNS), carry=True, uncapped=True).filter("mix.selected").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

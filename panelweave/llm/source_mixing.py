@@ -4,7 +4,10 @@ Documents are counted in cells of source, language and topic.  The cells' token
 weights are raked in turns to the three target marginals; a document is then
 sampled with probability ``rate`` times its cell's weight, at most 1, and keeps
 the ratio of weight and probability as its design weight.  Sampling is decided
-by a hash of the id, so it is the same in every run.
+by a hash of the id, so it is the same in every run.  Where the cap of 1 bites,
+only the design weights make up for it; with ``uncapped`` the rate is lowered to
+1 over the greatest weight of a cell with tokens, so that the selected rows meet
+the targets by themselves.
 
 Targets may be given as a dictionary for each margin (shares of tokens; what is
 not named shares the rest as it is); by default a margin's share is its token
@@ -79,12 +82,12 @@ def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict[str
         for m in margins:
             mass = F.sum(total * F.col("weight")).over(Window.partitionBy(m))
             c = c.withColumn("weight", F.when(mass > 0, F.col("weight") * F.col(f"_s_{m}") / mass).otherwise(F.col("weight")))
-    return c.select(*margins, "weight")
+    return c.select(*margins, "tokens", "weight")
 
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None,
-    targets: dict[str, dict[str, float]] | None = None, temperatures: dict[str, float] | None = None, rounds: int = ROUNDS, rate: float = RATE, carry: bool = False,
+    targets: dict[str, dict[str, float]] | None = None, temperatures: dict[str, float] | None = None, rounds: int = ROUNDS, rate: float = RATE, carry: bool = False, uncapped: bool = False,
 ) -> DataFrame:
     """For each row: ``doc_id``, the three margins, ``n_tokens``, ``weight``, ``probability``, ``selected``, ``design_weight``.
 
@@ -106,6 +109,8 @@ def mix_sources(
         right = F.broadcast(right)
     match = [F.col(m).eqNullSafe(F.col(f"_{m}")) for m in MARGINS]
     joined = rows.join(right, match[0] & match[1] & match[2], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    if uncapped:
+        rate = min(rate, 1.0 / (weights.filter("tokens > 0").agg(F.max("weight")).first()[0] or 1.0))
     joined = joined.withColumn("probability", F.least(F.lit(1.0), F.lit(rate) * F.col("weight")))
     joined = joined.withColumn("selected", uniform(F.col("row")[id_col]) < F.col("probability"))
     joined = joined.withColumn("design_weight", F.when(F.col("probability") > 0, F.col("weight") / F.col("probability")))

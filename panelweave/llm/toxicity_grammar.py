@@ -55,6 +55,10 @@ class Transducer:
 
     states: int
     arcs: dict[tuple[int, int], tuple[int, float]]
+    #: (state, symbol) whose weight waits, and those that let what waits count; it is lost in a state that ``waits`` doesn't have.
+    holds: frozenset = frozenset()
+    frees: frozenset = frozenset()
+    waits: frozenset = frozenset()
 
     def step(self, state: int, symbol: int) -> tuple[int, float]:
         return self.arcs.get((state, symbol), (state, 1.0))
@@ -78,9 +82,12 @@ def _target() -> Transducer:
     return Transducer(2, {(s, x): (1 if s or x == TARGET else 0, 1.25 if s and x == INSULT else 1.0) for s in (0, 1) for x in range(6)})
 
 
-def _threat() -> Transducer:
-    """A threat counts only beside a target: before it, or right after."""
-    return Transducer(2, {(s, x): (1 if s or x == TARGET else 0, 0.0 if not s and x == THREAT else 1.0) for s in (0, 1) for x in range(6)})
+def _threat(reach: int = 3) -> Transducer:
+    """A threat counts only beside a target: after it in the clause, or if one follows within ``reach`` words."""
+    # 0: no target yet, 1: target read, 2 and more: a threat waits for a target among so many words and one less.
+    arcs = {(s, x): (1 if s == 1 or x == TARGET else reach + 1 if x == THREAT else s - 1 if s > 2 else 0, 1.0) for s in range(reach + 2) for x in range(6)}
+    pending = frozenset(range(2, reach + 2))
+    return Transducer(reach + 2, arcs, frozenset((s, THREAT) for s in (0, *pending)), frozenset((s, TARGET) for s in pending), pending)
 
 
 def _insult() -> Transducer:
@@ -88,17 +95,23 @@ def _insult() -> Transducer:
     return Transducer(3, {(s, INSULT): (min(2, s + 1), (1.0, 0.5, 0.25)[s]) for s in range(3)})
 
 
-def compose(parts: list[Transducer]) -> tuple[np.ndarray, np.ndarray]:
-    """The product machine as tables of next states and factors."""
+HOLD, FREE = 1, 2
+
+
+def compose(parts: list[Transducer]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The product machine as tables of next states, factors and what is held or freed, and whether a state keeps what is held."""
     spaces = list(product(*(range(t.states) for t in parts)))
     number = {s: i for i, s in enumerate(spaces)}
     follow, factor = np.zeros((len(spaces), 6), np.int32), np.ones((len(spaces), 6))
+    act = np.zeros((len(spaces), 6), np.int32)
     for s, i in number.items():
         for x in range(6):
             moves = [t.step(a, x) for t, a in zip(parts, s)]
             follow[i, x] = number[tuple(m[0] for m in moves)]
             factor[i, x] = float(np.prod([m[1] for m in moves]))
-    return follow, factor
+            act[i, x] = HOLD * any((a, x) in t.holds for t, a in zip(parts, s)) + FREE * any((a, x) in t.frees for t, a in zip(parts, s))
+    waits = np.array([any(a in t.waits for t, a in zip(parts, s)) for s in spaces])
+    return follow, factor, act, waits
 
 
 @dataclass
@@ -107,10 +120,12 @@ class Grammar:
     coefficients: tuple[float, ...] = (-4.0, 2.0, 0.5, 0.5, 0.5)
     follow: list = field(default_factory=list)
     factor: list = field(default_factory=list)
+    act: list = field(default_factory=list)
+    waits: list = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        follow, factor = compose([_insult(), _threat(), _target(), _negation(), _reported()])
-        self.follow, self.factor = follow.tolist(), factor.tolist()
+        follow, factor, act, waits = compose([_insult(), _threat(), _target(), _negation(), _reported()])
+        self.follow, self.factor, self.act, self.waits = follow.tolist(), factor.tolist(), act.tolist(), waits.tolist()
         self.words = {w: (INSULT, v) for w, v in self.weights.items() if w[-1] not in "*+"}
         self.begins = {w[:-1]: (INSULT, v) for w, v in self.weights.items() if w[-1] in "*+"}
         # A bare beginning of longer words is no insult by itself.
@@ -151,13 +166,24 @@ class Grammar:
         out = []
         for clause in _CLAUSE.split(text.lower()):
             state, weight, read = 0, 0.0, []
+            held, names = 0.0, []
             for raw in clause.split():
                 word = raw if raw.isalpha() else _EDGE.sub("", raw)
                 symbol, value = self.classify(word)
-                if symbol in (INSULT, THREAT):
+                act = self.act[state][symbol]
+                if act == HOLD:
+                    held += value * self.factor[state][symbol]
+                    names.append(word)
+                elif act == FREE:
+                    weight += held
+                    read += names
+                    held, names = 0.0, []
+                elif symbol in (INSULT, THREAT):
                     weight += value * self.factor[state][symbol]
                     read.append(word)
                 state = self.follow[state][symbol]
+                if held and not self.waits[state]:
+                    held, names = 0.0, []
             if weight > 0:
                 out.append((weight, clause.strip(), read))
         return out

@@ -190,6 +190,28 @@ def test_mixing_targets(spark):
     assert mix_sources(docs, carry=True).columns == [*docs.columns, "mix"]
 
 
+def test_mixing_stage_meets_margins_on_skewed_sources(spark, sf):
+    """One source has most rows, one language few: the selected rows' tokens meet the targets that the weights stand for."""
+    import corpus_pipeline as P
+
+    rows = [(i, "w " * (90 + i % 20), "es" if i % 40 == 0 else "en", "hot" if i % 10 < 7 else f"s{i % 10 % 3}", 0, 0.1, 1) for i in range(8000)]
+    docs = spark.createDataFrame(rows, DOC)
+    aim, got = defaultdict(float), defaultdict(float)
+    tokens = lambda rows: sum(r.text.count("w") for r in rows)
+    every, kept = docs.collect(), P.mixing_stage(spark, docs, sf).collect()
+    for r in mix_sources(docs).collect():
+        for m in (r.source, r.lang):
+            aim[m] += r.n_tokens * r.weight
+    for r in kept:
+        for m in (r.source, r.lang):
+            got[m] += r.text.count("w")
+    aim, got = ({m: v / total for m, v in x.items()} for x, total in ((aim, tokens(every)), (got, tokens(kept))))
+    assert max(r.weight for r in mix_sources(docs).collect()) > 1.25
+    assert all(abs(got[m] / aim[m] - 1) < 0.1 for m in aim), (dict(aim), dict(got))
+    uncapped = mix_sources(docs, uncapped=True).collect()
+    assert all(r.probability < 1 + 1e-9 and abs(r.design_weight / uncapped[0].design_weight - 1) < 1e-9 for r in uncapped)
+
+
 def feistel_digits(x, kind):
     n = len(x)
     h = n // 2
