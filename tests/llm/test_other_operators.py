@@ -119,6 +119,17 @@ def test_grammar_clauses():
     assert g.features("nothing to see") == (0.0, 0.0, 0.0, 0.0) and g.features("Loweabc.")[0] > 0
 
 
+def test_threats_before_and_after_their_target():
+    g = Grammar({"idiot": 4.0})
+    for text in ("I will kill you", "ich töte dich", "kill all of you", "you will kill", "murder and kill them", "kill them all"):
+        assert g.clauses(text) and g.features(text)[0] > 0, text
+    for text in ("I kill time", "kill it", "kill the lights before they go", "kill time. You know", "the kill"):
+        assert g.clauses(text) == [], text
+    assert g.clauses("I will kill you")[0][0] == g.clauses("you will kill")[0][0]
+    assert 0 < g.clauses("I will not kill you")[0][0] < g.clauses("I will kill you")[0][0]
+    assert g.clauses("I kill, I murder and kill you")[0][0] > g.clauses("I kill you")[0][0]
+
+
 def test_nearest_recall_and_ties(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
