@@ -259,9 +259,9 @@ def _features(batches: Iterator[pd.DataFrame], grammar: Grammar) -> Iterator[pd.
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELS) -> Grammar:
     seeds = dict.fromkeys(INSULTS, 3.0)
-    # Copies of one text count once: of those that begin alike one is taken.
+    # Copies of one text with one label count once, as the smallest id.
     sample = training_texts(docs, labels, label, id_col, text_col, most)
-    sample = sample.groupBy(F.xxhash64(F.substring("text", 1, 60)).alias("k")).agg(F.min_by("text", "doc_id").alias("text"), F.min_by("label", "doc_id").alias("label"), F.min("doc_id").alias("doc_id"))
+    sample = sample.groupBy(F.xxhash64("text").alias("k"), "label").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Grammar(seeds)

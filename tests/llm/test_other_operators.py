@@ -16,7 +16,7 @@ from panelweave.llm.pii_feistel import DEFAULT_KEY, ROUNDS, pseudonymise
 from panelweave.llm.quality_classifier import score_quality
 from panelweave.llm.source_mixing import mix_sources
 from panelweave.llm.tokenizer_fertility import quality_rules
-from panelweave.llm.toxicity_grammar import Grammar, learn_weights, score_toxicity
+from panelweave.llm.toxicity_grammar import Grammar, learn_weights, score_toxicity, train
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, words int"
 ODD = [(1, None), (2, ""), (3, " \n\t"), (None, "no id here at all"), (5, "same row"), (5, "same row"), (6, "long " * 30_000), (7, "Ünïcode 日本語 🙂 " * 5)]
@@ -130,6 +130,17 @@ def test_threats_before_and_after_their_target():
     assert g.clauses("I kill, I murder and kill you")[0][0] > g.clauses("I kill you")[0][0]
 
 
+def test_training_texts_with_one_header(spark):
+    """Texts that all open with one long header are learned from one by one; equal texts with two labels stay two rows."""
+    header = "Copyright of the authors, all rights reserved, under the terms of a License. "
+    rows = [(i, header + f"number {i} " + ("brelkano goes here" if i < 60 else "nothing to see")) for i in range(300)]
+    marks = [(i, None, int(i < 60)) for i in range(300)]
+    learned = train(frame(spark, rows), labels(spark, marks))
+    assert "brelkano" in learned.weights or any("brelkano".startswith(w[:-1]) for w in learned.weights if w.endswith("+"))
+    g = train(frame(spark, [(1, "one text"), (3, "one text")]), labels(spark, [(1, None, 0), (3, None, 1)]))
+    assert g.coefficients != Grammar({}).coefficients
+
+
 def test_nearest_recall_and_ties(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
