@@ -4,8 +4,10 @@ A page is read as a sequence of text nodes, each with its root-to-leaf path of
 tags (containers carry their class or id).  For every path the text length and
 the punctuation are added up and divided by its number of nodes; the two ratios
 are smoothed along the page, fused by their product, and paths over a threshold
-are content.  The element that holds most of the content text is the article:
-its other blocks belong to it too, unless they are mostly links.
+are content and stay.  The element that holds most of the content text is the
+article: its other blocks belong to it too, unless they are mostly links.  Where
+no tag names the article, sentences in paragraphs of the containers beside that
+element belong to it as well; so does any heading right before a block that stays.
 
 Elements whose tag, role, class or id says what they are (menus, page headers
 and footers, sidebars, notices, adverts, forms, comments) never count.
@@ -200,12 +202,18 @@ def main_text(page: str | None) -> str:
         root = best
         if root[-1].split(".")[0] in ("article", "main"):
             break
-    article = root and root[-1].split(".")[0] == "article"
-    kept = []
+    named = bool(root) and root[-1].split(".")[0] in ("article", "main")
+    article = named and root[-1].split(".")[0] == "article"
+    around = root if named else root[:-1]
+    stays = []
     for keep, (text, path, link) in zip(content, rows):
-        if path[: len(root)] == root and (keep or article or link < 0.6):
-            kept.append(text)
-    return "\n".join(kept)
+        within, beside = path[: len(root)] == root, path[: len(around)] == around
+        sentence = link < 0.3 and "p" in path[len(around) :] and len(text.split()) > 4 and any(c in PUNCTUATION for c in text)
+        stays.append(bool(keep or within and (article or link < 0.6) or beside and sentence))
+    for k in range(len(rows) - 2, -1, -1):
+        _, path, link = rows[k]
+        stays[k] |= stays[k + 1] and link < 0.6 and any(step.split(".")[0] in HEADINGS for step in path)
+    return "\n".join(text for stay, (text, _, _) in zip(stays, rows) if stay)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -44,6 +44,14 @@ def test_main_text_rules():
     assert main_text(divs) == "Long text here, with commas, and more of it.\nAlso this one, of some length."
 
 
+def test_main_text_in_sibling_containers():
+    """Without <article>: title, lead and last section in containers beside the long one stay, links beside them don't."""
+    long = [f"This is a long paragraph, with many words, and it goes on. It has marks, too, as all do, number {i}." for i in range(30)]
+    lead, end = "A lead that says, in one sentence, what the page is about.", "The last section, which closes the page, has its own words."
+    page = f"<body><div class=bar><a href=x>Home</a> <a href=y>News</a></div><div class=top><h1>Title</h1><p>{lead}</p></div><div class=text>{''.join(f'<p>{x}</p>' for x in long)}</div><div class=end><h2>Last</h2><p>{end}</p></div><div class=low><a href=z>Imprint</a></div></body>"
+    assert main_text(page) == "\n".join(["Title", lead, *long, "Last", end])
+
+
 def test_extract_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in extract_pages(pages).collect()}
