@@ -148,3 +148,25 @@ def event_study(spark, d):
 def pre_means(spark, d):
     x = P.first_event(yearly(spark, d), ["o_custkey"], "year", F.col("n") >= 3, "e").withColumn("relative", F.col("year") - F.col("e"))
     return E.pre_means(x, "relative", ["n", "total"]).select("outcome", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "n")
+
+
+@register("q_components_whole", None)
+def components_whole(spark, d):
+    """``q_components`` over all rows; a recursive oracle is too slow there, so a test holds it against brute force."""
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.lit(1000000) + F.col("l_partkey")).alias("dst"))
+    return L.connected_components(e)
+
+
+@register("q_any_key_join_whole", "select a.s_suppkey, b.c_custkey, concat_ws(';', case when a.n = b.n then 'n' end, case when a.k = b.k then 'z' end) as agree from (select s_suppkey, s_nationkey as n, s_suppkey % 97 as k from supplier) a join (select c_custkey, c_nationkey as n, c_custkey % 97 as k from customer) b on a.n = b.n or a.k = b.k")
+def any_key_whole(spark, d):
+    a = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), (F.col("s_suppkey") % 97).alias("z"))
+    b = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), (F.col("c_custkey") % 97).alias("z"))
+    return J.any_key_join(a, b, "s_suppkey", "c_custkey", ["n", "z"]).withColumn("agree", F.array_join("agree", ";"))
+
+
+@register("q_keyword_hits_whole", r"""with p as (select item_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' as k from benchmark),
+t as (select doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' as t from documents) select doc_id, item_id from t join p on contains(t, k) where trim(k) <> ''""")
+def keyword_hits_whole(spark, d):
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    b = table(spark, d, "benchmark").select("item_id", F.array_join(words, " ").alias("phrase"))
+    return J.keyword_hits(table(spark, d, "documents"), b, "doc_id", "text", "item_id", "phrase")

@@ -171,3 +171,16 @@ def pricing_summary(spark, d):
 def group_broadcast(spark, d):
     w = Window.partitionBy("o_custkey")
     return table(spark, d, "orders").select("o_orderkey", F.count("*").over(w).alias("group_size"), F.round(F.sum("o_totalprice").over(w), 2).alias("group_total"), F.round(F.col("o_totalprice") / F.sum("o_totalprice").over(w), 6).alias("share"))
+
+
+@register("q_checked_join_audit_whole", """select case when c_custkey is null then 2 when o_custkey is null then 1 else 3 end as _merge, count(*) as n
+from (select distinct o_custkey from orders) full join (select c_custkey from customer) on o_custkey = c_custkey group by 1""")
+def checked_join_audit_whole(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    return V.merge_audit(V.checked_join(c, o, ["k"], "1:1"))
+
+
+@register("q_unpivot_whole", "select l_orderkey, l_linenumber, name, round(value, 4) as value from (unpivot (select l_orderkey, l_linenumber, l_quantity, l_discount, l_tax from lineitem) on l_quantity, l_discount, l_tax into name name value value)")
+def unpivot_whole(spark, d):
+    return V.pivot_long(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"]).withColumn("value", F.round("value", 4))
