@@ -6,7 +6,9 @@ full.  Pieces are dealt by hash into groups of a bounded number; in a group they
 are placed best fit decreasing, and then a local search works on the bins that
 are not full.  The emptiest bin gives items away by moves, one-for-one swaps and
 two-for-one swaps that each raise the sum of squared fills, until it is empty or
-nothing helps.  A group loses about one bin at most against packing all pieces
+nothing helps.  The search is bounded: 4,000 changes in a group, an end after 12
+bins in a row that can't be emptied, pairs from the first 40 items of a bin; all
+pieces stay packed, only more sequences may be left.  A group loses about one bin at most against packing all pieces
 together, so the loss does not grow with the input.
 
 Edge cases: a null text is an empty one, one closing id long; a null id keeps
