@@ -38,7 +38,7 @@ def group_slopes(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int
 
 def demean(df: DataFrame, columns: Sequence[str], effects: Sequence[str], rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
     """Take out the effects by alternating projections, with a checkpoint every few rounds, until no mean moves."""
-    from .linkage import _durable
+    from .graphs import durable
 
     out = df
     for k in range(rounds):
@@ -46,7 +46,7 @@ def demean(df: DataFrame, columns: Sequence[str], effects: Sequence[str], rounds
             w = Window.partitionBy(e)
             out = out.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
         if k % 3 == 2:
-            out = _durable(out)
+            out = durable(out)
             means = out.groupBy(effects[0]).agg(*[F.avg(c).alias(c) for c in columns]).agg(*[F.max(F.abs(c)) for c in columns]).first()
             if max((m or 0.0) for m in means) < tolerance:
                 break

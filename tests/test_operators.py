@@ -141,3 +141,13 @@ def test_whole_components(spark, sf):
             want |= {x: (min(found), max(found), len(found)) for x in found}
     got = {r.node: (r.component, r.component_max, r["size"]) for r in registry.queries()["q_components_whole"](spark, sf).collect()}
     assert got == want
+
+
+def test_components_with_hub(spark):
+    """A star with thousands of leaves, a long chain and isolated pairs, against union of sets; hubs are dealt out."""
+    from panelweave.operators import graphs
+
+    rows_ = [(5000, i) for i in range(1000, 4000)] + [(i, i + 1) for i in range(6000, 6300)] + [(9000 + 2 * i, 9001 + 2 * i) for i in range(50)] + [(1000, 6100), (None, 1), (3, 3)]
+    got = {r.node: r.component for r in graphs.star_components(spark.createDataFrame(rows_, "a long, b long"), "a", "b").collect()}
+    assert got[5000] == 1000 and got[3999] == 1000 and got[6300] == 1000 and got[9003] == 9002 and got[3] == 3 and len(got) == 3001 + 301 + 100 + 1
+    assert graphs.star_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
