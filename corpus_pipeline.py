@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.best_fit_packing import pack_documents
 from panelweave.llm.jaccard_join import jaccard_classes
-from panelweave.llm.jobs import shared_folder
+from panelweave.llm.jobs import delete_folder, shared_folder
 from panelweave.llm.pii_feistel import pseudonymise_column
 from panelweave.llm.source_mixing import mix_sources
 from panelweave.llm.tokenizer_fertility import fertility_column, measured_bands
@@ -28,11 +28,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id; a null id is a document of its own."""
-    stays = jaccard_classes(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("stays")).distinct()
-    known = docs.filter("doc_id is not null").join(stays, docs.doc_id == stays.stays, "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc(), F.xxhash64("text")))
-    return known.withColumn("_first", first).filter("_first = 1").select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    """One document of each group stays: the one with the smallest id, a null id last.
+
+    Rows that repeat an id with another text are documents of their own; of rows
+    that repeat id and text one stays; texts without words are no group.
+    """
+    found = jaccard_classes(docs, with_keys=True)
+    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("f"))
+    stays = first.select("f.doc_id", "f.text_key").unionByName(found.filter("group is null").select("doc_id", "text_key")).distinct()
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.coalesce("text_key", F.lit(0)).alias("_text")]
+    names = ["_id", "_none", "_text"]
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key")).select(*COLUMNS, *keys).join(stays.select(*keys), names, "left_semi")
+    once = F.row_number().over(Window.partitionBy(*names).orderBy("source", "lang", "n_chars"))
+    return rows.withColumn("_once", once).filter("_once = 1").select(*COLUMNS)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written and read again in the shared folder."""
+    """All stages over ``documents``, each result written and read again in the shared folder.
+
+    A stage's table is removed once the next one's is written; the last of them
+    is read by the result and stays.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -70,5 +82,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         path = f"{folder}/{k}-{name}"
         out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        if k:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

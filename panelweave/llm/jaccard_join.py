@@ -10,11 +10,18 @@ left is verified on the shingle sets.  Links are counted in place and only a
 spanning forest of each block leaves the task, so no stage emits all pairs of a
 group.
 
+A band is six MinHash values of 384, 64 bands in all: a pair at similarity 0.8
+shares none with a probability of 4e-9, one at 0.3 shares one with 0.05 and one
+at 0.1 with 6e-5, so that groups hold kindred texts and chance links don't grow
+into one group of all.  Pruning reads the first 128 values.  Work within a group
+follows the square of its different texts, since every link has to be counted.
+
 Edge cases: null and empty texts have no shingles, no links and their own
-class (``class_id`` = ``doc_id``); rows that repeat a ``doc_id`` are one
-document; a null ``doc_id`` keeps its row, and its class is that of its text;
-other columns of the input are ignored, whatever their names; an empty table
-gives an empty result.
+class (``class_id`` = ``doc_id``); every row is a document of its own, also one
+that repeats a ``doc_id``, whatever its text; a null ``doc_id`` keeps its row and
+counts as a link, its class is that of its text (null if all ids of the class
+are); other columns of the input are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +34,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import join_hubs
 from .jobs import components, durable
 from .text_hash import chunks, inside, mix, windows, words_of
 
-HASHES, ROWS_PER_BAND, STEP = 128, 4, 16
+HASHES, ROWS_PER_BAND = 384, 6
 BANDS = HASHES // ROWS_PER_BAND
+#: MinHash values that pruning reads, and how many at a time.
+COMPARED, STEP = 128, 16
 BLOCK = 200
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -59,14 +69,14 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.nd
     return grams, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def minhash(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One row of HASHES values for each text that has shingles."""
+def minhash(grams: np.ndarray, first: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """One row of ``hashes`` values for each text that has shingles."""
     starts = first[:-1][np.diff(first) > 0]
-    out = np.empty((len(starts), HASHES), np.uint32)
+    out = np.empty((len(starts), hashes), np.uint32)
     if len(starts):
         low = (grams >> np.uint64(32)).astype(np.uint32)
         work = np.empty_like(low)
-        for j in range(HASHES):
+        for j in range(hashes):
             np.multiply(low, _A[j], out=work)
             np.add(work, _B[j], out=work)
             np.bitwise_xor(work, work >> np.uint32(15), out=work)
@@ -80,7 +90,7 @@ def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     """For n = STEP, 2 STEP, ...: the fewest matches that keep a pair, with a uniform prior on the similarity."""
     s = (np.arange(20_000) + 0.5) / 20_000
     least = []
-    for n in range(STEP, HASHES + 1, STEP):
+    for n in range(STEP, COMPARED + 1, STEP):
         m = np.arange(n + 1)[:, None]
         log = m * np.log(s) + (n - m) * np.log1p(-s)
         density = np.exp(log - log.max(axis=1, keepdims=True))
@@ -174,7 +184,7 @@ def block_links(group: pd.DataFrame, threshold: float, tolerance: float) -> pd.D
 
 
 def _signed(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """doc_id, text -> doc_id, the two halves of the set's hash, the band hashes."""
+    """doc_id, text_key, text -> doc_id, text_key, the two halves of the set's hash, the band hashes."""
     for pdf in batches:
         texts = pdf.text.tolist()
         for s in chunks(texts):
@@ -188,7 +198,7 @@ def _signed(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
                     bands = mix(bands * np.uint64(3) + sig[:, r::ROWS_PER_BAND].astype(np.uint64), r + 1)
             bands = mix(bands + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
             part = pdf.iloc[s]
-            out = pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "key_a": pd.array([None] * len(part), dtype="Int64"), "key_b": pd.array([None] * len(part), dtype="Int64"), "bands": None})
+            out = pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "text_key": part.text_key.to_numpy(), "key_a": pd.array([None] * len(part), dtype="Int64"), "key_b": pd.array([None] * len(part), dtype="Int64"), "bands": None})
             rows = np.flatnonzero(has)
             out.loc[rows, "key_a"], out.loc[rows, "key_b"] = key_a, key_b
             out["bands"] = pd.Series([None] * len(part), dtype=object)
@@ -201,7 +211,7 @@ def _members(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
         texts = pdf.text.tolist()
         for s in chunks(texts):
             grams, first = shingle_sets(texts[s], k)
-            sig = minhash(grams, first)
+            sig = minhash(grams, first, COMPARED)
             part = pdf.iloc[s].reset_index(drop=True)
             rows = np.flatnonzero(np.diff(first) > 0)
             part = part.iloc[rows].drop(columns="text")
@@ -211,47 +221,41 @@ def _members(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
 
 
 def jaccard_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle_words: int = 5, tolerance: float = 1e-6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle_words: int = 5, tolerance: float = 1e-6, with_keys: bool = False
 ) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``class_id`` (the smallest id of its class, linked directly
     or through others) and ``n_links`` (the documents whose similarity to it is at least ``threshold``).
+
+    ``with_keys`` adds ``text_key`` (xxhash64 of the text) and ``group``, a number of the class that also tells
+    classes without an id or of one repeated id apart (null for a text without words).
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     signed = durable(
-        base.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas would turn a long with nulls into a double
-        .mapInPandas(lambda it: _signed(it, shingle_words), "doc_id string, key_a long, key_b long, bands array<long>")
-        .withColumn("doc_id", F.col("doc_id").cast("long"))
+        base.select(F.col("doc_id").cast("string").alias("doc_id"), "text_key", "text")  # pandas would turn a long with nulls into a double
+        .mapInPandas(lambda it: _signed(it, shingle_words), "doc_id string, text_key long, key_a long, key_b long, bands array<long>")
+        .withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id())
     )
     keyed = signed.filter("key_a is not null")
-    classes = durable(
-        keyed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    )
-    reps = classes.filter("rep is not null")
-    # Only the representative of each set enters the bands.
-    banded = (
-        keyed.join(reps.select("key_a", "key_b", F.col("rep").alias("doc_id")), ["key_a", "key_b", "doc_id"], "left_semi")
-        .select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    )
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").drop("top")
-    edges = banded.join(hubs, "band").filter("node > hub").select("node", "hub").distinct()
+    # The first row of each different set stands for it; its number is the set's node.  The numbers are fixed by the checkpoint.
+    classes = durable(keyed.groupBy("key_a", "key_b").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    reps = signed.select(F.col("row").alias("node"), F.col("doc_id").alias("rep"), F.col("text_key").alias("rep_key"), "bands")
+    banded = reps.select("node", "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    edges = join_hubs(banded, hubs, "band", "node", "n", classes.count() * BANDS).filter("node > hub").select("node", "hub")
     groups = components(edges, "node", "hub").select("node", F.col("component").alias("comp"))
     sizes = groups.groupBy("comp").agg(F.count("*").alias("n")).withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
-    groups = durable(groups.join(sizes, "comp"))
+    groups = durable(join_hubs(groups, sizes.withColumn("_n", F.col("n")), "comp", "node", "_n", groups.count()).drop("n"))
     small = groups.filter("nb = 1").count()
     cells = max(1, -(-small // BLOCK))
-    mult = reps.groupBy(F.col("rep").alias("node")).agg(F.sum("copies").alias("copies"))
-    placed = groups.join(mult, "node").withColumn(
+    placed = groups.withColumn(
         "unit", F.when(F.col("nb") > 1, F.col("comp")).otherwise(-1 - F.pmod(F.xxhash64("comp"), F.lit(cells)))
     ).withColumn("side", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    # A representative's text; another row that repeats its id with other words joins no group.
-    wanted = placed.join(
-        reps.select(F.col("rep").alias("node"), "key_a", "key_b"), "node"
-    ).dropDuplicates(["node"]).drop("key_a", "key_b", "n")
-    members = wanted.join(base, wanted.node == base.doc_id).drop("doc_id").filter("text is not null")
+    wanted = placed.join(classes.select("node", "copies"), "node").join(reps.drop("bands"), "node")
+    # One row with the representative's id and text, for each such pair that is wanted.
+    texts = wanted.join(base, (wanted.rep_key == base.text_key) & wanted.rep.eqNullSafe(base.doc_id))
+    members = texts.groupBy("node").agg(F.first(F.struct("comp", "nb", "copies", "unit", "side", "text")).alias("m"))
     schema = "node long, comp long, nb int, copies long, unit long, side int, sig binary, grams binary"
-    members = members.select("node", "comp", "nb", "copies", "unit", "side", "text").mapInPandas(
-        lambda it: _members(it, shingle_words), schema
-    )
+    members = members.select("node", "m.*").mapInPandas(lambda it: _members(it, shingle_words), schema)
     spread = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "unit", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "comp", "copies", "sig", "grams"
     )
@@ -260,10 +264,12 @@ def jaccard_classes(
     )
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(links.select("node", "root"), "node", "root")
-    node_class = counted.join(joined, "node", "left").select("node", "links", F.coalesce("component", "node").alias("class_id"))
-    of_key = (
-        classes.join(node_class, classes.rep == node_class.node, "left")
-        .select("key_a", "key_b", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # A class is named by the smallest id of all its rows.
+    of_node = classes.join(joined, "node", "left").join(counted, "node", "left").select(
+        "key_a", "key_b", F.coalesce("component", "node").alias("component"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    result = signed.drop("bands").join(of_key, ["key_a", "key_b"], "left")
-    return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    names = of_node.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
+    of_key = durable(join_hubs(of_node, names, "component", "key_a", "n", classes.count()).select("key_a", "key_b", F.col("component").alias("group"), "class_id", "n_links"))
+    result = signed.select("doc_id", "text_key", "key_a", "key_b").join(of_key, ["key_a", "key_b"], "left")
+    name = F.when(F.col("key_a").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    return result.select("doc_id", name, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *(["text_key", "group"] if with_keys else []))

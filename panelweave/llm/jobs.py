@@ -1,72 +1,21 @@
-"""Shared Spark plumbing: durable intermediates and connected components."""
+"""Shared Spark plumbing of the subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new local one only if none is set, as in tests."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which Spark removes when it is no longer referenced."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..operators.graphs import durable, shared_folder, star_components
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a wide intermediate as Parquet in the shared folder and read it again."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_frame(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], df.schema)
+__all__ = ["components", "delete_folder", "durable", "shared_folder"]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected graph: columns ``node`` and ``component`` (its smallest node).
+    """Connected components of an undirected graph: ``node`` and ``component`` (its smallest node)."""
+    return star_components(edges, a, b)
+
 
-    Large-star and small-star rounds until the edges no longer change.  Every
-    round is checkpointed; hub nodes only take part in a grouped minimum, which
-    is combined before the shuffle, and in a join that adaptive execution can
-    split.  Self edges and nulls are ignored, so isolated nodes are not returned.
-    """
-    e = (
-        edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
-        .filter(F.col("lo").isNotNull() & F.col("hi").isNotNull() & (F.col("lo") < F.col("hi")))
-        .distinct()
-    )
-    e = durable(e)
-    signature = None
-    while True:
-        both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select("hi", "lo"))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("m").alias("lo"), F.col("v").alias("hi"))
-        large = large.filter("lo < hi").distinct()
-        small = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
-        e = durable(
-            large.join(small, large.hi == small.u)
-            .select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi"))
-            .filter("lo < hi")
-            .distinct()
-        )
-        seen = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
-        if seen == signature:
-            break
-        signature = seen
-    return e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component")).union(e.select("lo", F.col("lo")).distinct())
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediates in whatever store it is in."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -107,3 +107,41 @@ def test_repeats_spans_and_text(spark):
     assert [(s.begin, s.end) for s in got[1].removed] == [(2, 62)] and got[1].kept_text == "a b c"
     assert got[2].kept_text == "d" and got[3].removed == []
     assert remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Null ids link like others; a repeated id with another text joins no group through its first."""
+    w = [f"u{i}" for i in range(200)]
+    other = [f"v{i}" for i in range(200)]
+    texts = [(1, w), (None, w[:198] + ["a", "b"]), (None, w[:198] + ["c", "d"]), (5, w[:199] + ["e"]), (5, other), (2, other[:199] + ["f"]), (7, ["only"])]
+    rows = [(d, " ".join(x)) for d, x in texts]
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_classes(frame(spark, rows)).collect())
+    assert got == Counter([(1, 1, 3), (None, 1, 3), (None, 1, 3), (5, 1, 3), (5, 2, 1), (2, 2, 1), (7, 7, 0)])
+    groups = {(r.doc_id, r.class_id): r.group for r in jaccard_classes(frame(spark, [(3, "a b c"), (3, "x y z"), (None, "p q"), (None, "r s")]), with_keys=True).collect()}
+    assert len(set(groups.values())) >= 2
+
+
+def test_stage_keeps_repeated_ids_with_other_texts(spark, sf):
+    import corpus_pipeline as P
+
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "a b c d e f g"), (None, "o p q r s t u"), (None, "o p q r s t u"), (2, "h i j k l m n"), (None, "v w x y z")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text) for r in P.near_duplicate_stage(spark, docs, sf).collect())
+    assert kept == Counter([(1, "a b c d e f g"), (1, "h i j k l m n"), (None, "o p q r s t u"), (None, "v w x y z")])
+
+
+def test_unkindred_texts_stay_apart(spark):
+    """Pairs at similarity about 0.3 hardly ever meet in a band, so a chain of them is no group."""
+    import numpy as np
+
+    from panelweave.llm.jaccard_join import minhash, shingle_sets, BANDS, ROWS_PER_BAND
+
+    rng = np.random.default_rng(2)
+    met = 0
+    for _ in range(300):
+        common, a, b = (rng.integers(0, 1 << 40, n) for n in (170, 200, 200))
+        texts = [" ".join(map(str, [*common, *x])) for x in (a, b)]
+        grams, first = shingle_sets(texts)
+        x, y = minhash(grams, first)
+        met += bool((x == y).reshape(BANDS, ROWS_PER_BAND).all(axis=1).any())
+    assert met < 40
