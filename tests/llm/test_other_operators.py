@@ -324,3 +324,50 @@ def test_beginnings_need_several_endings(spark):
     assert begins and all("brelka".startswith(w[:-1]) or w.startswith("brelka") for w in begins)
     g = Grammar({"brelka+": 4.0})
     assert g.clauses("a brelka here") == [] and g.clauses("a brelkano here")
+
+
+def brute_nearest(rows, k=5, every=50):
+    """vec_id lists of each query by exact cosine over all rows."""
+    ids = np.array([i for i, _ in rows])
+    u = np.array([v for _, v in rows], float)
+    norm = np.sqrt((u * u).sum(axis=1))
+    out = {}
+    for q in sorted({i for i in ids.tolist() if i % every == 0}):
+        best = {}
+        for at in np.flatnonzero(ids == q):
+            s = (u * u[at]).sum(axis=1) / (norm * norm[at])
+            for i, x in zip(ids.tolist(), s.tolist()):
+                if i != q and x > best.get(i, -2):
+                    best[i] = x
+        out[q] = sorted(best, key=lambda i: (-best[i], i))[:k]
+    return out
+
+
+def found_nearest(df):
+    got = defaultdict(list)
+    for r in nearest(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    return got
+
+
+def test_nearest_repeated_ids_and_common_vectors(spark):
+    """400 near vectors of one id, a vector that a third of all ids share, ids with several vectors, two dimensions."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8))
+    rows = [(i, x[i].tolist()) for i in range(300)]
+    rows += [(7, (x[0] + 1e-3 * rng.normal(size=8)).tolist()) for _ in range(400)]
+    rows += [(1000 + i, x[1].tolist()) for i in range(300)] + [(50, x[400].tolist())]
+    schema = "vec_id long, embedding array<double>"
+    got, want = found_nearest(spark.createDataFrame(rows, schema)), brute_nearest(rows)
+    assert set(got) == set(want) and all(len(got[q]) == 5 and len(set(got[q])) == 5 for q in got)
+    assert got[0][0] == 7 and got[1000] == [1, 1001, 1002, 1003, 1004] and got[1050] == [1, 1000, 1001, 1002, 1003]
+    assert sum(len(set(got[q]) & set(want[q])) for q in got) >= 0.95 * 5 * len(got)
+    small = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.0, 0.0]), (50, [0.0, 1.0, 0.0]), (100, [3.0])]
+    assert found_nearest(spark.createDataFrame(small, schema)) == {0: [1], 50: [2]}
+
+
+def test_nearest_recall_over_a_table(spark):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    got, want = found_nearest(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")), brute_nearest(rows)
+    recall = sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values()))
+    assert recall >= 0.9, recall
