@@ -219,13 +219,16 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn_weights(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Log odds of words and beginnings; of those that overlap the one that tells most (support times log odds, then the longer)."""
+    """Log odds of words and beginnings; of those that overlap the one that tells most (support times log odds, then the longer).
+
+    All terms that qualify are taken; the sample's bound bounds them.
+    """
     least = max(3, round(0.02 * n_toxic))
     counts = (
         sample.mapInPandas(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .withColumn("weight", F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0)))
         .filter((F.col("toxic") >= least) & (F.col("weight") >= 3.0) & (F.col("clean") * 4 <= F.col("toxic")))
-        .withColumn("tells", F.col("toxic") * F.col("weight")).orderBy(F.desc("tells"), F.desc(F.length("term")), "term").limit(3000)
+        .withColumn("tells", F.col("toxic") * F.col("weight")).orderBy(F.desc("tells"), F.desc(F.length("term")), "term")
     )
     out: dict[str, float] = {}
     for r in counts.collect():
@@ -236,14 +239,31 @@ def learn_weights(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, fl
     return out
 
 
+#: The least coefficient of the summed weight, so that a clause that weighs less scores less.
+LEAST_TOTAL = 0.25
+
+
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression with a small ridge, by Newton steps."""
+    """Logistic regression with a small ridge, by Newton steps, in which no feature lowers the score.
+
+    A coefficient that would fall under its bound is set to it and left out of
+    the next fit, until none does.
+    """
     z = np.c_[np.ones(len(x)), x]
-    beta, ridge = np.zeros(z.shape[1]), np.diag([1e-6, *[1e-2] * x.shape[1]])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        beta += np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (y - p) - ridge @ beta)
-    return tuple(float(b) for b in beta)
+    ridge = np.diag([1e-6, *[1e-2] * x.shape[1]])
+    bound = np.array([-np.inf, LEAST_TOTAL, *[0.0] * (x.shape[1] - 1)])
+    free, beta = np.ones(z.shape[1], bool), np.zeros(z.shape[1])
+    while True:
+        beta[free] = 0.0
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+            zf, rf = z[:, free], ridge[np.ix_(free, free)]
+            beta[free] += np.linalg.solve(zf.T @ (zf * (p * (1 - p))[:, None]) + rf + 1e-9 * np.eye(free.sum()), zf.T @ (y - p) - rf @ beta[free])
+        low = free & (beta < bound)
+        if not low.any():
+            return tuple(float(b) for b in beta)
+        beta[low] = bound[low]
+        free &= ~low
 
 
 def _features(batches: Iterator[pd.DataFrame], grammar: Grammar) -> Iterator[pd.DataFrame]:

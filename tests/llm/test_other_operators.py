@@ -371,3 +371,57 @@ def test_nearest_recall_over_a_table(spark):
     got, want = found_nearest(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")), brute_nearest(rows)
     recall = sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values()))
     assert recall >= 0.9, recall
+
+
+def walk_clause(g, clause):
+    """A clause's weight by walking each transducer on its own, beside the composed machine."""
+    from panelweave.llm import toxicity_grammar as M
+
+    parts = [M._insult(), M._threat(), M._target(), M._negation(), M._reported()]
+    states, weight, held = [0] * len(parts), 0.0, 0.0
+    for raw in clause.lower().split():
+        symbol, value = g.classify(raw if raw.isalpha() else M._EDGE.sub("", raw))
+        moves = [t.step(s, symbol) for t, s in zip(parts, states)]
+        value *= float(np.prod([f for _, f in moves]))
+        waits = any((s, symbol) in t.holds for t, s in zip(parts, states))
+        if waits:
+            held += value
+        elif any((s, symbol) in t.frees for t, s in zip(parts, states)):
+            weight, held = weight + held, 0.0
+        elif symbol in (M.INSULT, M.THREAT):
+            weight += value
+        states = [n for n, _ in moves]
+        if not any(s in t.waits for t, s in zip(parts, states)):
+            held = 0.0
+    return weight
+
+
+def test_composed_machine_equals_separate_machines():
+    import itertools
+
+    g = Grammar({"idiot": 4.0, "lowe*": 3.0, "abc+": 2.0})
+    words = ["idiot", "kill", "you", "not", "said", "tree", "abcde"]
+    for n in (1, 2, 3, 4):
+        for clause in itertools.product(words, repeat=n):
+            text = " ".join(clause)
+            found = g.clauses(text)
+            assert abs((found[0][0] if found else 0.0) - walk_clause(g, text)) < 1e-9, text
+
+
+def test_fitted_scores_are_monotone():
+    """With coefficients fitted on the test table a negated, reported or missing insult scores lower, a second one no lower."""
+    import pyarrow.parquet as pq
+    from panelweave.llm.toxicity_grammar import FEATURES, LEAST_TOTAL, _fit
+
+    d = "/root/testdata/sf0.01"
+    docs, lab = pq.read_table(f"{d}/documents.parquet").to_pandas(), pq.read_table(f"{d}/labels.parquet").to_pandas()
+    rows = docs.merge(lab, on="doc_id")
+    g = Grammar({"idiot": 4.0, "scum": 3.0, "worthless": 3.0, "dummkopf": 4.0})
+    x = np.array([g.features(t or "") for t in rows.text])
+    g.coefficients = _fit(x, rows.toxic.to_numpy(float))
+    assert g.coefficients[1] >= LEAST_TOTAL and min(g.coefficients[2:]) >= 0 and len(g.coefficients) == 1 + len(FEATURES)
+    score = lambda t: float(g.score(np.array([g.features(t)]))[0])
+    assert score("tree") < score("not an idiot here") < score("an idiot here") < score("you idiot")
+    assert score("someone said idiot here") < score("an idiot here") <= score("an idiot here, and a scum there")
+    noise = np.random.default_rng(0).random((400, len(FEATURES)))
+    assert min(_fit(noise, (noise.sum(axis=1) < 2).astype(float))[1:]) >= 0
