@@ -7,18 +7,18 @@ bits, divided by the greatest value that its number of tokens allows.  Each has
 a rejection band for the document's language; a language without bands of its
 own takes those of the script most of its letters belong to.
 
-Within these fixed bands a language with ``LEAST_DOCS`` judged documents or more
-has narrower ones, measured over the whole table: medians less or more so many
-quartile ranges.  As the entropy falls with the length of a text, its median and
-range are taken for each half octave of tokens and carried on in between, and
-only a low one rejects.  The byte share has its fixed band only.
+Within these fixed bands a language with ``LEAST_DOCS`` documents or more has
+narrower ones, measured over all documents that pass the base rule: medians less
+or more so many quartile ranges.  As the measures spread and the entropy falls
+with the length of a text, medians and ranges are taken for each half octave of
+tokens and carried on in between; of entropy only a low one rejects.  The byte
+share has its fixed band only.
 
 Base counts (words, symbols, repeated lines and words) come with the verdict.
 
-Edge cases: null and empty texts have no words and fail the base rule; a text
-with fewer than ``MIN_TOKENS`` tokens is judged by the base rule alone, since its
-measures are noise; a null or unknown language uses script bands; every row has
-a result, repeated or not; other columns are ignored.
+Edge cases: null and empty texts have no words and fail the base rule; a null or
+unknown language uses script bands; every row has a result, repeated or not;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ from .word_cache import WordCache
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
-MIN_TOKENS = 30
 
 #: Fixed values: (least, most) characters per token, greatest byte-fallback share, least relative entropy.
 LANGUAGE_BANDS = {
@@ -95,24 +94,23 @@ class Fertility(WordCache):
 
 @dataclass(frozen=True)
 class MeasuredBand:
-    """Of one language: least and most characters per token, and by log2 of tokens the median and quartile range of relative entropy."""
+    """Of one language: by log2 of tokens the medians and quartile ranges of characters per token and of relative entropy."""
 
-    chars: tuple[float, float]
     at: tuple[float, ...]
-    median: tuple[float, ...]
-    spread: tuple[float, ...]
+    chars: tuple[float, ...]
+    chars_range: tuple[float, ...]
+    entropy: tuple[float, ...]
+    entropy_range: tuple[float, ...]
 
-    def least_entropy(self, n_tokens: int) -> float:
-        x, at, y = float(np.log2(n_tokens)), self.at, self.median
-        if not at:
-            return 0.0
+    def fits(self, n_tokens: int, per_token: float, relative: float) -> bool:
+        if not self.at:
+            return True
+        x, at, y = float(np.log2(max(1, n_tokens))), self.at, self.entropy
         middle = float(np.interp(x, at, y))
         if len(at) > 1 and x > at[-1]:
             middle += min(0.0, (y[-1] - y[-2]) / (at[-1] - at[-2])) * (x - at[-1])
-        return middle - ENTROPY_RANGES * float(np.interp(x, at, self.spread))
-
-    def fits(self, n_tokens: int, per_token: float, relative: float) -> bool:
-        return self.chars[0] <= per_token <= self.chars[1] and relative >= self.least_entropy(n_tokens)
+        far = abs(per_token - float(np.interp(x, at, self.chars))) > CHARS_RANGES * float(np.interp(x, at, self.chars_range))
+        return not far and relative >= middle - ENTROPY_RANGES * float(np.interp(x, at, self.entropy_range))
 
 
 def _quartiles(steps: pd.Series, n: pd.Series, step: float) -> tuple[float, float]:
@@ -172,9 +170,9 @@ def measures(texts: list[str | None], path: str, languages: list[str | None] | N
             share = n_bytes[i] / n_tokens[i] if n_tokens[i] else 0.0
             language = languages[s][i] if languages is not None else None
             band = LANGUAGE_BANDS.get(language) or SCRIPT_BANDS[script_of(text)]
-            fits = n_tokens[i] < MIN_TOKENS or (band[0] <= per_token <= band[1] and share <= band[2] and relative[i] >= band[3])
+            fits = band[0] <= per_token <= band[1] and share <= band[2] and relative[i] >= band[3]
             measured = (bands or {}).get(language)
-            if measured is not None and n_tokens[i] >= MIN_TOKENS:
+            if measured is not None:
                 fits = fits and measured.fits(n_tokens[i], per_token, relative[i])
             rows.append((int(n[i]), chars, symbols, len(lines) - len(set(lines)), int(repeated[i]), base_failed, bool(fits and not base_failed), int(n_tokens[i]), per_token, float(share), float(entropy[i]), float(relative[i])))
     return pd.DataFrame(rows, columns=FIELDS)
@@ -201,24 +199,20 @@ def measured_bands(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     """The bands of each language, from counts of the rounded measures of all documents within the fixed bands."""
     language = F.col(lang_col).cast("string")
     seen = docs.select(language.alias("lang"), fertility_column(F.col(text_col), language, vocabulary).alias("q")).filter("lang is not null")
-    seen = seen.filter(F.col("q.kept") & (F.col("q.n_tokens") >= MIN_TOKENS)).select("lang", F.explode(F.array(
-        F.struct(F.floor(2 * F.log2("q.n_tokens")).cast("int").alias("span"), F.round(F.col("q.relative_entropy") / ENTROPY_STEP).cast("int").alias("step")),
-        F.struct(F.lit(-1).alias("span"), F.round(F.col("q.chars_per_token") / CHARS_STEP).cast("int").alias("step")),
-    )).alias("v")).groupBy("lang", "v.span", "v.step").agg(F.count("*").alias("n"))
+    span = F.floor(2 * F.log2("q.n_tokens")).cast("int").alias("span")
+    seen = seen.filter("q.kept").select("lang", F.explode(F.array(
+        F.struct(span, F.lit(0).alias("what"), F.round(F.col("q.relative_entropy") / ENTROPY_STEP).cast("int").alias("step")),
+        F.struct(span, F.lit(1).alias("what"), F.round(F.col("q.chars_per_token") / CHARS_STEP).cast("int").alias("step")),
+    )).alias("v")).groupBy("lang", "v.span", "v.what", "v.step").agg(F.count("*").alias("n"))
     counts = seen.withColumn("_all", F.sum("n").over(Window.partitionBy("lang"))).filter(F.col("_all") >= 2 * LEAST_DOCS).drop("_all").toPandas()
     bands = {}
     for name, own in counts.groupby("lang"):
-        chars, at, median, spread = (0.0, np.inf), [], [], []
+        found = []
         for span, part in own.groupby("span"):
-            if span < 0:
-                middle, width = _quartiles(part.step, part.n, CHARS_STEP)
-                chars = (middle - CHARS_RANGES * width, middle + CHARS_RANGES * width)
-            elif part.n.sum() >= LEAST_SPAN:
-                middle, width = _quartiles(part.step, part.n, ENTROPY_STEP)
-                at.append((span + 0.5) / 2)
-                median.append(middle)
-                spread.append(width)
-        bands[name] = MeasuredBand(chars, tuple(at), tuple(median), tuple(spread))
+            entropy, chars = part[part.what == 0], part[part.what == 1]
+            if entropy.n.sum() >= LEAST_SPAN:
+                found.append(((span + 0.5) / 2, *_quartiles(chars.step, chars.n, CHARS_STEP), *_quartiles(entropy.step, entropy.n, ENTROPY_STEP)))
+        bands[name] = MeasuredBand(*(tuple(c) for c in zip(*found))) if found else MeasuredBand((), (), (), (), ())
     return bands
 
 
