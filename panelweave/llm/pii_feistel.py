@@ -16,7 +16,13 @@ the longest; the rest of the run is searched for the other kinds.
 Domains: runs of digits and of letters keep their length and class; a card keeps
 its first digit; a telephone number its country code; an address its domain; a
 date stays a valid date between 1700-01-01 and 2099-12-31 (146,097 days, which
-is 27 times 5,411); runs over 20 characters are permuted in parts.
+is 27 times 5,411); runs over 20 characters are permuted in parts, and a part's
+place in its value enters the permutation.  A telephone number's country code is
+told by the numbering plan, so the ways to write a number have one pseudonym.
+
+The key is a literal of the expression.  The session's
+``spark.sql.redaction.string.regex`` is set so that Spark masks it in explained
+plans, the user interface and event logs.
 
 Edge cases: a null text stays null and has no values, an empty one stays empty;
 ids may be null or repeated; other columns are kept by ``pseudonymise_column``
@@ -25,7 +31,7 @@ and ignored by ``pseudonymise``; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -38,7 +44,7 @@ NAMED = rf"(?<={_NAMES}\s{{0,2}}[=:]\s{{0,2}}[\"']?)"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "secret": NAMED + r"[0-9A-Za-z]{8,64}",
+    "secret": NAMED + r"[0-9A-Za-z][0-9A-Za-z_+/=.~-]{6,}[0-9A-Za-z=]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])(?:1[789]|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
@@ -55,6 +61,10 @@ def _quote(text: str) -> str:
 
 #: Runs that may hold values of these kinds, at any of their groups.
 RUNS = {"iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9 ]{10,}[A-Z0-9]\b", "card": r"(?<![0-9])[0-9][0-9 -]{11,}[0-9](?![0-9])"}
+#: Fixed value: country codes of one and two digits by the numbering plan; all others have three.
+COUNTRY_CODE = "^([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Masks the key in the text of a plan.
+KEY_IN_PLAN = r"(?<=concat_ws\(\|, ).*?(?=, (?:ip|date|concat\(|[a-z]+/))"
 #: What every text with a value holds.
 HINT = f"[0-9@]|AKIA|{_NAMES}"
 
@@ -96,11 +106,17 @@ def _run(key: str, x: str, radix: int, tweak: str) -> str:
 _LETTERS, _DIGITS26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 
 
+def _placed(tweak: str) -> str:
+    """The tweak of the part at index ``at`` of a value."""
+    return f"concat({tweak}, if(at = 0, '', concat('#', at)))"
+
+
 def _runs(key: str, value: str, tweak: str) -> str:
-    """Permute each run of digits, of small and of capital letters on its own; keep all else."""
+    """Permute each run of digits, of small and of capital letters on its own, by its place; keep all else."""
+    tweak = _placed(tweak)
     letters = lambda x: f"translate({_let('z', f'translate({x}, {_quote(_LETTERS)}, {_quote(_DIGITS26)})', _run(key, 'z', 26, tweak))}, {_quote(_DIGITS26)}, {_quote(_LETTERS)})"
     return (
-        f"array_join(transform(regexp_extract_all({value}, '[0-9]{{1,20}}|[a-z]{{1,20}}|[A-Z]{{1,20}}|[^0-9A-Za-z]+', 0), w -> "
+        f"array_join(transform(regexp_extract_all({value}, '[0-9]{{1,20}}|[a-z]{{1,20}}|[A-Z]{{1,20}}|[^0-9A-Za-z]+', 0), (w, at) -> "
         f"case when w rlike '^[0-9]' then {_run(key, 'w', 10, tweak)} when w rlike '^[a-z]' then {letters('w')} "
         f"when w rlike '^[A-Z]' then upper({letters('lower(w)')}) else w end), '')"
     )
@@ -196,25 +212,35 @@ def pseudonym_sql(v: str, key: str) -> str:
         "named_struct('o', concat(f.o, ' '), 'k', f.k), named_struct('o', concat(f.o, substr(concat(substr(k, 1, 2), lpad(cast(98 - " + _mod97("k") + " as string), 2, '0'), b), f.k, 1)), 'k', f.k + 1))).o")) + f", {v})")
     iso = _date(key, f"substr({v}, 1, 4)", f"substr({v}, 6, 2)", f"substr({v}, 9, 2)", "date_format(d, 'yyyy-MM-dd')", v)
     first = _date(key, f"substr({v}, 7, 4)", f"substr({v}, 4, 2)", f"substr({v}, 1, 2)", f"concat(date_format(d, 'dd'), substr({v}, 3, 1), date_format(d, 'MM'), substr({v}, 6, 1), date_format(d, 'yyyy'))", v)
-    hexes = f"array_join(transform(regexp_extract_all({v}, '.{{1,20}}', 0), w -> {_run(key, 'w', 16, _quote('hex'))}), '')"
+    hexes = f"array_join(transform(regexp_extract_all({v}, '.{{1,20}}', 0), (w, at) -> {_run(key, 'w', 16, _placed(_quote('hex')))}), '')"
     ssn = _refill(v, _let("z", _only_digits(v), _run(key, "z", 10, _quote("ssn"))))
     return (
         f"case when {kind['email']} then concat({_runs(key, f'substring_index({v}, {_quote(chr(64))}, 1)', _quote('email'))}, '@', substring_index({v}, '@', -1)) "
         f"when {kind['key']} then concat('AKIA', {_runs(key, f'substr({v}, 5)', _quote('key'))}) "
         f"when {kind['ip']} then {ip} when {kind['date']} then {iso} when {kind['day_first']} then {first} when {kind['ssn']} then {ssn} "
-        f"when {kind['iban']} then {iban} when {kind['card']} and {valid} then {card} "
+        f"when {kind['iban']} then {iban} when {kind['card']} and {valid} then {card} when {kind['card']} then {v} "
         f"when {v} rlike '^[^A-Za-z]*[(+.-][^A-Za-z]*$' then {_phone(v, key)} "
         f"when {v} rlike '^[0-9a-f]*[a-f][0-9a-f]*$' then {hexes} when {kind['secret']} and {v} rlike '[A-Za-z]' then {_runs(key, v, _quote('secret'))} else {v} end"
     )
 
 
 def _phone(v: str, key: str) -> str:
-    code = f"if({v} like '+%', regexp_extract({v}, '^[+]([0-9]{{1,3}})', 1), '')"
+    code = f"if({v} like '+%', regexp_extract({_only_digits(v)}, {_quote(COUNTRY_CODE)}, 1), '')"
     return _let("h", code, _let("z", f"substr({_only_digits(v)}, length(h) + 1)", f"if({v} rlike '[(+.-]' and length(z) between 6 and 15, {_refill(v, 'concat(h, ' + _run(key, 'z', 10, _quote('phone')) + ')')}, {v})"))
 
 
+def _mask_key() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        name = "spark.sql.redaction.string.regex"
+        held = spark.conf.get(name, None)
+        if not held or KEY_IN_PLAN not in held:
+            spark.conf.set(name, f"{held}|{KEY_IN_PLAN}" if held else KEY_IN_PLAN)
+
+
 def pseudonymise_column(name: str, key: str = DEFAULT_KEY) -> Column:
     """A struct: ``text`` with pseudonyms, ``n`` values that changed."""
+    _mask_key()
     t = "`" + name.replace("`", "``") + "`"
     # Values and what stands before each; the last of a stretch takes the value that ends it.
     ended = lambda pairs, value: _let("z", pairs, f"concat(slice(z, 1, size(z) - 1), array(named_struct('plain', element_at(z, -1).plain, 'value', {value})))")

@@ -2,12 +2,12 @@
 
 Documents are counted in cells of source, language and topic.  The cells' token
 weights are raked in turns to the three target marginals; a document is then
-sampled with probability ``rate`` times its cell's weight, at most 1, and keeps
-the ratio of weight and probability as its design weight.  Sampling is decided
-by a hash of the id, so it is the same in every run.  Where the cap of 1 bites,
-only the design weights make up for it; with ``uncapped`` the rate is lowered to
-1 over the greatest weight of a cell with tokens, so that the selected rows meet
-the targets by themselves.
+sampled with probability ``rate`` times its cell's weight, and keeps the ratio of
+weight and probability as its design weight.  Sampling is decided by a hash of
+the id, so it is the same in every run.  The rate is lowered to 1 over the
+greatest weight of a cell with tokens, so that no probability is cut off and the
+selected rows meet the targets by themselves; without ``uncapped`` it stays, a
+probability is 1 at most, and only the design weights make up for the rest.
 
 Targets may be given as a dictionary for each margin (shares of tokens; what is
 not named shares the rest as it is); by default a margin's share is its token
@@ -63,6 +63,8 @@ def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict[str
     for m in margins:
         c = c.withColumn(f"_t_{m}", sums[m].cast("double"))
     c = durable(c)
+    if c.count() <= MOST_BROADCAST:
+        c = c.coalesce(1)  # a few thousand cells are summed in place, without a shuffle for each margin
     # The numbers that make temperatures shares: one row of scalars.
     scale = c.agg(F.sum(total).cast("double"), *[F.sum(F.when(F.col(f"_t_{m}") > 0, total / F.col(f"_t_{m}") * F.pow(f"_t_{m}", F.lit(temperatures.get(m, 1.0))))) for m in margins]).first()
     everything = scale[0] or 0.0
@@ -87,7 +89,7 @@ def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict[str
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None,
-    targets: dict[str, dict[str, float]] | None = None, temperatures: dict[str, float] | None = None, rounds: int = ROUNDS, rate: float = RATE, carry: bool = False, uncapped: bool = False,
+    targets: dict[str, dict[str, float]] | None = None, temperatures: dict[str, float] | None = None, rounds: int = ROUNDS, rate: float = RATE, carry: bool = False, uncapped: bool = True,
 ) -> DataFrame:
     """For each row: ``doc_id``, the three margins, ``n_tokens``, ``weight``, ``probability``, ``selected``, ``design_weight``.
 
@@ -137,7 +139,8 @@ def duckdb_sql(rounds: int = ROUNDS, rate: float = RATE, temperatures: dict[str,
         cells as (select source, lang, topic, sum(n_tokens)::bigint as tokens from r group by all),
         c as (select *, {sums} from cells), z as (select sum(tokens)::double as everything, {scale} from c),
         w0 as (select source, lang, topic, tokens, {share}, 1.0::double as weight from c, z), {", ".join(steps)},
-        j as (select r.doc_id, r.source, r.lang, r.topic, r.n_tokens, coalesce(w.weight, 1.0) as weight, least(1.0, {rate}::double * coalesce(w.weight, 1.0)) as probability
-            from r left join {last} w on r.source is not distinct from w.source and r.lang is not distinct from w.lang and r.topic is not distinct from w.topic)
+        rate as (select least({rate}::double, 1.0 / coalesce(max(weight), 1.0)) as rate from {last} where tokens > 0),
+        j as (select r.doc_id, r.source, r.lang, r.topic, r.n_tokens, coalesce(w.weight, 1.0) as weight, least(1.0, rate.rate * coalesce(w.weight, 1.0)) as probability
+            from rate cross join r left join {last} w on r.source is not distinct from w.source and r.lang is not distinct from w.lang and r.topic is not distinct from w.topic)
         select doc_id, source, lang, topic, n_tokens::bigint as n_tokens, round(weight, 6) as weight, round(probability, 6) as probability,
             ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 < probability as selected, round(weight / probability, 6) as design_weight from j"""

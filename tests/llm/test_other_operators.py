@@ -425,3 +425,19 @@ def test_fitted_scores_are_monotone():
     assert score("someone said idiot here") < score("an idiot here") <= score("an idiot here, and a scum there")
     noise = np.random.default_rng(0).random((400, len(FEATURES)))
     assert min(_fit(noise, (noise.sum(axis=1) < 2).astype(float))[1:]) >= 0
+
+
+def test_pseudonyms_long_secrets_phones_and_key(spark):
+    """No character of a long secret stays, ways to write a telephone number are linked, parts differ by place, the key isn't in the plan."""
+    long, marked = "abcdefghij" * 8, ["sk-proj-abcd1234efgh", "abc_def_123456", "a" * 60]
+    texts = [f"password={long}", *(f"api_key={x}" for x in marked), "+1 456 555 2186", "+14565552186", "+49 30 123456", "+4930123456", "3782-822463-10006", "token: " + "7" * 40 + "x"]
+    df = pseudonymise(frame(spark, list(enumerate(texts))))
+    got = [r.text for r in df.orderBy("doc_id").collect()]
+    assert len(got[0]) == len(texts[0]) and got[0][9:29] != got[0][29:49] and not any(got[0][9 + k : 19 + k] == long[k : k + 10] for k in range(0, 80, 10))
+    for x, old, new in zip(marked, texts[1:], got[1:]):
+        assert x not in new and len(new) == len(old) and [c.isalnum() for c in new] == [c.isalnum() for c in old]
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(got[4]) == digits(got[5]) != "14565552186" and got[4].startswith("+1 ") and digits(got[6]) == digits(got[7]) and got[6].startswith("+49 ")
+    assert got[8] == texts[8] and len(set(re.findall("[0-9]{20}", got[9]))) == 2
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "extended")
+    assert DEFAULT_KEY not in plan
