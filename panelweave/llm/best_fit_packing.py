@@ -4,12 +4,17 @@ Each document becomes its byte-pair ids and a closing id.  Only documents longer
 than the capacity are cut: the first piece takes the remainder, all others are
 full.  Pieces are dealt by hash into groups of a bounded number; in a group they
 are placed best fit decreasing, and then a local search works on the bins that
-are not full.  The emptiest bin gives items away by moves, one-for-one swaps and
-two-for-one swaps that each raise the sum of squared fills, until it is empty or
-nothing helps.  The search is bounded: 4,000 changes in a group, an end after 12
-bins in a row that can't be emptied, pairs from the first 40 items of a bin; all
-pieces stay packed, only more sequences may be left.  A group loses about one bin at most against packing all pieces
-together, so the loss does not grow with the input.
+are not full.  From the emptiest on, a bin gives items away by moves, one-for-one
+swaps and two-for-one swaps that each raise the sum of squared fills, until it is
+empty or nothing helps; the search ends when every bin has had its turn or no
+packing could have fewer bins.  A swap is found among all items and pairs by
+their lengths, in one pass over the bins' items.
+
+Only a document's first piece can be shorter than the capacity.  Full pieces are
+sequences of their own, dealt into parts of their own, so that a group holds a
+bounded number of pieces however long the documents are.  A group loses about
+one bin at most against packing all pieces together, so the loss does not grow
+with the input.
 
 Edge cases: a null text is an empty one, one closing id long; a null id keeps
 its row; repeated rows are packed each on its own; other columns are ignored; an
@@ -163,59 +168,83 @@ class _Bins:
         self.fill[giver] -= moved
         self.fill[taker] += moved
 
-    def local_search(self, steps: int = 4000, patience: int = 12) -> None:
-        """Empty the bins with the least fill, one after the other."""
-        order = [k for k in sorted(range(len(self.bins)), key=self.fill.__getitem__) if self.fill[k] < self.capacity]
-        fails = 0
-        for giver in order:
-            if fails >= patience or steps <= 0:
+    def local_search(self, changes: tuple[str, ...] = ("move", "one", "two")) -> None:
+        """Empty the bins with the least fill, one after the other, by the kinds of ``changes``."""
+        self.owner = np.zeros(len(self.lengths), np.int64)
+        for k, b in enumerate(self.bins):
+            self.owner[b] = k
+        level = np.array(self.fill, np.int64)
+        least = -(-int(self.lengths.sum()) // self.capacity)
+        live = int((level > 0).sum())
+        for giver in [int(k) for k in np.argsort(level, kind="stable") if 0 < level[k] < self.capacity]:
+            if live <= least:
                 break
-            while self.bins[giver] and steps > 0:
-                steps -= 1
-                found = self.best_change(giver, order)
+            while 0 < self.fill[giver] < self.capacity:
+                found = self.best_change(giver, level, changes)
                 if found is None:
                     break
-                self.exchange(giver, *found)
-            fails = 0 if not self.bins[giver] else fails + 1
-
-    def best_change(self, giver: int, order: list[int]) -> tuple[list[int], int, list[int]] | None:
-        """The move or swap that shifts most tokens out of ``giver`` while squared fill grows."""
-        takers = [k for k in order if k != giver and self.bins[k] and self.fill[k] < self.capacity]
-        if not takers:
+                give, taker, take = found
+                self.exchange(giver, give, taker, take)
+                self.owner[give], self.owner[take] = taker, giver
+                level[[giver, taker]] = self.fill[giver], self.fill[taker]
+            live -= not self.bins[giver]
+
+    def best_change(self, giver: int, level: np.ndarray, changes: tuple[str, ...]) -> tuple[list[int], int, list[int]] | None:
+        """The move, or else the swap, that shifts most tokens out of ``giver`` while squared fill grows.
+
+        That holds if the taker ends fuller than the giver was.
+        """
+        open_ = (level > 0) & (level < self.capacity)
+        open_[giver] = False
+        if not open_.any():
+            return None
+        own, full = self.bins[giver], self.fill[giver]
+        by_length = {int(self.lengths[x]): x for x in own}
+        singles = np.array(sorted(by_length), np.int64)
+        if "move" in changes:
+            fits = self._fitting(singles)
+            takers = np.flatnonzero(open_)
+            gap = self.capacity - level[takers]
+            size = fits[gap]
+            size[level[takers] + size <= full] = 0
+            most = int(size.max())
+            if most:
+                # Of the bins that can take the item the one with the smallest gap.
+                can = takers[(gap >= most) & (level[takers] + most > full)]
+                return [by_length[most]], int(can[np.argmax(level[can])]), []
+        give: dict[int, list[int]] = {}
+        if "two" in changes:
+            times = {n: [x for x in own if self.lengths[x] == n][:2] for n in by_length}
+            for i, a in enumerate(singles.tolist()):
+                for b in singles[i:].tolist():
+                    if a != b or len(times[a]) > 1:
+                        give.setdefault(a + b, [times[a][0], times[b][-1]])
+        if "one" in changes:
+            give |= {n: [x] for n, x in by_length.items()}
+        if not give:
+            return None
+        fits = self._fitting(np.array([t for t in give if t <= self.capacity], np.int64))
+        items = np.flatnonzero(open_[self.owner])
+        bins, size = self.owner[items], self.lengths[items]
+        shift = fits[size + self.capacity - level[bins]] - size
+        shift[(shift <= 0) | (level[bins] + shift <= full)] = 0
+        best = int(np.argmax(shift))
+        if not shift[best]:
             return None
-        fills = np.array([self.fill[k] for k in takers])
-        gaps = self.capacity - fills
-        own = self.bins[giver]
-        # A taker must end fuller than the giver began, else the sum of squares does not grow.
-        best, choice = 0, None
-        for x in own:  # move
-            size = int(self.lengths[x])
-            ok = np.flatnonzero((gaps >= size) & (fills + size > self.fill[giver]))
-            if len(ok) and size > best:
-                k = ok[np.argmin(gaps[ok])]
-                best, choice = size, ([x], takers[k], [])
-        if choice is not None:
-            return choice
-        sizes = np.array([len(self.bins[k]) for k in takers])
-        items = np.concatenate([self.bins[k] for k in takers]).astype(np.int64)
-        owner = np.repeat(np.arange(len(takers)), sizes)
-        lengths, room, level = self.lengths[items], gaps[owner], fills[owner]
-        pairs = [([x], int(self.lengths[x])) for x in own]
-        pairs += [([x, y], int(self.lengths[x] + self.lengths[y])) for i, x in enumerate(own[:40]) for y in own[i + 1 : 40]]
-        for give, total in pairs:  # one for one, then two for one
-            shift = total - lengths
-            ok = np.flatnonzero((shift > best) & (shift <= room) & (level + shift > self.fill[giver]))
-            if len(ok):
-                k = ok[np.argmax(shift[ok])]
-                best, choice = int(shift[k]), (give, takers[owner[k]], [int(items[k])])
-        return choice
-
-
-def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+        return give[int(shift[best] + size[best])], int(bins[best]), [int(items[best])]
+
+    def _fitting(self, totals: np.ndarray) -> np.ndarray:
+        """For each room up to the capacity the greatest of ``totals`` that fits, 0 if none does."""
+        out = np.zeros(self.capacity + 1, np.int64)
+        out[totals] = totals
+        return np.maximum.accumulate(out)
+
+
+def pack(lengths: np.ndarray, capacity: int, changes: tuple[str, ...] = ("move", "one", "two")) -> list[list[int]]:
     """Bins of item numbers; no bin holds more than ``capacity``."""
     bins = _Bins(np.asarray(lengths, np.int64), capacity)
     bins.best_fit_decreasing()
-    bins.local_search()
+    bins.local_search(changes)
     return [b for b in bins.bins if b]
 
 
@@ -233,10 +262,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """For each piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``."""
     path, table = tokenizer or default_tokenizer(), ranks or default_ranks()
     base = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    groups = max(1, -(-docs.select(id_col).count() // GROUP))
+    # A token has one byte at least, so these bound the first pieces and all pieces.
+    rows, most = docs.agg(F.count("*"), F.sum(F.floor((F.coalesce(F.octet_length(text_col), F.lit(0)) + capacity) / capacity))).first()
+    groups, more = max(1, -(-rows // GROUP)), max(1, -(-int(most or 0) // GROUP))
     schema = "doc_id string, piece int, start long, length long, ids_crc32 long"
+    place = F.xxhash64("doc_id", "piece", "ids_crc32")
     pieces = base.mapInPandas(lambda it: _pieces(it, path, table, capacity, closing), schema).withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+        "part", F.when(F.col("length") < capacity, F.pmod(place, F.lit(groups))).otherwise(groups + F.pmod(place, F.lit(more)))
     )
     packed = pieces.groupBy("part").applyInPandas(lambda g: _packed(g, capacity), schema + ", sequence_id long, offset long")
     return packed.withColumn("doc_id", F.col("doc_id").cast("long"))

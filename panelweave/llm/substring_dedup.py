@@ -33,6 +33,10 @@ from pyspark.sql import functions as F
 from .text_hash import chunks, inside, mix, windows, words_of
 
 
+#: Text for each bucket of windows, and for each share of the result.
+BUCKET_BYTES = 16 << 20
+
+
 def _smallest(x: np.ndarray, k: int) -> np.ndarray:
     """Minimum of every k consecutive values."""
     span, out = 1, x
@@ -215,7 +219,6 @@ def remove_repeats(
     """For each row of ``docs``: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``, ``removed`` (maximal
     intervals of words, end exclusive) and, if asked for, ``kept_text``.
     """
-    spark = docs.sparkSession
     base = docs.select(
         F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"),
         F.xxhash64(id_col, text_col).alias("row_key"), F.xxhash64(text_col).alias("text_key"),
@@ -225,7 +228,9 @@ def remove_repeats(
     anchors = base.mapInPandas(lambda it: _anchors(it, width, anchor), "row_key long, text_key long, anchor long, times long")
     repeated = anchors.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor")
     hits = anchors.join(repeated, "anchor").groupBy(*keys).agg(F.collect_set("anchor").alias("anchors"))
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # So many buckets and shares that one holds the windows of about BUCKET_BYTES of text, whatever the input.
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-int(size) // BUCKET_BYTES))
     # Both joins deal the same columns out by the same keys, so Spark shuffles the texts once and reads that twice.
     columns = ["doc_id", *keys, "text"]
     candidates = base.join(hits, keys).select(*columns, "anchors")

@@ -441,3 +441,27 @@ def test_pseudonyms_long_secrets_phones_and_key(spark):
     assert got[8] == texts[8] and len(set(re.findall("[0-9]{20}", got[9]))) == 2
     plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "extended")
     assert DEFAULT_KEY not in plan
+
+
+def test_each_change_of_the_local_search_saves_a_bin():
+    """A move, a one-for-one and a two-for-one swap, each needed; and items of one length in numbers, which end."""
+    from panelweave.llm.best_fit_packing import _Bins
+
+    by_hand = _Bins(np.array([3, 7, 6, 4]), 10)
+    by_hand.bins, by_hand.fill = [[0], [1], [2], [3]], [3, 7, 6, 4]
+    by_hand.local_search(("move",))
+    assert sorted(sorted(b) for b in by_hand.bins if b) == [[0, 1], [2, 3]]
+    one, two = np.array([22, 16, 6, 8, 5, 6, 11, 10, 5]), np.array([12, 2, 2, 8, 5, 9, 4, 2])
+    assert len(pack(one, 23, ("move",))) == 5 and len(pack(one, 23, ("move", "one"))) == 4
+    assert len(pack(two, 15, ("move", "one"))) == 4 and len(pack(two, 15)) == 3
+    sizes = np.random.default_rng(1).integers(300, 500, 3000)
+    bins = pack(sizes, 1024)
+    assert sorted(i for b in bins for i in b) == list(range(3000)) and all(sizes[b].sum() <= 1024 for b in bins) and len(bins) < len(pack(sizes, 1024, ()))
+
+
+def test_packing_of_long_documents(spark):
+    """Full pieces are sequences of their own; sequence numbers never clash."""
+    got = pack_documents(frame(spark, [(i, "word " * 5000) for i in range(6)] + [(9, None)])).collect()
+    places = {(r.sequence_id, r.offset) for r in got}
+    full = [r for r in got if r.length == 1024]
+    assert len(places) == len(got) and len({r.sequence_id for r in full}) == len(full) > 20
