@@ -9,8 +9,12 @@ article: its other blocks belong to it too, unless they are mostly links.  Where
 no tag names the article, sentences in paragraphs of the containers beside that
 element belong to it as well; so does any heading right before a block that stays.
 
-Elements whose tag, role, class or id says what they are (menus, page headers
-and footers, sidebars, notices, adverts, forms, comments) never count.
+Elements whose tag, role, class or id says that they are menus, page headers and
+footers, sidebars, notices, adverts, forms or comments don't count.  Such a mark
+is evidence, not proof: an element that holds most of the page's text keeps it if
+it also holds its first heading or article, or, unless its tag says what it is, if
+hardly any text would be left.
+Names such as ``has-sidebar``, ``no-comments`` or ``ad-free`` mark nothing.
 
 Edge cases: null and empty pages and pages without text give an empty string;
 text outside any element counts as a block; unclosed and crossed tags are
@@ -45,6 +49,8 @@ MARKS = set(
     "masthead topbar comment comments commentlist disqus respond replies reply related recommended recommendations share sharing social login search copyright skip".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
+#: Beginnings and ends of a name that say that an element goes with or without what the name names.
+BESIDE = (set("has no with without not is".split()), set("free enabled disabled less off on ready".split()))
 PUNCTUATION = ".,;:!?…。、，！？；：¿¡"
 
 RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe")}
@@ -53,94 +59,151 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _describe(attributes: str) -> tuple[str, bool]:
-    """The class or id for the path, and whether it marks boilerplate."""
-    name, marked = "", False
+def _marks(name: str) -> bool:
+    """Whether a class or id marks boilerplate."""
+    words = [w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+    return bool(words) and words[0] not in BESIDE[0] and words[-1] not in BESIDE[1] and not MARKS.isdisjoint(words)
+
+
+def _describe(attributes: str) -> tuple[str, bool, bool]:
+    """The class or id for the path, whether it marks boilerplate, and whether the element isn't shown."""
+    name, marked, hidden = "", False, False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden":
-            marked = True
+            hidden = True
         elif key == "aria-hidden":
-            marked |= value.lower() == "true"
+            hidden |= value.lower() == "true"
         elif key == "role":
             marked |= value.lower() in ROLES
         else:
             name = name or value
-            marked |= any(w in MARKS for part in value.split() for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", part).lower()))
-    return name, marked
-
-
-def nodes_of(page: str) -> list[tuple[int, tuple[str, ...], bool, str]]:
-    """Text nodes: block number, tag path, whether in a link, raw text."""
-    # Of each open element: tag, step of the path, and of it and its ancestors: never counts, counts in headings
-    # only, has a heading, has a link, has an article, path.
-    stack: list[tuple] = []
-    top = ("", "", False, False, False, False, False, ())
-    out = []
-    block = at = 0
-    match, n = _TOKEN.match, len(page)
-    while at < n:
-        m = match(page, at)
-        if m is None:
-            at += 1
-            continue
-        at = m.end()
-        text = m[5]
-        if text is None and m[1] is not None:
-            text = m[1].replace("&", "&amp;")
-        if text is not None:
-            if not top[2] and (not top[3] or top[4]):
-                out.append((block, top[7], top[5], text))
-            continue
-        tag = m[3]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    block += any(s[0] not in INLINE for s in stack[k:])
-                    del stack[k:]
-                    top = stack[-1] if stack else ("", "", False, False, False, False, False, ())
-                    break
-            continue
-        if tag in RAW:
-            end = RAW[tag].search(page, at)
-            at = end.end() if end else n
-            continue
-        if tag == "br":
-            if out and out[-1][0] == block:
-                out.append((block, top[7], False, " "))
-            continue
-        block += tag not in INLINE
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if tag in SIBLINGS:
-            ends, scope = SIBLINGS[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in scope:
-                    break
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-        top = stack[-1] if stack else ("", "", False, False, False, False, False, ())
-        if tag in VOID:
-            continue
-        name, marked = _describe(m[4]) if m[4] else ("", False)
-        head = tag == "header" or "header" in name.lower()
-        dead, half = tag in HIDDEN, False
-        if tag in BOILERPLATE or (marked and tag not in ("html", "body", "main")) or "header" in name.lower().split():
-            half = top[6] and head
-            dead = dead or not half
-        step = f"{tag}.{name}" if name and tag not in ("html", "body", "p", "a") else tag
-        top = (tag, step, top[2] or dead, top[3] or half, top[4] or tag in HEADINGS, top[5] or tag == "a", top[6] or tag in ("article", "main"), (*top[7], step))
-        stack.append(top)
-    return out
+            marked |= any(map(_marks, value.split()))
+    return name, marked, hidden
+
+
+class Page:
+    """Text nodes of a page, the tree of its tag paths, and its marked elements."""
+
+    def __init__(self, page: str):
+        #: Of each text node: block, path, whether in a link, raw text, marked element around it.
+        self.nodes: list[tuple[int, int, bool, str, int]] = []
+        #: Of each path: the path without its last step, and that step.  Path 0 is empty; later paths have greater numbers than their beginnings.
+        self.parent, self.step = [0], [""]
+        self._path: dict[tuple[int, str], int] = {}
+        #: Of each marked element: the marked element around it, and the first headings and unmarked articles that begin in it.  0 is the page.
+        self.around, self.anchors = [0], [0]
+        #: Marked articles, which tell where the text is on pages without others.
+        self.articles = [0]
+        #: Whether its tag itself says what it is.
+        self.by_tag = [False]
+        self._read(page)
+
+    def path(self, parent: int, step: str) -> int:
+        known = self._path.get((parent, step))
+        if known is None:
+            known = self._path[parent, step] = len(self.parent)
+            self.parent.append(parent)
+            self.step.append(step)
+        return known
+
+    def _read(self, page: str) -> None:
+        # Of each open element: tag, and of it and its ancestors: never counts, counts in headings only, has a heading, has a link,
+        # has an article, path, innermost marked element.
+        ground = ("", False, False, False, False, False, 0, 0)
+        stack: list[tuple] = []
+        top, out, block, at = ground, self.nodes, 0, 0
+        match, n = _TOKEN.match, len(page)
+        while at < n:
+            m = match(page, at)
+            if m is None:
+                at += 1
+                continue
+            at = m.end()
+            text = m[5]
+            if text is None and m[1] is not None:
+                text = m[1].replace("&", "&amp;")
+            if text is not None:
+                if not top[1] and (not top[2] or top[3]):
+                    out.append((block, top[6], top[4], text, top[7]))
+                continue
+            tag = m[3]
+            if not tag:
+                continue
+            tag = tag.lower()
+            if m[2]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        block += any(s[0] not in INLINE for s in stack[k:])
+                        del stack[k:]
+                        top = stack[-1] if stack else ground
+                        break
+                continue
+            if tag in RAW:
+                end = RAW[tag].search(page, at)
+                at = end.end() if end else n
+                continue
+            if tag == "br":
+                if out and out[-1][0] == block:
+                    out.append((block, top[6], False, " ", top[7]))
+                continue
+            block += tag not in INLINE
+            if tag in CLOSES_P:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == "p":
+                        del stack[k:]
+                        break
+                    if stack[k][0] not in INLINE:
+                        break
+            if tag in SIBLINGS:
+                ends, scope = SIBLINGS[tag]
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in scope:
+                        break
+                    if stack[k][0] in ends:
+                        del stack[k:]
+                        break
+            top = stack[-1] if stack else ground
+            if tag in VOID:
+                continue
+            name, marked, hidden = _describe(m[4]) if m[4] else ("", False, False)
+            head = tag == "header" or "header" in name.lower()
+            dead, half, element = tag in HIDDEN or hidden, False, top[7]
+            if tag in BOILERPLATE or (marked and tag not in ("html", "body")) or "header" in name.lower().split():
+                half = top[5] and head
+                if not half:
+                    self.around.append(element)
+                    self.anchors.append(0)
+                    self.articles.append(0)
+                    self.by_tag.append(tag in BOILERPLATE)
+                    element = len(self.around) - 1
+            if tag == "h1" or tag in ("article", "main") and not marked:
+                self.anchors[element] += 1
+            elif tag in ("article", "main"):
+                self.articles[element] += 1
+            step = f"{tag}.{name}" if name and tag not in ("html", "body", "p", "a") else tag
+            top = (tag, top[1] or dead, top[2] or half, top[3] or tag in HEADINGS, top[4] or tag == "a", top[5] or tag in ("article", "main"), self.path(top[6], step), element)
+            stack.append(top)
+
+    def boilerplate(self) -> list[bool]:
+        """Of each marked element: whether its mark, or one around it, holds."""
+        size, anchors, articles = [0] * len(self.around), list(self.anchors), list(self.articles)
+        for _, _, link, text, element in self.nodes:
+            size[element] += 0 if link else len(text.strip())
+        for k in range(len(size) - 1, 0, -1):
+            size[self.around[k]] += size[k]
+            anchors[self.around[k]] += anchors[k]
+            articles[self.around[k]] += articles[k]
+        out = [False] * len(size)
+        for k in range(1, len(size)):
+            alone = not anchors[0] and (articles[k] > 0 or not self.by_tag[k] and 5 * size[k] > 4 * size[0])
+            most = 2 * size[k] > size[0] and (anchors[k] > 0 or alone)
+            out[k] = out[self.around[k]] or not most
+        return out
+
+
+#: Elements that are too narrow to hold an article.
+_NO_ROOT = HEADINGS | {"p", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", "li"} | INLINE
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -150,13 +213,17 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 2, mode="edge"), kernel, "valid")
 
 
-def main_text(page: str | None) -> str:
-    """The blocks of the article, joined by line feeds."""
+def main_text(page: str | None, cut: float = 0.5) -> str:
+    """The blocks of the article, joined by line feeds; paths with less than ``cut`` of the best score are never content."""
     if not page:
         return ""
+    read = Page(page)
+    gone = read.boilerplate()
     # Blocks: words between two boundaries of block elements.
     blocks: dict[int, dict] = {}
-    for block, path, link, raw in nodes_of(page):
+    for block, path, link, raw, element in read.nodes:
+        if gone[element]:
+            continue
         text = unescape(raw)
         b = blocks.setdefault(block, {"raw": [], "paths": defaultdict(int), "link": 0, "size": 0})
         size = len(text.strip())
@@ -186,33 +253,40 @@ def main_text(page: str | None) -> str:
     for f, (_, path, _) in zip(fused, rows):
         score[path] = max(score[path], f)
     values = np.array([score[p] for _, p, _ in rows])
-    threshold = min(values.max() * 0.5, np.average(values, weights=weight))
-    content = values >= threshold
+    content = values >= min(values.max() * cut, 2 * cut * np.average(values, weights=weight))
     # The deepest element that holds nearly all of the content text.
-    total = weight[content].sum()
-    root: tuple[str, ...] = ()
-    while True:
-        votes = defaultdict(float)
-        for keep, w, (_, path, _) in zip(content, weight, rows):
-            if keep and path[: len(root)] == root and len(path) > len(root):
-                votes[path[: len(root) + 1]] += w
-        best = max(votes, key=votes.get, default=None)
-        if best is None or votes[best] < 0.9 * total or best[-1].split(".")[0] in HEADINGS | {"p", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", "li"} | INLINE:
-            break
-        root = best
-        if root[-1].split(".")[0] in ("article", "main"):
+    n, parent = len(read.parent), read.parent
+    tag = [s.split(".")[0] for s in read.step]
+    below = [0.0] * n
+    for keep, w, (_, path, _) in zip(content, weight, rows):
+        below[path] += w * keep
+    for k in range(n - 1, 0, -1):
+        below[parent[k]] += below[k]
+    heaviest = [0] * n
+    for k in range(1, n):
+        if below[k] > (below[heaviest[parent[k]]] if heaviest[parent[k]] else 0.0):
+            heaviest[parent[k]] = k
+    root = 0
+    while heaviest[root] and below[heaviest[root]] >= 0.9 * below[0] and tag[heaviest[root]] not in _NO_ROOT:
+        root = heaviest[root]
+        if tag[root] in ("article", "main"):
             break
-    named = bool(root) and root[-1].split(".")[0] in ("article", "main")
-    article = named and root[-1].split(".")[0] == "article"
-    around = root if named else root[:-1]
+    named, article = tag[root] in ("article", "main"), tag[root] == "article"
+    around = root if named else parent[root]
+    within, beside, in_p, in_heading = [not root], [not around], [False], [False]
+    for k in range(1, n):
+        p = parent[k]
+        within.append(within[p] or k == root)
+        beside.append(beside[p] or k == around)
+        in_p.append(in_p[p] or tag[k] == "p" and beside[p])
+        in_heading.append(in_heading[p] or tag[k] in HEADINGS)
     stays = []
     for keep, (text, path, link) in zip(content, rows):
-        within, beside = path[: len(root)] == root, path[: len(around)] == around
-        sentence = link < 0.3 and "p" in path[len(around) :] and len(text.split()) > 4 and any(c in PUNCTUATION for c in text)
-        stays.append(bool(keep or within and (article or link < 0.6) or beside and sentence))
+        sentence = link < 0.3 and in_p[path] and len(text.split()) > 4 and any(c in PUNCTUATION for c in text)
+        stays.append(bool(keep or within[path] and (article or link < 0.6) or beside[path] and sentence))
     for k in range(len(rows) - 2, -1, -1):
         _, path, link = rows[k]
-        stays[k] |= stays[k + 1] and link < 0.6 and any(step.split(".")[0] in HEADINGS for step in path)
+        stays[k] |= stays[k + 1] and link < 0.6 and in_heading[path]
     return "\n".join(text for stay, (text, _, _) in zip(stays, rows) if stay)
 
 

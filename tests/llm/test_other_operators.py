@@ -465,3 +465,40 @@ def test_packing_of_long_documents(spark):
     places = {(r.sequence_id, r.offset) for r in got}
     full = [r for r in got if r.length == 1024]
     assert len(places) == len(got) and len({r.sequence_id for r in full}) == len(full) > 20
+
+
+PROSE = [f"This is paragraph {i} of the article, with some words, and it ends here as it should." for i in range(6)]
+BODY = "".join(f"<p>{x}</p>" for x in PROSE)
+
+
+@pytest.mark.parametrize("name", ["wrapper has-sidebar", "post no-comments", "content share-enabled", "page related-work", "main-content ad-free", "layout-with-sidebar sidebar", "with-menu"])
+def test_marks_around_the_article_are_evidence_only(name):
+    """An element that holds the article keeps its text whatever its class; boilerplate within and beside it goes."""
+    junk = "<div class=sidebar><p>Side words, which go on, as they do.</p></div><ul class=menu><li>Home<li>News</ul>"
+    comments = "<div class=comments><p>I liked this, really, very much so.</p></div>"
+    want = "\n".join(["Title", *PROSE])
+    for page in (f"<body><div class='{name}'><h1>Title</h1>{BODY}{junk}</div>{comments}</body>", f"<body><article class='{name}'><h1>Title</h1>{BODY}</article>{comments}</body>", f"<body><form id='{name}'><main><h1>Title</h1>{BODY}</main></form></body>"):
+        assert main_text(page) == want, page
+
+
+def test_long_comments_stay_marked():
+    many = "".join(f"<p>Comment number {i}, which says a lot, and more than the article does.</p>" for i in range(60))
+    for page in (f"<body><article><h1>Title</h1>{BODY}</article><section class=comments>{many}</section></body>", f"<body><div><h1>Title</h1>{BODY}</div><div id=comments><article class=comment>{many}</article></div></body>"):
+        assert main_text(page) == "\n".join(["Title", *PROSE])
+
+
+def test_threshold_chooses_paths():
+    """Beside an article that no tag names, short unmarked lines go by their paths' scores alone; without the threshold they stay."""
+    lines = "".join(f"<div class=x{i % 2}><span>Item {i}</span></div>" for i in range(12))
+    page = f"<body><section>{lines}</section><section class=a><h2>Title</h2>{BODY}</section><section>{lines}</section></body>"
+    assert main_text(page) == "\n".join(["Title", *PROSE]) != main_text(page, cut=0.0)
+    assert "Item 3" in main_text(page, cut=0.0)
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    began = time.time()
+    assert main_text("<div><b>word one, " * 8000).count("word") == 8000
+    assert main_text("<p><b>word " * 8000).count("word") == 8000
+    assert time.time() - began < 4
