@@ -7,8 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A node with over 1 / HUB_SHARE of all edge ends is a hub, so there are HUB_SHARE hubs at most; a hub's edges meet its value in SALTS parts.
+#: A key with over 1 / HUB_SHARE of all rows is a hub, so there are HUB_SHARE hubs at most; a hub's rows meet its value in SALTS parts.
 HUB_SHARE, SALTS = 1000, 64
+#: A node's edges meet its least neighbour in so many parts.
+EDGE_PARTS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,8 +53,8 @@ def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Rounds of large stars (a node's greater neighbours move to its least one) and
     small stars (a node's smaller neighbours do) until the edges stay the same.
     Hubs take part in grouped minima, which are combined before the shuffle, and
-    in joins that deal their edges out.  Null ends are ignored; a self edge makes
-    its node known; repeated edges count once.
+    in a join that deals every node's edges into EDGE_PARTS parts.  Null ends are
+    ignored; a self edge makes its node known; repeated edges count once.
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null").select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
     pairs = durable(pairs)
@@ -63,10 +65,11 @@ def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = seen
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select("hi", "lo"))
-        least = both.groupBy("u").agg(F.min("v").alias("w"), F.count("*").alias("n")).select("u", F.least("u", "w").alias("m"), "n")
-        large = join_hubs(both, least, "u", "v", "n", 2 * seen[0]).filter("v > u and m < v").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        small = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
-        moved = join_hubs(large, small, "hi", "lo", "n", seen[0]).select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi"))
+        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(EDGE_PARTS - 1))).alias("part"))
+        dealt = both.filter("v > u").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(EDGE_PARTS)).cast("int"))
+        large = dealt.join(least, ["u", "part"]).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        moved = large.join(small, "hi").select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi"))
         e = durable(moved.filter("lo < hi").distinct())
     member = e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
     alone = pairs.select(F.explode(F.array("lo", "hi")).alias("node")).distinct().join(member.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
