@@ -34,7 +34,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graphs import join_hubs
 from .jobs import components, durable
 from .text_hash import chunks, inside, mix, windows, words_of
 
@@ -154,7 +153,7 @@ def block_links(group: pd.DataFrame, threshold: float, tolerance: float) -> pd.D
     left, right = group[group.side == group.i], group[group.side == group.j]
     same = group.i.iloc[0] == group.j.iloc[0]
     if not len(left) or not len(right):
-        return pd.DataFrame({"node": [], "links": [], "root": []})
+        return pd.DataFrame({"node": [], "links": [], "root": [], "whole": []})
     sig_a, sig_b = (np.stack([np.frombuffer(x, np.uint32) for x in s.sig]) for s in (left, right))
     if same:
         p, q = np.triu_indices(len(left), 1)
@@ -180,7 +179,7 @@ def block_links(group: pd.DataFrame, threshold: float, tolerance: float) -> pd.D
     nodes = node_a if same else np.r_[node_a, node_b]
     root = _roots(n, p, q + offset)
     linked = links > 0
-    return pd.DataFrame({"node": nodes[linked], "links": links[linked], "root": nodes[root[linked]]})
+    return pd.DataFrame({"node": nodes[linked], "links": links[linked], "root": nodes[root[linked]], "whole": bool(group.unit.iloc[0] < 0)})
 
 
 def _signed(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
@@ -240,11 +239,11 @@ def jaccard_classes(
     classes = durable(keyed.groupBy("key_a", "key_b").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     reps = signed.select(F.col("row").alias("node"), F.col("doc_id").alias("rep"), F.col("text_key").alias("rep_key"), "bands")
     banded = reps.select("node", "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    edges = join_hubs(banded, hubs, "band", "node", "n", classes.count() * BANDS).filter("node > hub").select("node", "hub")
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").drop("top")
+    edges = banded.join(hubs, "band").filter("node > hub").select("node", "hub")
     groups = components(edges, "node", "hub").select("node", F.col("component").alias("comp"))
     sizes = groups.groupBy("comp").agg(F.count("*").alias("n")).withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
-    groups = durable(join_hubs(groups, sizes.withColumn("_n", F.col("n")), "comp", "node", "_n", groups.count()).drop("n"))
+    groups = durable(groups.join(sizes, "comp").drop("n"))
     small = groups.filter("nb = 1").count()
     cells = max(1, -(-small // BLOCK))
     placed = groups.withColumn(
@@ -260,16 +259,17 @@ def jaccard_classes(
         "unit", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "comp", "copies", "sig", "grams"
     )
     links = durable(
-        spread.groupBy("unit", "i", "j").applyInPandas(lambda g: block_links(g, threshold, tolerance), "node long, links long, root long")
+        spread.groupBy("unit", "i", "j").applyInPandas(lambda g: block_links(g, threshold, tolerance), "node long, links long, root long, whole boolean")
     )
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(links.select("node", "root"), "node", "root")
+    # A group that one task holds is joined there already.
+    joined = links.filter("whole").select("node", F.col("root").alias("component")).unionByName(components(links.filter("not whole"), "node", "root"))
     # A class is named by the smallest id of all its rows.
     of_node = classes.join(joined, "node", "left").join(counted, "node", "left").select(
         "key_a", "key_b", F.coalesce("component", "node").alias("component"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    names = of_node.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
-    of_key = durable(join_hubs(of_node, names, "component", "key_a", "n", classes.count()).select("key_a", "key_b", F.col("component").alias("group"), "class_id", "n_links"))
+    names = of_node.groupBy("component").agg(F.min("least").alias("class_id"))
+    of_key = durable(of_node.join(names, "component").select("key_a", "key_b", F.col("component").alias("group"), "class_id", "n_links"))
     result = signed.select("doc_id", "text_key", "key_a", "key_b").join(of_key, ["key_a", "key_b"], "left")
     name = F.when(F.col("key_a").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
     return result.select("doc_id", name, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *(["text_key", "group"] if with_keys else []))
