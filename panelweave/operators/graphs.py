@@ -47,6 +47,12 @@ def join_hubs(rows: DataFrame, per_key: DataFrame, key: str, spread: str, n: str
     return salted.join(per_key.withColumn("_salt", F.explode(parts)).drop(n), [key, "_salt"]).drop("_salt")
 
 
+def join_parts(rows: DataFrame, per_key: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` with ``per_key``'s columns of the same key (inner); every key's rows are dealt into EDGE_PARTS parts by ``spread``."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(EDGE_PARTS)).cast("int"))
+    return dealt.join(per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(EDGE_PARTS - 1)))), [key, "_part"]).drop("_part")
+
+
 def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of an undirected graph.
 
@@ -65,9 +71,8 @@ def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = seen
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select("hi", "lo"))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(EDGE_PARTS - 1))).alias("part"))
-        dealt = both.filter("v > u").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(EDGE_PARTS)).cast("int"))
-        large = dealt.join(least, ["u", "part"]).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
+        large = join_parts(both.filter("v > u"), least, "u", "v").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(small, "hi").select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi"))
         e = durable(moved.filter("lo < hi").distinct())
