@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import join_parts
 from .jobs import components, durable
 from .text_hash import chunks, inside, mix, windows, words_of
 
@@ -243,7 +244,7 @@ def jaccard_classes(
     edges = banded.join(hubs, "band").filter("node > hub").select("node", "hub")
     groups = components(edges, "node", "hub").select("node", F.col("component").alias("comp"))
     sizes = groups.groupBy("comp").agg(F.count("*").alias("n")).withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
-    groups = durable(groups.join(sizes, "comp").drop("n"))
+    groups = durable(join_parts(groups, sizes, "comp", "node").drop("n"))
     small = groups.filter("nb = 1").count()
     cells = max(1, -(-small // BLOCK))
     placed = groups.withColumn(
@@ -269,7 +270,7 @@ def jaccard_classes(
         "key_a", "key_b", F.coalesce("component", "node").alias("component"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     names = of_node.groupBy("component").agg(F.min("least").alias("class_id"))
-    of_key = durable(of_node.join(names, "component").select("key_a", "key_b", F.col("component").alias("group"), "class_id", "n_links"))
+    of_key = durable(join_parts(of_node, names, "component", "key_a").select("key_a", "key_b", F.col("component").alias("group"), "class_id", "n_links"))
     result = signed.select("doc_id", "text_key", "key_a", "key_b").join(of_key, ["key_a", "key_b"], "left")
     name = F.when(F.col("key_a").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
     return result.select("doc_id", name, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *(["text_key", "group"] if with_keys else []))
