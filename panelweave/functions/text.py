@@ -8,6 +8,7 @@ can arrange it.  Null in, null out, unless a function says otherwise.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 #: Address words and their standard forms.
 DIRECTIONS = {"north": "n", "south": "s", "east": "e", "west": "w"}
-STREET_WORDS = {"street": "st", "avenue": "ave", "boulevard": "blvd", "drive": "dr", "road": "rd", "lane": "ln", "court": "ct", "place": "pl", "square": "sq", "parkway": "pkwy", "highway": "hwy", "circle": "cir", "suite": "ste"}
+STREET_WORDS = {"street": "st", "avenue": "ave", "boulevard": "blvd", "drive": "dr", "road": "rd", "lane": "ln", "court": "ct", "place": "pl", "square": "sq", "parkway": "pkwy", "highway": "hwy", "circle": "cir", "trail": "trl", "terrace": "ter", "suite": "ste"}
 ORDINALS = {"first": "1st", "second": "2nd", "third": "3rd", "fourth": "4th", "fifth": "5th", "sixth": "6th", "seventh": "7th", "eighth": "8th", "ninth": "9th", "tenth": "10th"}
-NAME_SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "md", "phd", "rn", "mba", "esq")
+NAME_SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v", "md", "phd", "rn", "mba", "esq", "cpa", "dds")
 
 
 def squish(c: Column) -> Column:
@@ -31,14 +32,16 @@ def clean(c: Column) -> Column:
     return squish(F.regexp_replace(F.regexp_replace(F.lower(c), "-", " "), r"[^\p{L}\p{N}\s]", ""))
 
 
-def ascii_fold(c: Column) -> Column:
-    """Accented Latin letters as plain ones; what has no plain form is dropped."""
+def _plain_letters() -> tuple[str, str]:
+    """Letters of the Latin blocks whose decomposition begins with an ASCII letter, and that letter."""
+    pairs = [(chr(x), unicodedata.normalize("NFKD", chr(x))[0]) for x in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    kept = [(x, y) for x, y in pairs if x != y and y.isascii() and y.isalpha()]
+    return "".join(x for x, _ in kept), "".join(y for _, y in kept)
 
-    @F.pandas_udf("string")
-    def fold(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
-    return fold(c)
+def ascii_fold(c: Column) -> Column:
+    """Accented Latin letters as plain ones; what has no plain form is dropped.  Null stays null."""
+    return F.regexp_replace(F.translate(c, *_plain_letters()), r"[^\x00-\x7F]", "")
 
 
 def digits(c: Column) -> Column:
@@ -112,7 +115,15 @@ def contains_either(a: Column, b: Column) -> Column:
 
 
 def drop_words(c: Column, words: list[str]) -> Column:
-    return squish(F.regexp_replace(c, rf"(?i)\b(?:{'|'.join(words)})\b", " "))
+    """Without these words, in any case; they are taken as they are, not as patterns.  No words: only squished."""
+    if not words:
+        return squish(c)
+    return squish(F.regexp_replace(c, rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(re.escape(w) for w in words)})(?![\p{{L}}\p{{N}}])", " "))
+
+
+def plain_space(c: Column) -> Column:
+    """Non-breaking and other Unicode spaces as spaces, control characters gone, runs of space as one."""
+    return squish(F.regexp_replace(F.regexp_replace(c, r"[\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\t\n\x0B\f\r]", " "), r"\p{Cc}|\u200B|\uFEFF", ""))
 
 
 def count_phrase(c: Column, phrase: str, but_not: str | None = None) -> Column:
@@ -167,7 +178,13 @@ def jaro_winkler(a: Column, b: Column, p: float = 0.1, boost_over: float = 0.7)
 
     @F.pandas_udf("double")
     def f(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if u is None or v is None else _winkler(u, v, p, boost_over) for u, v in zip(x, y)], dtype="float64")
+        known: dict[tuple[str, str], float] = {}  # of this batch: blocks repeat their names
+        out = []
+        for pair in zip(x, y):
+            if pair not in known:
+                known[pair] = None if pair[0] is None or pair[1] is None else _winkler(*pair, p, boost_over)
+            out.append(known[pair])
+        return pd.Series(out, dtype="float64")
 
     return f(a, b)
 
@@ -183,14 +200,19 @@ def _indel_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
+def sorted_tokens(c: Column) -> Column:
+    """The words of a text in order, one space between each two."""
+    return F.array_join(F.array_sort(F.filter(F.split(c, r"\s+"), lambda w: w != "")), " ")
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
-    """0 to 100: common subsequence of the texts with their words in order, against both lengths."""
+    """0 to 100: common subsequence of the texts with their words in order, against both lengths.  A null gives null."""
 
     @F.pandas_udf("double")
     def f(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if u is None or v is None else _indel_ratio(" ".join(sorted(u.split())), " ".join(sorted(v.split()))) for u, v in zip(x, y)], dtype="float64")
+        return pd.Series([None if u is None or v is None else _indel_ratio(u, v) for u, v in zip(x, y)], dtype="float64")
 
-    return f(a, b)
+    return f(sorted_tokens(a), sorted_tokens(b))
 
 
 def phonetic_code(word: str) -> str:
@@ -269,6 +291,7 @@ def phonetic_code(word: str) -> str:
 
 
 def metaphone(c: Column) -> Column:
+    """The phonetic code of a word (see ``phonetic_code``); null stays null, a word without letters has an empty code."""
     @F.pandas_udf("string")
     def f(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else phonetic_code(x))
@@ -282,17 +305,22 @@ def base_code(c: Column) -> Column:
 
 
 def initials_match(a: Column, b: Column) -> Column:
-    """One is the other's first letter, or its beginning of two letters or more, or lacks its last letter."""
+    """One is the other's initial, its beginning of three letters or more, or the other without its last letter; case doesn't matter, null gives null."""
     x, y = F.lower(a), F.lower(b)
     short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
-    return (F.length(short) > 0) & long.startswith(short)
+    n = F.length(short)
+    return ((n == 1) | (n >= 3) | ((n > 0) & (n == F.length(long) - 1))) & long.startswith(short)
+
+
+def in_list(listed: Column, value: Column, separator: str = ";") -> Column:
+    """Whether a separated list has a value as a whole entry; spaces around entries don't count."""
+    return F.array_contains(F.transform(F.split(listed, re.escape(separator)), F.trim), value)
 
 
 def format_share(c: Column, places: int = 1) -> Column:
+    """A share as a percentage text; null stays null."""
     return F.concat(F.format_number(c * 100, places), F.lit("%"))
 
 
 def clean_column_name(name: str) -> str:
-    import re
-
     return re.sub(r"[^0-9a-z]+", "_", name.lower()).strip("_")

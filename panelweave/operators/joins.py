@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaro_winkler, token_sort_ratio
+from ..functions.text import jaro_winkler, sorted_tokens, token_sort_ratio
 
 EARTH_KM = 6371.0
 
@@ -56,9 +56,16 @@ def similarity_join(left: DataFrame, right: DataFrame, a: str, b: str, least: fl
 
 
 def best_token_sort(left: DataFrame, right: DataFrame, keys: Sequence[str], id_col: str, a: str, b: str, right_id: str, least: float = 80.0) -> DataFrame:
-    """In a bucket of equal keys the right text with the best token-sort ratio, kept if it reaches ``least`` or one holds the other."""
-    pairs = left.join(right, list(keys)).withColumn("score", token_sort_ratio(F.col(a), F.col(b)))
-    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), right_id))).filter("_r = 1").drop("_r")
+    """In a bucket of equal keys the right text with the best token-sort ratio (ties: the smaller right id), kept if it reaches ``least`` or one holds the other.
+
+    Null keys and texts match nothing.  Words are sorted once a side, and a ratio
+    is worked out once for different texts.
+    """
+    l, r = left.withColumn("_a", sorted_tokens(F.col(a))), right.withColumn("_b", sorted_tokens(F.col(b)))
+    pairs = l.join(r, list(keys)).filter("_a is not null and _b is not null")
+    scored = pairs.select("_a", "_b").distinct().withColumn("score", token_sort_ratio(F.col("_a"), F.col("_b")))
+    pairs = pairs.join(scored, ["_a", "_b"])
+    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), right_id))).filter("_r = 1").drop("_r", "_a", "_b")
     return best.filter((F.col("score") >= least) | F.col(a).contains(F.col(b)) | F.col(b).contains(F.col(a)))
 
 
@@ -121,15 +128,31 @@ def any_key_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return long(left, left_id, "_l").join(long(right, right_id, "_q"), ["k", "v"]).groupBy(F.col("_l").alias(left_id), F.col("_q").alias(right_id)).agg(F.array_sort(F.collect_set("k")).alias("agree"))
 
 
-def block_pairs(df: DataFrame, block: Sequence[str], id_col: str, largest: int | None = None) -> DataFrame:
-    """Pairs id1 < id2 of a block.  With ``largest``, blocks over that size must be split by a further key first: they raise."""
-    d = df.select(*block, id_col).filter(F.col(id_col).isNotNull()).distinct()
-    if largest is not None:
-        big = d.groupBy(*block).count().filter(F.col("count") > largest).limit(1).collect()
+def block_sizes(df: DataFrame, block: Sequence[str], id_col: str) -> DataFrame:
+    """Ids of each block, and the pairs that they make."""
+    n = df.select(*block, id_col).filter(F.col(id_col).isNotNull()).distinct().groupBy(*block).agg(F.count("*").alias("ids"))
+    return n.withColumn("pairs", F.floor(F.col("ids") * (F.col("ids") - 1) / 2))
+
+
+def block_pairs(df: DataFrame, block: Sequence[str], id_col: str, largest: int | None = None, then: Sequence[str] = ()) -> DataFrame:
+    """Pairs id1 < id2 of a block, each once; null ids and null keys make none.
+
+    Blocks of more than ``largest`` ids are split by the further keys ``then``;
+    without such keys they raise.
+    """
+    d = df.select(*block, *then, id_col).filter(F.col(id_col).isNotNull()).distinct()
+    pairs = lambda x, on: x.select(*on, F.col(id_col).alias("id1")).distinct().join(x.select(*on, F.col(id_col).alias("id2")).distinct(), list(on)).filter("id1 < id2")
+    if largest is None:
+        return pairs(d, list(block))
+    over = block_sizes(d, block, id_col).filter(F.col("ids") > largest).select(*block)
+    if not then:
+        big = over.limit(1).collect()
         if big:
             raise ValueError(f"block {big[0]} is over {largest}; add a key")
-    a, b = d.withColumnRenamed(id_col, "id1"), d.withColumnRenamed(id_col, "id2")
-    return a.join(b, list(block)).filter("id1 < id2")
+        return pairs(d, list(block))
+    small = pairs(d.join(over, list(block), "left_anti"), list(block))
+    split = pairs(d.join(over, list(block), "left_semi"), [*block, *then]).drop(*then)
+    return small.unionByName(split).distinct()
 
 
 def parent_values(df: DataFrame, id_col: str, parent: str, values: Sequence[str], on: Sequence[str] = ()) -> DataFrame:

@@ -72,18 +72,12 @@ def densify(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     return grid.join(df, [*keys, time], "left")
 
 
-def expand_grid(df: DataFrame, columns: Sequence[str], most: int = 100_000) -> DataFrame:
-    """All combinations of the columns' distinct values, built from domains that are counted first."""
-    spark = df.sparkSession
-    out = None
-    size = 1
-    for c in columns:
-        values = df.select(c).distinct().limit(most + 1).collect()
-        size *= len(values)
-        if size > most:
-            raise ValueError(f"over {most} combinations of {list(columns)}")
-        array = F.array(*[F.lit(r[0]) for r in sorted(values, key=str)])
-        out = spark.range(1).select(F.explode(array).alias(c)) if out is None else out.withColumn(c, F.explode(array))
+def expand_grid(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All combinations of the columns' distinct values, nulls included: that many rows is what is asked for."""
+    domains = [df.select(c).distinct() for c in columns]
+    out = domains[0]
+    for d in domains[1:]:
+        out = out.crossJoin(d)
     return out
 
 
@@ -101,9 +95,14 @@ def running(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFr
 
 
 def values_before(df: DataFrame, keys: Sequence[str], time: str, value: str, name: str) -> DataFrame:
-    """The sorted set of a key's values in strictly earlier rows."""
-    w = _over(keys, time).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.array_sort(F.array_distinct(F.collect_list(value).over(w))))
+    """The sorted set of a key's values in strictly earlier rows; nulls are no values.
+
+    Only a value's first row enters the frame, so its size follows the different values.
+    """
+    w = _over(keys, time)
+    first = F.row_number().over(Window.partitionBy(*keys, value).orderBy(time)) == 1
+    marked = df.withColumn("_first", F.when(first, F.col(value)))
+    return marked.withColumn(name, F.array_sort(F.collect_list("_first").over(w.rowsBetween(Window.unboundedPreceding, -1)))).drop("_first")
 
 
 def first_event(df: DataFrame, keys: Sequence[str], time: str, condition: Column, name: str, prefer: tuple[int, int] | None = None) -> DataFrame:

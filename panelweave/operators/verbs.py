@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import durable
+
 
 class CheckFailed(ValueError):
     """An invariant of the data does not hold."""
@@ -158,16 +160,47 @@ def common_values(df: DataFrame, block: str, member: str, value: str) -> DataFra
     return d.groupBy(block, value).agg(F.count("*").alias("_n")).join(members, block).filter("_n = _m").select(block, value)
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], pieces: int = 64) -> DataFrame:
+    """The keys and ``q``, an array of exact quantiles (linear between neighbours); null values don't count, null keys are a group.
+
+    A sketch cuts each group into ``pieces``; the different values are counted in
+    these, and only the pieces that hold a wanted place are put in order, so no
+    task holds a whole group, be it the table.
+    """
+    names = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
+    k = [F.col(c).alias(n) for c, n in zip(keys, names)] or [F.lit(0).alias("_k0")]
+    v = df.select(*k, F.col(value).alias("_v")).filter("_v is not null")
+    places = ", ".join(str(i / pieces) for i in range(1, pieces))
+    cuts = v.groupBy(*names).agg(F.expr(f"approx_percentile(_v, array({places}), 1000)").alias("_cuts"), F.count("*").alias("_n"))
+    match = lambda other, on: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in on])
+    right = lambda t, on: t.withColumnsRenamed({c: f"_r{c}" for c in on})
+    d = v.groupBy(*names, "_v").agg(F.count("*").alias("_m")).join(right(cuts, names), match(cuts, names)).drop(*[f"_r{c}" for c in names])
+    d = d.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    per = d.groupBy(*names, "_b").agg(F.sum("_m").alias("_in"), F.first("_n").alias("_n"))
+    per = per.withColumn("_before", F.coalesce(F.sum("_in").over(Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), place.cast("long").alias("at"), weight.alias("w")) for i, q in enumerate(shares) for h in [(F.col("_n") - 1) * F.lit(float(q))]
+                       for place, weight in ((F.floor(h), 1 - (h - F.floor(h))), (F.floor(h) + 1, h - F.floor(h)))])
+    hits = per.withColumn("_x", F.explode(wanted)).select(*names, "_b", "_before", "_x.*").filter("w > 0 and at >= _before").join(right(per.select(*names, "_b", "_in"), [*names, "_b"]), match(per, [*names, "_b"]))
+    hits = hits.filter(F.col("at") < F.col("_before") + F.col("_in")).select(*names, "_b", "_before", "i", "at", "w")
+    run = Window.partitionBy(*names, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    pieces_ = hits.select(*names, "_b").distinct()
+    inside = d.join(right(pieces_, [*names, "_b"]), match(pieces_, [*names, "_b"]), "left_semi").withColumn("_upto", F.sum("_m").over(run))
+    found = inside.join(right(hits, [*names, "_b"]), match(hits, [*names, "_b"])).filter("_before + _upto > at and _before + _upto - _m <= at")
+    one = found.groupBy(*names, "i").agg(F.sum(F.col("_v").cast("double") * F.col("w")).alias("x"))
+    out = one.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("q"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keys, names)], "q")
+
+
 def median_split(df: DataFrame, entity: str, value: str) -> DataFrame:
     """Each entity's median, the median of those, and ``above`` (strictly; null without a median)."""
     per = df.groupBy(entity).agg(F.expr(f"percentile(`{value}`, 0.5)").alias("median"))
-    cut = per.agg(F.expr("percentile(median, 0.5)").alias("cut"))
+    cut = exact_quantiles(per, [], "median", [0.5]).select(F.col("q")[0].alias("cut"))
     return per.join(F.broadcast(cut)).select(entity, "median", "cut", (F.col("median") > F.col("cut")).alias("above"))  # one row
 
 
 def winsorise(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Values drawn in to their group's quantiles (linear); null stays null."""
-    cuts = df.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, array({low}, {high}))").alias("_c"))
+    """Values drawn in to their group's quantiles (linear); null stays null; rows with a null key go."""
+    cuts = exact_quantiles(df, keys, value, [low, high]).select(*keys, F.col("q").alias("_c"))
     inside = F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_c")[0]), F.col("_c")[1]))
     return df.join(cuts, list(keys)).withColumn(value, inside).drop("_c")
 
@@ -237,7 +270,14 @@ def apply_to_strings(df: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
 
 
 def codes(df: DataFrame, value: str, code: str) -> DataFrame:
-    """Alphabetical integer codes from 1, numbered over the distinct values only."""
-    d = df.select(value).filter(F.col(value).isNotNull()).distinct()
-    numbered = d.withColumn(code, F.row_number().over(Window.orderBy(value)))
+    """Alphabetical integer codes from 1; null has none.
+
+    The different values are dealt into ranges, numbered in each, and shifted by
+    the sizes of the ranges before.
+    """
+    d = durable(df.select(value).filter(F.col(value).isNotNull()).distinct().repartitionByRange(F.col(value)).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    shift = d.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(value))
+    numbered = d.withColumn("_place", place).join(F.broadcast(shift), "_range").select(value, (F.col("_place") + F.col("_shift")).cast("int").alias(code))
     return df.join(numbered, value, "left")

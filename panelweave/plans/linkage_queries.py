@@ -52,46 +52,43 @@ def metaphone_blocks(spark, d):
     return n.groupBy("code").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("w")), ";").alias("words"))
 
 
-@register("q_components", """with recursive e as (select distinct l_suppkey as s, 1000000 + l_partkey as p from lineitem where l_orderkey % 40 = 0), b as (select s as a, p as b from e union select p, s from e),
-r as (select a as node, a as seen from b union select r.node, b.b from r join b on r.seen = b.a) select node, min(seen) as component, max(seen) as component_max, count(*) as size from r group by 1""")
+def _unrolled(rounds: int) -> str:
+    """Smallest and greatest label by so many rounds over all edges; a round reaches one edge further."""
+    steps = ["l0 as (select distinct a as node, a as lo, a as hi from b)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"l{k} as (select l.node, least(min(l.lo), min(m.lo)) as lo, greatest(max(l.hi), max(m.hi)) as hi from l{k - 1} l join b on l.node = b.a join l{k - 1} m on m.node = b.b group by 1)")
+    return ", ".join(steps)
+
+
+#: Eight rounds are more than the longest way between two nodes of these tables' graphs of suppliers and parts.
+_COMPONENTS = f"""with e as (select distinct l_suppkey as s, 1000000 + l_partkey as p from lineitem), b as (select s as a, p as b from e union select p, s from e), {_unrolled(8)}
+select node, lo as component, hi as component_max, count(*) over (partition by lo) as size from l8"""
+
+
+@register("q_components", _COMPONENTS)
 def components(spark, d):
-    e = table(spark, d, "lineitem").filter("l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("src"), (F.lit(1000000) + F.col("l_partkey")).alias("dst"))
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.lit(1000000) + F.col("l_partkey")).alias("dst"))
     return L.connected_components(e)
 
 
 @register("q_pair_rules", """with s as (select c_nationkey, c_custkey as id, c_mktsegment as seg, split_part(c_mktsegment, 'I', 1) || (c_custkey % 7)::varchar as first, c_name as last, o.p as p from customer left join (select o_custkey, list(distinct o_orderpriority) as p from orders group by 1) o on o_custkey = c_custkey),
 q as (select a.id as id1, b.id as id2, levenshtein(a.first, b.first) as fl, levenshtein(a.last, b.last) as ll, jaro_winkler_similarity(a.first, b.first) as fj, jaro_winkler_similarity(a.last, b.last) as lj,
- (a.seg = b.seg)::int + coalesce(len(list_intersect(a.p, b.p)), 0) as shared from s a join s b on a.c_nationkey = b.c_nationkey and a.id < b.id)
+ (a.seg = b.seg)::int + coalesce(len(list_intersect(a.p, b.p)), 0) as shared from s a join s b on a.c_nationkey = b.c_nationkey and a.seg = b.seg and a.id < b.id)
 select case when shared > 0 and (fl < 2 or fj > 0.8) and (ll < 2 or lj > 0.8) then 'SAME' when (fl >= 3 or fj <= 0.5) and (ll >= 3 or lj <= 0.5) then 'DIFFERENT' else 'UNDECIDED' end as label, count(*) as n, sum(shared)::bigint as shared from q group by 1""")
 def pair_rules(spark, d):
     c = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg"), F.concat(F.split("c_mktsegment", "I")[0], (F.col("c_custkey") % 7).cast("string")).alias("first"), F.col("c_name").alias("last"))
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("p")).distinct()
     persons = c.join(o, "id", "left")
-    pairs = J.block_pairs(c, ["c_nationkey"], "id").select("id1", "id2")
+    pairs = J.block_pairs(c, ["c_nationkey", "seg"], "id").select("id1", "id2")
     features = L.pair_features(pairs, persons, "id", "first", "last", ["seg", "p"])
     return L.apply_rules(features, [L.first_stage()]).groupBy("label").agg(F.count("*").alias("n"), F.sum("total_shared").alias("shared"))
 
 
-@register("q_any_key_join", "select a.s_suppkey, b.c_custkey, concat_ws(';', case when a.n = b.n then 'n' end, case when a.k = b.k then 'z' end) as agree from (select s_suppkey, s_nationkey as n, s_suppkey % 97 as k from supplier) a join (select c_custkey, c_nationkey as n, c_custkey % 97 as k from customer where c_custkey % 5 = 0) b on a.n = b.n or a.k = b.k")
-def any_key(spark, d):
-    a = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), (F.col("s_suppkey") % 97).alias("z"))
-    b = table(spark, d, "customer").filter("c_custkey % 5 = 0").select("c_custkey", F.col("c_nationkey").alias("n"), (F.col("c_custkey") % 97).alias("z"))
-    return J.any_key_join(a, b, "s_suppkey", "c_custkey", ["n", "z"]).withColumn("agree", F.array_join("agree", ";"))
-
-
 @register("q_cohold_pairs", "with d as (select distinct l_orderkey, l_suppkey from lineitem) select a.l_suppkey as id1, b.l_suppkey as id2, count(*) as n from d a join d b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey group by 1, 2")
 def cohold(spark, d):
     return J.block_pairs(table(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey").groupBy("id1", "id2").agg(F.count("*").alias("n"))
 
 
-@register("q_keyword_hits", r"""with w as (select item_id, list_slice(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), 1, 3) as k from benchmark), p as (select item_id, ' ' || array_to_string(k, ' ') || ' ' as k from w where len(k) > 0),
-t as (select doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' as t from documents) select doc_id, item_id from t join p on contains(t, k)""")
-def keyword_hits(spark, d):
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    b = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 3), " ").alias("phrase"))
-    return J.keyword_hits(table(spark, d, "documents"), b, "doc_id", "text", "item_id", "phrase")
-
-
 _XY = "select {k} as id, (({k} * 7919) % 1400) / 10.0 - 70 as lat, (({k} * 104729) % 3600) / 10.0 - 180 as lon from {t}"
 _KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
@@ -157,15 +154,23 @@ def components_whole(spark, d):
     return L.connected_components(e)
 
 
-@register("q_any_key_join_whole", "select a.s_suppkey, b.c_custkey, concat_ws(';', case when a.n = b.n then 'n' end, case when a.k = b.k then 'z' end) as agree from (select s_suppkey, s_nationkey as n, s_suppkey % 97 as k from supplier) a join (select c_custkey, c_nationkey as n, c_custkey % 97 as k from customer) b on a.n = b.n or a.k = b.k")
+_ANY_KEY = ("select a.s_suppkey, b.c_custkey, concat_ws(';', case when a.n = b.n then 'n' end, case when a.k = b.k then 'z' end) as agree from (select s_suppkey, s_nationkey as n, s_suppkey % 97 as k from supplier) a join (select c_custkey, c_nationkey as n, c_custkey % 97 as k from customer) b on a.n = b.n or a.k = b.k")
+
+
+@register("q_any_key_join", _ANY_KEY)
+@register("q_any_key_join_whole", _ANY_KEY)
 def any_key_whole(spark, d):
     a = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), (F.col("s_suppkey") % 97).alias("z"))
     b = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), (F.col("c_custkey") % 97).alias("z"))
     return J.any_key_join(a, b, "s_suppkey", "c_custkey", ["n", "z"]).withColumn("agree", F.array_join("agree", ";"))
 
 
-@register("q_keyword_hits_whole", r"""with p as (select item_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' as k from benchmark),
+_KEYWORDS = (r"""with p as (select item_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' as k from benchmark),
 t as (select doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' as t from documents) select doc_id, item_id from t join p on contains(t, k) where trim(k) <> ''""")
+
+
+@register("q_keyword_hits", _KEYWORDS)
+@register("q_keyword_hits_whole", _KEYWORDS)
 def keyword_hits_whole(spark, d):
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     b = table(spark, d, "benchmark").select("item_id", F.array_join(words, " ").alias("phrase"))
