@@ -128,10 +128,6 @@ def sets_and_codes(spark, d):
     return out
 
 
-@register("q_sample_by_group", None)
-def sample_by_group(spark, d):
-    return V.sample_rows(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 5, by=["o_orderstatus"])
-
 
 @register("q_text_scalars", r"""select p_partkey, lower(trim(regexp_replace(regexp_replace(replace(p_name, '-', ' '), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g'))) as cleaned, lpad(p_partkey::varchar, 6, '0') as padded, regexp_replace(p_brand, '[^0-9]', '', 'g') as digits,
 levenshtein(p_name, p_type)::int as lev, round(levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) as nlev, round(jaro_winkler_similarity(p_name, p_type), 6) as jw from part where length(p_partkey::varchar) <= 6""")
