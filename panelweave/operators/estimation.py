@@ -77,27 +77,45 @@ def clustered_ols(df: DataFrame, y: str, xs: Sequence[str], cluster: str) -> Fit
     return Fit(names, b, small * inverse @ meat @ inverse, n, g)
 
 
-def event_study(df: DataFrame, unit: str, time: str, cohort: str, y: str, reach: int, baseline: int = -1) -> Fit:
+def event_study(df: DataFrame, unit: str, time: str, cohort: str, y: str, reach: int, baseline: int = -1, split: str | None = None) -> Fit:
     """Interaction-weighted event study (Sun and Abraham, 2021); never-treated units (null cohort) are the control.
 
     Effects of each cohort and relative time come from one two-way fixed-effects
     regression; those of a relative time are averaged by the cohorts' shares in
-    it.  Relative times beyond ``reach`` are joined at the ends.  The variance of
-    the shares isn't added.
+    it.  Relative times beyond ``reach`` are joined at the ends.  The variance is
+    clustered by unit and includes that of the shares.  With ``split``, a column
+    that is constant within a unit, the same regression has effects of their own
+    for each of its values, named ``<value>:t<k>``; treated units without one go.
     """
-    d = df.select(unit, time, cohort, F.col(y).cast("double").alias("_y")).filter(F.col("_y").isNotNull())
-    rel = F.greatest(F.lit(-reach), F.least(F.lit(reach), F.col(time) - F.col(cohort)))
-    d = d.withColumn("_rel", rel)
-    cells = [(r[0], r[1], r[2]) for r in d.filter(F.col(cohort).isNotNull() & (F.col("_rel") != baseline)).groupBy(cohort, "_rel").count().orderBy(cohort, "_rel").collect()]
+    extra = [split] if split else []
+    d = df.select(unit, time, cohort, *extra, F.col(y).cast("double").alias("_y")).filter(F.col("_y").isNotNull())
+    if split:
+        d = d.filter(F.col(cohort).isNull() | F.col(split).isNotNull())
+    d = d.withColumn("_group", (F.concat(F.col(split).cast("string"), F.lit(":")) if split else F.lit("")))
+    d = d.withColumn("_rel", F.greatest(F.lit(-reach), F.least(F.lit(reach), F.col(time) - F.col(cohort))))
+    treated = d.filter(F.col(cohort).isNotNull() & (F.col("_rel") != baseline))
+    cells = [tuple(r) for r in treated.groupBy("_group", cohort, "_rel").count().orderBy("_group", cohort, "_rel").collect()]
     names = [f"_d{i}" for i in range(len(cells))]
-    d = d.withColumns({n: F.coalesce((F.col(cohort) == c) & (F.col("_rel") == r), F.lit(False)).cast("double") for n, (c, r, _) in zip(names, cells)})
+    d = d.withColumns({n: F.coalesce((F.col("_group") == g) & (F.col(cohort) == c) & (F.col("_rel") == r), F.lit(False)).cast("double") for n, (g, c, r, _) in zip(names, cells)})
     fit = clustered_ols(demean(d, ["_y", *names], [unit, time]), "_y", names, unit)
-    times = sorted({r for _, r, _ in cells})
-    weights = np.zeros((len(times), len(cells)))
-    for i, (_, r, n) in enumerate(cells):
-        weights[times.index(r), i] = n
-    weights /= weights.sum(axis=1, keepdims=True)
-    return Fit([f"t{t}" for t in times], weights @ fit.b, weights @ fit.v @ weights.T, fit.n, fit.clusters)
+    terms = sorted({(g, r) for g, _, r, _ in cells})
+    weights = np.zeros((len(terms), len(cells)))
+    for i, (g, _, r, n) in enumerate(cells):
+        weights[terms.index((g, r)), i] = n
+    sizes = weights.sum(axis=1)
+    weights /= sizes[:, None]
+    effects = weights @ fit.b
+    # A unit's part in the shares: how far its cohort's effect is from the mean, by the number of rows of the relative time.
+    rows = [(g, c, r, terms.index((g, r)), float((fit.b[i] - effects[terms.index((g, r))]) / sizes[terms.index((g, r))])) for i, (g, c, r, _) in enumerate(cells)]
+    if not rows:
+        return Fit([], effects, weights @ fit.v @ weights.T, fit.n, fit.clusters)
+    kind = dict(d.dtypes)
+    table = df.sparkSession.createDataFrame(rows, f"_group string, `{cohort}` {kind[cohort]}, _rel {kind['_rel']}, _term int, _part double")
+    parts = treated.join(F.broadcast(table), ["_group", cohort, "_rel"]).groupBy(unit).agg(*[F.sum(F.when(F.col("_term") == i, F.col("_part")).otherwise(0.0)).alias(f"p{i}") for i in range(len(terms))])  # one row for each cell
+    k = len(terms)
+    cross = parts.agg(*[F.sum(F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)]).first()
+    shares = np.array([v or 0.0 for v in cross]).reshape(k, k)
+    return Fit([f"{g}t{r}" for g, r in terms], effects, weights @ fit.v @ weights.T + shares, fit.n, fit.clusters)
 
 
 def combine(fit: Fit, weights: dict[str, float]) -> tuple[float, float]:
