@@ -314,7 +314,7 @@ def initials_match(a: Column, b: Column) -> Column:
 
 def in_list(listed: Column, value: Column, separator: str = ";") -> Column:
     """Whether a separated list has a value as a whole entry; spaces around entries don't count."""
-    return F.array_contains(F.transform(F.split(listed, re.escape(separator)), F.trim), value)
+    return F.array_contains(F.transform(F.split(listed, re.escape(separator)), lambda v: F.trim(v)), value)
 
 
 def format_share(c: Column, places: int = 1) -> Column:

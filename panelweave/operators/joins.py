@@ -55,6 +55,26 @@ def similarity_join(left: DataFrame, right: DataFrame, a: str, b: str, least: fl
     return left.join(scored, F.col(a) == F.col("_a")).join(right, F.col("_b") == F.col(b)).drop("_a", "_b")
 
 
+def fuzzy_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], id_col: str, tests: Sequence[tuple[str, str, int]], right_id: str) -> DataFrame:
+    """All left rows with the right rows of equal keys that are within each test's edits (left column, right column, most).
+
+    ``distance`` is the sum over the tests; a left row without a match has nulls
+    once.  Null keys and texts match nothing.
+    """
+    r = right.select(right_id, *[F.col(k).alias(f"_{k}") for k in keys], *[F.col(b).alias(f"_t{i}") for i, (_, b, _) in enumerate(tests)])
+    match = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.levenshtein(F.col(a), F.col(f"_t{i}"), most) >= 0 for i, (a, _, most) in enumerate(tests)])
+    out = left.join(r, match, "left")
+    distance = sum((F.levenshtein(F.col(a), F.col(f"_t{i}")) for i, (a, _, _) in enumerate(tests)), F.lit(0))
+    return out.withColumn("distance", distance).drop(*[f"_{k}" for k in keys], *[f"_t{i}" for i in range(len(tests))])
+
+
+def similarity_left_join(left: DataFrame, right: DataFrame, a: str, b: str, most: float, keys: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """All left rows with the right rows whose Jaro-Winkler distance is ``most`` at most, among those that share a blocking key (see ``similarity_join``); null columns where none is."""
+    own = left.withColumn("_own", F.col(a))
+    pairs = similarity_join(own.select("_own").distinct(), right, "_own", b, 1.0 - most, [(x, y) for x, y in keys])
+    return own.join(pairs, "_own", "left").drop("_own")
+
+
 def best_token_sort(left: DataFrame, right: DataFrame, keys: Sequence[str], id_col: str, a: str, b: str, right_id: str, least: float = 80.0) -> DataFrame:
     """In a bucket of equal keys the right text with the best token-sort ratio (ties: the smaller right id), kept if it reaches ``least`` or one holds the other.
 

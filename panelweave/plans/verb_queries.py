@@ -147,10 +147,6 @@ def json_map(spark, d):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("keys").alias("shapes"))
 
 
-@register("q_page_fields", None)
-def page_fields(spark, d):
-    return files.page_fields(table(spark, d, "pages")).select("page_id", "title", "date", "n_links", "body_chars")
-
 
 @register("q_event_windows", "select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def event_windows(spark, d):
