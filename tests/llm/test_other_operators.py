@@ -238,7 +238,7 @@ def test_mixing_stage_meets_margins_on_skewed_sources(spark, sf):
     aim, got = ({m: v / total for m, v in x.items()} for x, total in ((aim, tokens(every)), (got, tokens(kept))))
     assert max(r.weight for r in mix_sources(docs).collect()) > 1.25
     assert all(abs(got[m] / aim[m] - 1) < 0.1 for m in aim), (dict(aim), dict(got))
-    uncapped = mix_sources(docs, uncapped=True).collect()
+    uncapped = mix_sources(docs).collect()
     assert all(r.probability < 1 + 1e-9 and abs(r.design_weight / uncapped[0].design_weight - 1) < 1e-9 for r in uncapped)
 
 
