@@ -181,15 +181,18 @@ def parent_values(df: DataFrame, id_col: str, parent: str, values: Sequence[str]
     return df.join(p, [parent, *on], "left")
 
 
-def keyword_hits(docs: DataFrame, words: DataFrame, doc_id: str, text: str, word_id: str, phrase: str) -> DataFrame:
-    """Documents that hold a phrase as whole words, case-insensitively: ``doc_id``, ``word_id``.
+def keyword_hits(docs: DataFrame, words: DataFrame, doc_id: str, text: str, word_id: str, phrase: str, key_words: int = 3) -> DataFrame:
+    """Documents that hold a phrase as whole words, case-insensitively: ``doc_id``, ``word_id``, each pair once.
 
-    Word n-grams of the lengths that phrases have meet the phrases in one equi
-    join; the set of lengths is small, the phrases may be many.
+    A phrase's first ``key_words`` words meet the word n-grams of the documents in
+    one equi join; longer phrases are then looked for in the documents that have
+    their beginning.  Phrases may be many; null and empty texts and phrases hold
+    and are nothing; rows that repeat an id are searched each.
     """
     norm = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    p = words.select(word_id, norm(F.col(phrase)).alias("_w")).filter(F.size("_w") > 0).withColumn("_n", F.size("_w")).withColumn("_g", F.array_join("_w", " "))
-    lengths = sorted(r[0] for r in p.select("_n").distinct().collect())
+    p = words.select(word_id, norm(F.col(phrase)).alias("_w")).filter(F.size("_w") > 0)
+    p = p.select(word_id, F.size("_w").alias("_n"), F.array_join("_w", " ").alias("_p"), F.array_join(F.slice("_w", 1, key_words), " ").alias("_g")).distinct()
+    lengths = sorted({min(key_words, r[0]) for r in p.select("_n").distinct().collect()})
     if not lengths:
         return docs.select(doc_id).join(words.select(word_id).limit(0), F.lit(False))
     # The words are a column of their own, so that no gram splits the text again.
@@ -202,4 +205,8 @@ def keyword_hits(docs: DataFrame, words: DataFrame, doc_id: str, text: str, word
 
     grams = F.flatten(F.array(*[grams_of(n) for n in lengths]))
     g = worded.select(doc_id, F.explode(F.array_distinct(grams)).alias("_g"))
-    return g.join(p.select(word_id, "_g").distinct(), "_g").select(doc_id, word_id).distinct()
+    found = g.join(p, "_g").select(doc_id, word_id, "_n", "_p").distinct()
+    begun = found.filter(F.col("_n") > key_words).select(F.col(doc_id).alias("_doc"), word_id, "_p")
+    whole = F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))
+    held = worded.select(doc_id, whole.alias("_t")).join(begun, F.col(doc_id).eqNullSafe(F.col("_doc"))).filter(F.contains(F.col("_t"), F.concat(F.lit(" "), F.col("_p"), F.lit(" "))))
+    return found.filter(F.col("_n") <= key_words).select(doc_id, word_id).union(held.select(doc_id, word_id)).distinct()
