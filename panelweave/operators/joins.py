@@ -184,29 +184,29 @@ def parent_values(df: DataFrame, id_col: str, parent: str, values: Sequence[str]
 def keyword_hits(docs: DataFrame, words: DataFrame, doc_id: str, text: str, word_id: str, phrase: str, key_words: int = 3) -> DataFrame:
     """Documents that hold a phrase as whole words, case-insensitively: ``doc_id``, ``word_id``, each pair once.
 
-    A phrase's first ``key_words`` words meet the word n-grams of the documents in
-    one equi join; longer phrases are then looked for in the documents that have
-    their beginning.  Phrases may be many; null and empty texts and phrases hold
-    and are nothing; rows that repeat an id are searched each.
+    Hashes of a phrase's first ``key_words`` words meet those of the documents in
+    one equi join; only documents that have a beginning are read for the phrase
+    itself, so equal hashes of other words do no harm.  Phrases may be many; null
+    and empty texts and phrases hold and are nothing; rows that repeat an id are
+    searched each.
     """
-    norm = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    norm = lambda c: F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), "")
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     p = words.select(word_id, norm(F.col(phrase)).alias("_w")).filter(F.size("_w") > 0)
-    p = p.select(word_id, F.size("_w").alias("_n"), F.array_join("_w", " ").alias("_p"), F.array_join(F.slice("_w", 1, key_words), " ").alias("_g")).distinct()
-    lengths = sorted({min(key_words, r[0]) for r in p.select("_n").distinct().collect()})
+    w = F.col("_w")
+    begin = lambda n, first, at: F.xxhash64(F.lit(n), first, *[F.get(w, at + j) for j in range(1, n)])
+    p = p.select(word_id, F.least(F.size(w), F.lit(key_words)).alias("_n"), w)
+    lengths = sorted(r[0] for r in p.select("_n").distinct().collect())
     if not lengths:
         return docs.select(doc_id).join(words.select(word_id).limit(0), F.lit(False))
+    start = F.coalesce(*[F.when(F.col("_n") == n, begin(n, F.get(w, F.lit(0)), F.lit(0))) for n in lengths])
+    p = p.select(word_id, start.alias("_g"), spaced(w).alias("_p")).distinct()
     # The words are a column of their own, so that no gram splits the text again.
     worded = docs.select(doc_id, norm(F.col(text)).alias("_w"))
-    w = F.col("_w")
-
-    def grams_of(n: int) -> Column:
-        some = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.when(F.size(w) >= n, some).otherwise(F.array().cast("array<string>"))
-
-    grams = F.flatten(F.array(*[grams_of(n) for n in lengths]))
-    g = worded.select(doc_id, F.explode(F.array_distinct(grams)).alias("_g"))
-    found = g.join(p, "_g").select(doc_id, word_id, "_n", "_p").distinct()
-    begun = found.filter(F.col("_n") > key_words).select(F.col(doc_id).alias("_doc"), word_id, "_p")
-    whole = F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))
-    held = worded.select(doc_id, whole.alias("_t")).join(begun, F.col(doc_id).eqNullSafe(F.col("_doc"))).filter(F.contains(F.col("_t"), F.concat(F.lit(" "), F.col("_p"), F.lit(" "))))
-    return found.filter(F.col("_n") <= key_words).select(doc_id, word_id).union(held.select(doc_id, word_id)).distinct()
+    grams_of = lambda n: F.transform(w, lambda first, at: begin(n, first, at))
+    g = worded.select(doc_id, F.explode(F.array_distinct(F.flatten(F.array(*[grams_of(n) for n in lengths])))).alias("_g"))
+    found = g.join(p, "_g").select(F.col(doc_id).alias("_doc"), word_id, "_p").distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("_doc"))
+    begun = docs.select(doc_id, text).join(found.select("_doc").distinct(), same, "left_semi")
+    held = begun.select(doc_id, spaced(norm(F.col(text))).alias("_t")).join(found, same).filter(F.contains("_t", "_p"))
+    return held.select(doc_id, word_id).distinct()

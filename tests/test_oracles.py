@@ -3,6 +3,7 @@
 import decimal
 import itertools
 import os
+import re
 
 import numpy as np
 import pytest
@@ -153,3 +154,14 @@ def test_jdbc_source(spark):
         pytest.skip("no database driver")
     got = files.jdbc(spark, url, "PEOPLE", key="K", bounds=(0, 20), parts=4, driver="org.apache.derby.jdbc.EmbeddedDriver")
     assert got.rdd.getNumPartitions() == 4 and sorted(r.K for r in got.collect()) == list(range(20))
+
+
+def test_keyword_hits_edges(spark):
+    """Short and long phrases, words across a boundary, null, empty and repeated rows."""
+    texts = [(1, "The quick, brown fox jumps"), (1, "over it"), (2, "quick brownish fox"), (3, ""), (4, None), (None, "a quick brown fox"), (5, "fox"), (6, "fox fox fox fox quick")]
+    phrases = [(10, "quick brown FOX"), (11, "Fox"), (12, "over it"), (13, "quick brown fox jumps"), (14, "fox fox fox fox"), (15, "..."), (16, None), (17, "quick brown"), (18, "fox fox fox fox fox")]
+    docs = spark.createDataFrame(texts, "d long, t string")
+    got = {tuple(r) for r in J.keyword_hits(docs, spark.createDataFrame(phrases, "k long, p string"), "d", "t", "k", "p").collect()}
+    words = lambda v: " " + " ".join(re.findall(r"\w+", (v or "").lower())) + " "
+    assert got == {(d, k) for d, t in texts for k, p in phrases if words(p).strip() and words(p) in words(t)}
+    assert J.keyword_hits(docs, spark.createDataFrame([], "k long, p string"), "d", "t", "k", "p").count() == 0
