@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -173,22 +174,120 @@ def _winkler(a: str, b: str, p: float, boost_over: float) -> float:
     return s + same * p * (1 - s)
 
 
+#: Texts up to this length are compared in batches, a bit for each of their letters.
+BATCH_LENGTH = 62
+
+
+def _letters(texts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts as rows of a matrix, 0 beyond the end, and their lengths."""
+    joined = "".join(t.ljust(width, "\0") for t in texts)
+    return np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).reshape(len(texts), width), np.array([len(t) for t in texts])
+
+
+def _in_order(letters: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """The taken letters of each row moved to its beginning, 0 after them."""
+    return np.take_along_axis(np.where(taken, letters, 0), np.argsort(~taken, axis=1, kind="stable"), axis=1)
+
+
+def jaro_batch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaro similarity of pairs of texts of at most BATCH_LENGTH letters: all pairs take each step together."""
+    width = max(1, max(map(len, a), default=1), max(map(len, b), default=1))
+    (x, nx), (y, ny) = _letters(a, width), _letters(b, width)
+    reach = np.maximum(np.maximum(nx, ny) // 2 - 1, 0)
+    spot = np.arange(width)
+    bits = np.left_shift(np.uint64(1), spot.astype(np.uint64))
+    free = np.full(len(a), np.uint64(2**64 - 1))
+    mine = np.zeros(x.shape, dtype=bool)
+    for i in range(width):
+        near = (x[:, i, None] == y) & (np.abs(spot - i) <= reach[:, None]) & (spot < ny[:, None]) & (i < nx)[:, None]
+        open_ = (near * bits).sum(axis=1, dtype=np.uint64) & free
+        first = open_ & (~open_ + np.uint64(1))
+        free &= ~first
+        mine[:, i] = first != 0
+    theirs = ((~free)[:, None] & bits) != 0
+    m = mine.sum(axis=1)
+    swaps = (_in_order(x, mine) != _in_order(y, theirs)).sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = (m / nx + m / ny + (m - swaps) / m) / 3
+    return np.where(np.asarray(a, dtype=object) == np.asarray(b, dtype=object), 1.0, np.where(m == 0, 0.0, s))
+
+
+def winkler_batch(a: np.ndarray, b: np.ndarray, p: float, boost_over: float) -> np.ndarray:
+    """Jaro-Winkler of pairs of texts, each different pair once; long texts one by one."""
+    short = np.array([len(x) <= BATCH_LENGTH and len(y) <= BATCH_LENGTH for x, y in zip(a, b)], dtype=bool)
+    out = np.empty(len(a))
+    if short.any():
+        x, y = a[short], b[short]
+        s = jaro_batch(x, y)
+        same = np.array([next((k for k, (u, v) in enumerate(zip(x[i][:4], y[i][:4])) if u != v), min(len(x[i]), len(y[i]), 4)) for i in range(len(x))])
+        out[short] = np.where(s <= boost_over, s, s + same * p * (1 - s))
+    for i in np.flatnonzero(~short):
+        out[i] = _winkler(a[i], b[i], p, boost_over)
+    return out
+
+
+def _by_pair(x: pd.Series, y: pd.Series, measure) -> pd.Series:
+    """``measure`` of two columns of texts: each different pair of a batch once, null where either is."""
+    pairs = pd.DataFrame({"x": x, "y": y}).dropna()
+    code, known = pd.factorize(pd.MultiIndex.from_frame(pairs))
+    out = pd.Series(np.nan, index=x.index, dtype="float64")
+    if len(known):
+        a, b = (np.array(known.get_level_values(k), dtype=object) for k in (0, 1))
+        out.loc[pairs.index] = measure(a, b)[code]
+    return out.astype("Float64")
+
+
 def jaro_winkler(a: Column, b: Column, p: float = 0.1, boost_over: float = 0.7) -> Column:
     """Similarity 0 to 1; ``p=0`` gives plain Jaro.  Two empty strings are equal."""
 
     @F.pandas_udf("double")
     def f(x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}  # of this batch: blocks repeat their names
-        out = []
-        for pair in zip(x, y):
-            if pair not in known:
-                known[pair] = None if pair[0] is None or pair[1] is None else _winkler(*pair, p, boost_over)
-            out.append(known[pair])
-        return pd.Series(out, dtype="float64")
+        return _by_pair(x, y, lambda u, v: winkler_batch(u, v, p, boost_over))
 
     return f(a, b)
 
 
+def alignment_batch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Optimal string alignment of pairs of texts: insertions, deletions, changes and swaps of neighbours count 1, and no part is edited twice."""
+    width = max(1, max(map(len, a), default=1), max(map(len, b), default=1))
+    (x, nx), (y, ny) = _letters(a, width), _letters(b, width)
+    table = np.zeros((width + 1, width + 1, len(a)), dtype=np.int32)
+    table[:, 0], table[0, :] = np.arange(width + 1)[:, None], np.arange(width + 1)[:, None]
+    for i in range(1, width + 1):
+        for j in range(1, width + 1):
+            best = np.minimum(np.minimum(table[i - 1, j], table[i, j - 1]) + 1, table[i - 1, j - 1] + (x[:, i - 1] != y[:, j - 1]))
+            if i > 1 and j > 1:
+                swapped = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
+                best = np.where(swapped, np.minimum(best, table[i - 2, j - 2] + 1), best)
+            table[i, j] = best
+    return table[nx, ny, np.arange(len(a))].astype("float64")
+
+
+def alignment_distance(a: Column, b: Column) -> Column:
+    """Optimal string alignment distance; a swap of neighbouring letters costs 1."""
+
+    @F.pandas_udf("int")
+    def f(x: pd.Series, y: pd.Series) -> pd.Series:
+        return _by_pair(x, y, alignment_batch).astype("Int32")
+
+    return f(a, b)
+
+
+def deletions(c: Column, most: int) -> Column:
+    """The different texts that a text leaves with ``most`` letters or fewer taken out.
+
+    Two texts within ``most`` insertions, deletions, changes and swaps of neighbours have one of these in common.
+    """
+    def fewer(t: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+
+    found = last = F.array(c)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda t: F.when(F.length(t) > 0, fewer(t)).otherwise(F.array(t)))))
+        found = F.array_union(found, last)
+    return F.when(c.isNotNull(), found)
+
+
 def _indel_ratio(a: str, b: str) -> float:
     if not a and not b:
         return 100.0

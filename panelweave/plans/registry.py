@@ -11,9 +11,11 @@ ORACLES: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
-    """Register a query; ``sql`` is its oracle over the tables as views."""
+    """Register a query; ``sql`` is its oracle over the tables as views.  A name that is taken raises."""
 
     def put(f: Callable[[SparkSession, str], DataFrame]):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered already")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
@@ -33,7 +35,7 @@ def _load() -> None:
         importlib.import_module(f"panelweave.plans.{module}")
 
 
-MODULES = ["panel_queries", "verb_queries", "linkage_queries", "cohort_queries", "identity_queries", "table_queries", "outcome_queries", "source_queries"]
+MODULES = ["panel_queries", "verb_queries", "linkage_queries", "cohort_queries", "identity_queries", "table_queries", "outcome_queries", "source_queries", "record_queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

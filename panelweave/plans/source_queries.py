@@ -154,7 +154,7 @@ def person_names(spark, d):
     return t.select("n", T.drop_suffixes(F.col("n")).alias("bare"), T.nickname(F.col("n")).alias("nick"), T.drop_nickname(F.col("n")).alias("rest"), p.first.alias("first"), p.last.alias("last"), p.title.alias("title"), T.ascii_fold(F.col("n")).alias("ascii"))
 
 
-@register("q_text_scalars", r"""select * from (values ('00012', '12', 12.0::double, '00012', '00012', '000012'), ('12345-6789', '12345-6789', null, '12345', '123456789', '12345-6789'), (' 7 ', ' 7 ', 7.0, '00007', '7', '000 7 '), ('(800) 555-0100 x12', '(800) 555-0100 x12', null, '80055', '800555010012', '(800) 555-0100 x12'), ('0', '0', 0.0, '00000', '0', '000000'), (null, null, null, null, null, null)) t(s, stripped, number, zip, digits, id)""")
+@register("q_number_texts", r"""select * from (values ('00012', '12', 12.0::double, '00012', '00012', '000012'), ('12345-6789', '12345-6789', null, '12345', '123456789', '12345-6789'), (' 7 ', ' 7 ', 7.0, '00007', '7', '000 7 '), ('(800) 555-0100 x12', '(800) 555-0100 x12', null, '80055', '800555010012', '(800) 555-0100 x12'), ('0', '0', 0.0, '00000', '0', '000000'), (null, null, null, null, null, null)) t(s, stripped, number, zip, digits, id)""")
 def text_scalars(spark, d):
     s = F.col("s")
     t = spark.createDataFrame([("00012",), ("12345-6789",), (" 7 ",), ("(800) 555-0100 x12",), ("0",), (None,)], "s string")
