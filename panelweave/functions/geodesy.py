@@ -8,11 +8,11 @@ longitude doesn't converge.  The longitude and the length follow Vincenty's seri
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: WGS 84, metres in a mile.
 AXIS, FLATTENING = 6_378_137.0, 1 / 298.257223563
 MILE = 1609.344
@@ -22,11 +22,6 @@ HALVINGS = 52
 EQUATOR = 4e-11
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _triangle(azimuth: Column, s: Column) -> Column:
     """The geodesic of an azimuth from the first point to the other's latitude: ``sigma`` (arc), ``twice`` (both arcs from the node), ``equator`` (sine of its azimuth there), ``longitude``."""
     def arcs(a: Column) -> Column:

@@ -1,8 +1,7 @@
-"""Text scalars: cleaning, names, addresses, similarity and phonetic codes.
+"""Text scalars: cleaning, names, addresses and similarity.
 
 All are Column functions.  What Spark can express stays in its expressions; edit
-similarity by Jaro and Winkler, the token-sort ratio and the phonetic code run
-as Arrow-batched pandas functions, each over distinct values where the caller
+similarity by Jaro and Winkler, alignment and the token-sort ratio run as Arrow-batched pandas functions, each over distinct values where the caller
 can arrange it.  Null in, null out, unless a function says otherwise.
 """
 
@@ -10,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,11 @@ ORDINALS = {"first": "1st", "second": "2nd", "third": "3rd", "fourth": "4th", "f
 NAME_SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v", "md", "phd", "rn", "mba", "esq", "cpa", "dds")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squish(c: Column) -> Column:
     """Trim, and one space for each run of white space, no-break spaces included."""
     return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
@@ -75,11 +80,9 @@ def to_number(c: Column) -> Column:
 
 
 def standard_address(c: Column) -> Column:
-    out = clean(c)
-    for table in (DIRECTIONS, STREET_WORDS, ORDINALS):
-        for word, short in table.items():
-            out = F.regexp_replace(out, rf"\b{word}\b", short)
-    return out
+    """Cleaned, with directions, street words and ordinals in their short forms; each word is looked up once."""
+    short = F.create_map(*[F.lit(x) for pair in (DIRECTIONS | STREET_WORDS | ORDINALS).items() for x in pair])
+    return F.array_join(F.transform(F.split(clean(c), " "), lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")
 
 
 def drop_suffixes(c: Column) -> Column:
@@ -314,90 +317,6 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return f(sorted_tokens(a), sorted_tokens(b))
 
 
-def phonetic_code(word: str) -> str:
-    """A consonant code after Lawrence Philips' published rules for English, shortened to what names need."""
-    w = "".join(c for c in unicodedata.normalize("NFKD", word.upper()) if "A" <= c <= "Z")
-    for begin, sound in (("KN", "N"), ("GN", "N"), ("PN", "N"), ("WR", "R"), ("PS", "S"), ("X", "S"), ("WH", "W")):
-        if w.startswith(begin):
-            w = sound + w[len(begin):]
-            break
-    out, i = [], 0
-    while i < len(w):
-        c, rest, before, after = w[i], w[i:], w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else ""
-        i += 1
-        if c == before and c != "C":
-            continue
-        if c in "AEIOU":
-            if i == 1:
-                out.append("A")
-        elif c == "B":
-            if not (before == "M" and not after):
-                out.append("P")
-        elif c == "C":
-            if rest.startswith("CH"):
-                out.append("X")
-                i += 1
-            elif after in "IEY" and after:
-                out.append("S")
-            else:
-                out.append("K")
-                i += rest.startswith(("CK", "CC"))
-        elif c == "D":
-            out.append("J" if rest.startswith(("DGE", "DGI", "DGY")) else "T")
-        elif c == "G":
-            if after == "H":
-                i += 1
-                if i == 2 or w[i:i + 1] in tuple("AEIOU"):
-                    out.append("K")
-            elif after == "N" and len(rest) <= 3:
-                continue
-            else:
-                out.append("J" if after and after in "IEY" else "K")
-        elif c == "H":
-            if after and after in "AEIOU" and before not in tuple("CSPTG"):
-                out.append("H")
-        elif c == "P":
-            out.append("F" if after == "H" else "P")
-            i += after == "H"
-        elif c == "Q":
-            out.append("K")
-        elif c == "S":
-            if rest.startswith("SH") or rest.startswith(("SIO", "SIA")):
-                out.append("X")
-                i += after == "H"
-            else:
-                out.append("S")
-        elif c == "T":
-            if rest.startswith(("TIO", "TIA")):
-                out.append("X")
-            elif rest.startswith("TH"):
-                out.append("0")
-                i += 1
-            elif not rest.startswith("TCH"):
-                out.append("T")
-        elif c == "V":
-            out.append("F")
-        elif c in "WY":
-            if after and after in "AEIOU":
-                out.append(c)
-        elif c == "X":
-            out.append("KS")
-        elif c == "Z":
-            out.append("S")
-        else:
-            out.append(c)
-    return "".join(out)
-
-
-def metaphone(c: Column) -> Column:
-    """The phonetic code of a word (see ``phonetic_code``); null stays null, a word without letters has an empty code."""
-    @F.pandas_udf("string")
-    def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else phonetic_code(x))
-
-    return f(c)
-
-
 def base_code(c: Column) -> Column:
     """A phonetic code without a last S, unless it is the whole code."""
     return F.regexp_replace(c, "(?<=.)S$", "")

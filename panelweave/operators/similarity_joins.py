@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import alignment_distance, deletions, jaro_winkler
+from ..functions.text import alignment_distance, deletions, jaro_winkler, let
 
 #: Winkler's weight of a common first letter, the Jaro similarity over which it counts, the most letters that do.
 WEIGHT, BOOST_OVER, FIRST_LETTERS = 0.1, 0.7, 4
@@ -19,23 +19,25 @@ FREQUENT = "eaionrtlsucdmhgbpyfkvwzjxq"
 _EPS = 1e-9
 
 
-def least_jaro(least: float, common: int) -> float:
+def least_jaro(least: float, common: int, weight: float = WEIGHT) -> float:
     """The Jaro similarity that a pair with ``common`` equal first letters needs to reach a Jaro-Winkler similarity of ``least``."""
-    boosted = (least - common * WEIGHT) / (1 - common * WEIGHT)
+    boosted = (least - common * weight) / (1 - common * weight)
     return max(min(BOOST_OVER, least), boosted)
 
 
 def letters(c: Column) -> Column:
     """A text's letters, each with its number among equal ones, rare ones first: what two texts have in common of it bounds their matches."""
-    chars = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1)))
+    def counted(chars: Column) -> Column:
+        def one(ch: Column, i: Column) -> Column:
+            turn = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == ch))
+            place = F.call_function("instr", F.lit(FREQUENT), ch)
+            rarity = F.when(place == 0, 40).otherwise(place) + (turn - 1) * 6
+            return F.concat(F.lpad((F.lit(9999) - rarity).cast("string"), 4, "0"), ch, turn.cast("string"))
 
-    def one(ch: Column, i: Column) -> Column:
-        turn = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == ch))
-        place = F.call_function("instr", F.lit(FREQUENT), ch)
-        rarity = F.when(place == 0, 40).otherwise(place) + (turn - 1) * 6
-        return F.concat(F.lpad((F.lit(9999) - rarity).cast("string"), 4, "0"), ch, turn.cast("string"))
+        return F.array_sort(F.transform(chars, one))
 
-    return F.when(F.length(c) > 0, F.array_sort(F.transform(chars, one))).otherwise(F.array().cast("array<string>"))
+    chars = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1)))
+    return F.when(F.length(c) > 0, let(chars, counted)).otherwise(F.array().cast("array<string>"))
 
 
 def least_common(n: Column, other: Column, jaro: float) -> Column:
@@ -43,64 +45,76 @@ def least_common(n: Column, other: Column, jaro: float) -> Column:
     return F.greatest(F.lit(1), F.ceil((3 * jaro - 1) * n * other / (n + other) - _EPS)).cast("int")
 
 
-def _index(texts: DataFrame, c: str, least: float) -> DataFrame:
-    """Rows (key, text, tokens) of an index that any pair reaching ``least`` meets in.
+def _classes(weight: float) -> range:
+    """Numbers of equal first letters that make a difference."""
+    return range(FIRST_LETTERS + 1) if weight else range(1)
+
+
+def _index(texts: DataFrame, c: str, least: float, weight: float) -> DataFrame:
+    """Rows (key, text, n, bits) of an index that any pair reaching ``least`` meets in.
 
     A pair with ``l`` equal first letters (4: or more) shares these, and by its
     Jaro similarity a number of letters.  Where it shares two or more, it shares
     the two rarest shared ones among the first of both texts; else any one.
+    ``bits`` has a bit for each letter, by hash.
     """
-    t = texts.select(F.col(c).alias("text"), F.length(c).alias("n"), letters(F.col(c)).alias("tokens"))
+    # The letters go through a shuffle, so that no later expression works them out again.
+    t = texts.select(F.col(c).alias("text"), F.length(c).alias("n"), letters(F.col(c)).alias("tokens")).repartition("text")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    t = t.withColumn("bits", F.aggregate("tokens", F.lit(0).cast("long"), lambda all_, x: all_.bitwiseOR(bit(x))))
+    none = F.array().cast("array<string>")
     classes = []
-    for common in range(FIRST_LETTERS + 1):
-        jaro = least_jaro(least, common)
+    for common in _classes(weight):
+        jaro = least_jaro(least, common, weight)
         shortest = F.greatest(F.lit(1), F.ceil((3 * jaro - 2) * F.col("n") - _EPS))
         fewest = least_common(F.col("n"), shortest, jaro)
         head = F.slice("tokens", F.lit(1), F.greatest(F.lit(2), F.col("n") - F.greatest(F.lit(2), fewest) + 2))
-        keys = F.when(F.col("n") >= 2, _twos(head)).otherwise(F.array().cast("array<string>"))
-        keys = F.concat(keys, F.when(fewest <= 1, F.col("tokens")).otherwise(F.array().cast("array<string>")))
+        keys = F.concat(F.when(F.col("n") >= 2, _twos(head)).otherwise(none), F.when(fewest <= 1, F.col("tokens")).otherwise(none))
         begin = F.concat(F.lit(f"{common}:"), F.left("text", F.lit(common)), F.lit(":"))
-        classes.append(F.when(F.col("n") >= common, F.transform(keys, _prefixed(begin))).otherwise(F.array().cast("array<string>")))
-    return t.select(F.explode(F.array_distinct(F.concat(*classes))).alias("key"), "text", "n", "tokens")
+        classes.append(F.when(F.col("n") >= common, F.transform(keys, _prefixed(begin))).otherwise(none))
+    return t.select(F.explode(F.array_distinct(F.concat(*classes))).alias("key"), "text", "n", "bits")
 
 
 def _twos(head: Column) -> Column:
     """All pairs of an array's values, in order, as one text each."""
-    def after(x: Column, i: Column) -> Column:
-        return F.transform(F.slice(head, i + 2, F.size(head)), lambda y: F.concat(x, y))
+    def pairs(h: Column) -> Column:
+        return F.flatten(F.transform(h, lambda x, i: F.transform(F.slice(h, i + 2, F.size(h)), lambda y: F.concat(x, y))))
 
-    return F.flatten(F.transform(head, after))
+    return let(head, pairs)
 
 
 def _prefixed(begin: Column):
     return lambda k: F.concat(begin, k)
 
 
-def similar_texts(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
+def similar_texts(left: DataFrame, right: DataFrame, a: str, b: str, least: float, weight: float = WEIGHT) -> DataFrame:
     """``_a``, ``_b``, ``similarity``: all pairs of different values of both columns with a Jaro-Winkler similarity of ``least`` at least.
 
-    Nulls are in no pair; empty texts pair with each other only.
+    ``weight`` 0 gives plain Jaro.  Nulls are in no pair; empty texts pair with
+    each other only.
     """
     if least < 0.5:
         raise ValueError("under 0.5 shared letters bound nothing")
     x = left.select(F.col(a).alias("_t")).filter("_t is not null").distinct()
     y = right.select(F.col(b).alias("_t")).filter("_t is not null").distinct()
-    xs = _index(x, "_t", least).select("key", F.col("text").alias("_a"), F.col("n").alias("_na"), F.col("tokens").alias("_ta"))
-    ys = _index(y, "_t", least).select("key", F.col("text").alias("_b"), F.col("n").alias("_nb"), F.col("tokens").alias("_tb"))
-    needed = F.lit(least_jaro(least, FIRST_LETTERS))
-    for common in reversed(range(FIRST_LETTERS)):  # fewer equal first letters need more of the rest
-        needed = F.when(F.left("_a", F.lit(common + 1)) != F.left("_b", F.lit(common + 1)), least_jaro(least, common)).otherwise(needed)
+    xs = _index(x, "_t", least, weight).select("key", F.col("text").alias("_a"), F.col("n").alias("_na"), F.col("bits").alias("_ba"))
+    ys = _index(y, "_t", least, weight).select("key", F.col("text").alias("_b"), F.col("n").alias("_nb"), F.col("bits").alias("_bb"))
+    needed = F.lit(least_jaro(least, max(_classes(weight)), weight))
+    for common in reversed(_classes(weight)[:-1]):  # fewer equal first letters need more of the rest
+        needed = F.when(F.left("_a", F.lit(common + 1)) != F.left("_b", F.lit(common + 1)), least_jaro(least, common, weight)).otherwise(needed)
     shared = F.greatest(F.lit(1), F.ceil((needed * 3 - 1) * F.col("_na") * F.col("_nb") / (F.col("_na") + F.col("_nb")) - _EPS))
-    enough = F.size(F.array_intersect("_ta", "_tb")) >= shared
+    # A bit that only one text has is a letter that the other lacks.
+    lacks = lambda p, q: F.bit_count(F.col(p).bitwiseAND(F.bitwise_not(F.col(q))))
+    enough = (F.col("_na") - lacks("_ba", "_bb") >= shared) & (F.col("_nb") - lacks("_bb", "_ba") >= shared)
     met = xs.join(ys, "key").filter(enough).select("_a", "_b").distinct()
-    scored = met.withColumn("similarity", jaro_winkler(F.col("_a"), F.col("_b"))).filter(F.col("similarity") >= least)
+    scored = met.withColumn("similarity", jaro_winkler(F.col("_a"), F.col("_b"), p=weight)).filter(F.col("similarity") >= least)
     empty = x.filter("_t = ''").join(y.filter("_t = ''"), "_t").select(F.col("_t").alias("_a"), F.col("_t").alias("_b"), F.lit(1.0).alias("similarity"))
     return scored.unionByName(empty)
 
 
-def similarity_left_join(left: DataFrame, right: DataFrame, a: str, b: str, most: float) -> DataFrame:
+def similarity_left_join(left: DataFrame, right: DataFrame, a: str, b: str, most: float, weight: float = WEIGHT) -> DataFrame:
     """All left rows with all right rows whose Jaro-Winkler distance is ``most`` at most, nulls where none is."""
-    pairs = similar_texts(left, right, a, b, 1.0 - most)
+    pairs = similar_texts(left, right, a, b, 1.0 - most, weight)
     matched = pairs.join(right, F.col("_b") == F.col(b)).drop("_b")
     return left.join(matched, F.col(a) == F.col("_a"), "left").drop("_a")
 

@@ -38,20 +38,6 @@ def jw_join(spark, d):
     return J.similarity_join(a, b, "a", "b", 0.9, keys).filter("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@register("q_token_sort_match", None)
-def token_sort(spark, d):
-    p = table(spark, d, "part")
-    a = p.filter("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_name").alias("a"))
-    b = p.filter("p_partkey % 2 = 1").select("p_brand", F.col("p_partkey").alias("other"), F.col("p_name").alias("b"))
-    return J.best_token_sort(a, b, ["p_brand"], "id", "a", "b", "other", 60.0).select("id", "other", F.round("score", 4).alias("score"))
-
-
-@register("q_metaphone_blocks", None)
-def metaphone_blocks(spark, d):
-    n = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().withColumn("code", T.base_code(T.metaphone(F.col("w"))))
-    return n.groupBy("code").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("w")), ";").alias("words"))
-
-
 def _unrolled(rounds: int) -> str:
     """Smallest and greatest label by so many rounds over all edges; a round reaches one edge further."""
     steps = ["l0 as (select distinct a as node, a as lo, a as hi from b)"]

@@ -1,4 +1,4 @@
-"""Sources, sinks and text scalars.  Files go to the shared folder and are read again."""
+"""Sources and sinks.  Files go to the shared folder and are read again."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import joins as J
 from ..operators.graphs import shared_folder
 from ..sources import files
@@ -17,11 +16,6 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def _lines(spark, path: str, lines: list[str]) -> str:
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
-    return path
-
-
 @register("q_yearly_csv", "select n_nationkey::varchar as n_nationkey, n_name, case when n_regionkey > 2 then n_regionkey::varchar end as n_regionkey, 2000 + n_regionkey as year from nation where n_regionkey <> 1")
 def yearly_csv(spark, d):
     """One file a region as its year; the early years lack a column, 2001 has no file."""
@@ -56,20 +50,6 @@ def dta_round_trip(spark, d):
     return files.read_dta(spark, path).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.round("s_acctbal", 2).alias("s_acctbal"))
 
 
-@register("q_faulty_csv", "select 'audit' as what, 5::bigint as rows, 2::bigint as bad union all select 'tolerant', 4, 0")
-def faulty_csv(spark, d):
-    folder = _folder(spark)
-    path = _lines(spark, f"{folder}/a", ["k,v", "1,2.5", "2,x", "3,4", "y,5", "6,"])
-    audit = files.parse_audit(spark, path, "k int, v double").agg(F.sum("rows").alias("rows"), F.sum("bad").alias("bad"))
-    kept = files.tolerant_csv(spark, _lines(spark, f"{folder}/b", ["1,a", "2,b,c,d", "3,e", "z,f", "4,g", "5,h"]), "k int, v string")
-    return audit.select(F.lit("audit").alias("what"), "rows", "bad").unionAll(kept.agg(F.count("*")).select(F.lit("tolerant"), "count(1)", F.lit(0).cast("long")))
-
-
-@register("q_ragged_names", "select * from (values ('ann', 'anna'), ('anna', 'ann'), ('bob', 'rob'), ('bob', 'robert'), ('rob', 'bob'), ('rob', 'robert'), ('robert', 'bob'), ('robert', 'rob')) t(name1, name2)")
-def ragged_names(spark, d):
-    return files.equivalent_pairs(files.ragged_csv(spark, _lines(spark, _folder(spark), ["Bob,Robert,Rob,NA", "ann, Anna,,", "zoe", ""])))
-
-
 @register("q_cached_lookup", "select case when s_nationkey is null then 'ask' else 'known' end as part, count(*) as n from (select distinct c_nationkey, c_mktsegment from customer) left join (select distinct s_nationkey from supplier where s_suppkey % 2 = 0) on c_nationkey = s_nationkey group by 1")
 def cached_lookup(spark, d):
     cache = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("c_nationkey")).distinct().withColumn("answer", F.lit(1))
@@ -106,13 +86,6 @@ def page_fields(spark, d):
     return files.page_fields(table(spark, d, "pages")).select("page_id", "title", "n_links")
 
 
-@register("q_mixed_dates", "select * from (values (1, date '2012-03-04', 2012), (2, date '2009-12-01', 2009), (3, date '2010-01-05', 2010), (4, null::date, null::int), (5, null, null)) t(i, day, year)")
-def mixed_dates(spark, d):
-    rows = [(1, "on 2012-03-04 it"), (2, "December 1, 2009"), (3, "January 05, 2010 - x"), (4, "no date"), (5, None)]
-    p = files.page_fields(spark.createDataFrame(rows, "i int, html string"))
-    return p.select("i", F.col("date").alias("day"), F.year("date").alias("year"))
-
-
 @register("q_plot_frame", "select l_returnflag as series, l_linenumber::double as x, round(avg(l_quantity), 4) as y, round(avg(l_quantity) - 1.96 * stddev_samp(l_quantity) / sqrt(count(*)), 4) as low, round(avg(l_quantity) + 1.96 * stddev_samp(l_quantity) / sqrt(count(*)), 4) as high from lineitem group by 1, l_linenumber")
 def plot_frame(spark, d):
     s = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.avg("l_quantity").alias("m"), (F.stddev_samp("l_quantity") / F.sqrt(F.count("*"))).alias("e"))
@@ -141,61 +114,3 @@ def similarity_left_join(spark, d):
     b = p.filter("p_partkey % 3 = 0").select(F.concat("p_name", F.lit("s")).alias("t")).distinct()
     out = J.similarity_left_join(p.select(F.col("p_name").alias("s")).distinct(), b, "s", "t", 0.05, [(F.substring("_a", 1, 2), F.substring("_b", 1, 2))])
     return out.select("s", "t", F.round("similarity", 6).alias("similarity"))
-
-
-_NAMES = [("Smith, Jr",), ("Dr. John (Jack) Q. Doe, MD, Chief",), ("Anna  Lee-Park III",), ("St. Mary",), ("Núñez",), ("",), (None,)]
-
-
-@register("q_person_names", """select * from (values ('Smith, Jr', 'Smith', null, 'Smith, Jr', 'Smith', null, 'Jr', 'Smith, Jr'), ('Dr. John (Jack) Q. Doe, MD, Chief', 'Dr. John (Jack) Q. Doe, MD, Chief', 'Jack', 'Dr. John Q. Doe, MD, Chief', 'Dr.', 'Doe', 'MD, Chief', 'Dr. John (Jack) Q. Doe, MD, Chief'),
-('Anna  Lee-Park III', 'Anna Lee-Park', null, 'Anna Lee-Park III', 'Anna', 'Lee-Park', null, 'Anna  Lee-Park III'), ('St. Mary', 'St. Mary', null, 'St. Mary', 'St.', 'Mary', null, 'St. Mary'), ('Núñez', 'Núñez', null, 'Núñez', 'Núñez', null, null, 'Nunez'), ('', '', null, '', null, null, null, ''), (null, null, null, null, null, null, null, null)) t(n, bare, nick, rest, first, last, title, ascii)""")
-def person_names(spark, d):
-    t = spark.createDataFrame(_NAMES, "n string")
-    p = T.person_parts(F.col("n"))
-    return t.select("n", T.drop_suffixes(F.col("n")).alias("bare"), T.nickname(F.col("n")).alias("nick"), T.drop_nickname(F.col("n")).alias("rest"), p.first.alias("first"), p.last.alias("last"), p.title.alias("title"), T.ascii_fold(F.col("n")).alias("ascii"))
-
-
-@register("q_number_texts", r"""select * from (values ('00012', '12', 12.0::double, '00012', '00012', '000012'), ('12345-6789', '12345-6789', null, '12345', '123456789', '12345-6789'), (' 7 ', ' 7 ', 7.0, '00007', '7', '000 7 '), ('(800) 555-0100 x12', '(800) 555-0100 x12', null, '80055', '800555010012', '(800) 555-0100 x12'), ('0', '0', 0.0, '00000', '0', '000000'), (null, null, null, null, null, null)) t(s, stripped, number, zip, digits, id)""")
-def text_scalars(spark, d):
-    s = F.col("s")
-    t = spark.createDataFrame([("00012",), ("12345-6789",), (" 7 ",), ("(800) 555-0100 x12",), ("0",), (None,)], "s string")
-    return t.select("s", T.strip_zeros(s).alias("stripped"), T.to_number(s).alias("number"), T.zip5(s).alias("zip"), T.digits(s).alias("digits"), T.pad_id(s).alias("id"))
-
-
-@register("q_addresses", "select * from (values ('12 North First Street', '12 n 1st st'), ('5 Oak Trail, Suite 4', '5 oak trl ste 4'), ('9 East Terrace-Square', '9 e ter sq'), ('Northern Road', 'northern rd'), ('77 Tenth Parkway Court', '77 10th pkwy ct'), (null, null)) t(a, b)")
-def addresses(spark, d):
-    t = spark.createDataFrame([("12 North First Street",), ("5 Oak Trail, Suite 4",), ("9 East Terrace-Square",), ("Northern Road",), ("77 Tenth Parkway Court",), (None,)], "a string")
-    return t.select("a", T.standard_address(F.col("a")).alias("b"))
-
-
-@register("q_word_tests", "select * from (values ('Saint Mary Hospital', 'Mary', 'saint mary', true, 'Mary', '12.5%', false), ('J', 'john', 'j', false, 'J', '12.5%', true), ('Johnn', 'john', 'johnn', false, 'Johnn', '12.5%', true), ('Jo', 'Jonathan', 'jo', true, 'Jo', '12.5%', false), ('Health (a.b) Center', 'x', 'health', false, 'Health ( ) Center', '12.5%', false), ('', 'x', '', false, '', '12.5%', false)) t(a, b, first, either, left_over, share, variant)")
-def word_tests(spark, d):
-    rows = [("Saint Mary Hospital", "Mary"), ("J", "john"), ("Johnn", "john"), ("Jo", "Jonathan"), ("Health (a.b) Center", "x"), ("", "x")]
-    a, b = F.col("a"), F.col("b")
-    t = spark.createDataFrame(rows, "a string, b string")
-    return t.select("a", "b", T.first_word(a).alias("first"), T.contains_either(a, b).alias("either"), T.drop_words(a, ["saint", "hospital", "a.b"]).alias("left_over"), T.format_share(F.lit(0.125)).alias("share"), T.initials_match(a, b).alias("variant"))
-
-
-@register("q_spaces_and_lists", "select * from (values (1, 'a b c', true, false), (2, 'x', false, true), (3, null, null, null)) t(i, plain, has, other)")
-def spaces_and_lists(spark, d):
-    t = spark.createDataFrame([(1, " a b \t c\u0007", "p; q ;r"), (2, "x​", "qq;s"), (3, None, None)], "i int, s string, l string")
-    return t.select("i", T.plain_space(F.col("s")).alias("plain"), T.in_list(F.col("l"), F.lit("q")).alias("has"), T.in_list(F.col("l"), F.lit("qq")).alias("other"))
-
-
-@register("q_extensions", "select * from (values ('555-0100 ext 12', '5550100'), ('555-0100 x7', '5550100'), ('555-0100', '5550100'), (null, null)) t(p, bare)")
-def extensions(spark, d):
-    t = spark.createDataFrame([("555-0100 ext 12",), ("555-0100 x7",), ("555-0100",), (None,)], "p string")
-    return t.select("p", T.squish(T.strip_extension(F.col("p"))).alias("bare"))
-
-
-@register("q_phonetic_codes", "select * from (values ('knight', true), ('night', true), ('philip', true), ('filip', true), ('smith', false), ('schmidt', false)) t(w, paired)")
-def phonetic_codes(spark, d):
-    from pyspark.sql import Window
-
-    t = spark.createDataFrame([("knight",), ("night",), ("philip",), ("filip",), ("smith",), ("schmidt",)], "w string").withColumn("c", T.base_code(T.metaphone(F.col("w"))))
-    return t.select("w", (F.count("*").over(Window.partitionBy("c")) > 1).alias("paired"))
-
-
-@register("q_token_sort", "select * from (values ('b a', 'a b', 100.0::double), ('main st 5', '5 main street', 81.8182), ('x', 'y', 0.0), ('', '', 100.0), (null, 'a', null)) t(a, b, ratio)")
-def token_sort(spark, d):
-    t = spark.createDataFrame([("b a", "a b"), ("main st 5", "5 main street"), ("x", "y"), ("", ""), (None, "a")], "a string, b string")
-    return t.select("a", "b", F.round(T.token_sort_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))

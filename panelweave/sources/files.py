@@ -35,9 +35,9 @@ def _whole_lines(df: DataFrame) -> DataFrame:
     return df.filter(F.length(F.concat_ws("", *[F.col(c).cast("string") for c in df.columns])) >= 0)
 
 
-def parse_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def parse_audit(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """Rows of a CSV file that don't fit a schema, counted by file."""
-    typed = spark.read.schema(f"{schema}, _bad string").csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    typed = spark.read.schema(f"{schema}, _bad string").csv(path, header=header, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
     return _whole_lines(typed).withColumn("file", F.input_file_name()).groupBy("file").agg(F.count("*").alias("rows"), F.count("_bad").alias("bad"))
 
 

@@ -73,6 +73,8 @@ def test_similar_texts_lose_no_pair(spark, words, least):
     got = [(r._a, r._b) for r in S.similar_texts(left, right, "s", "t", least).collect()]
     want = {(x, y) for x in words[0] for y in words[1] if x is not None and y is not None and T._winkler(x, y, 0.1, 0.7) >= least}
     assert len(got) == len(set(got)) and set(got) == want
+    plain = {(r._a, r._b) for r in S.similar_texts(left, right, "s", "t", least, weight=0.0).collect()}
+    assert plain == {(x, y) for x in words[0] for y in words[1] if x is not None and y is not None and T.jaro(x, y) >= least}
     rows = S.similarity_left_join(left, right, "s", "t", 1 - least)
     assert {r.i for r in rows.collect()} == set(range(len(words[0])))
     assert S.similar_texts(left.limit(0), right, "s", "t", least).count() == 0
