@@ -1,16 +1,16 @@
 """Estimators: least squares by group, two-way fixed effects, interaction-weighted event studies.
 
 Spark reduces the rows to cross products; only those small matrices, whose size
-follows the number of regressors, are solved on the driver.
+follows the number of cells and periods, are solved on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,45 +36,82 @@ def group_slopes(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int
     return s.select(*keys, "n", F.when(ok, F.col("slope")).alias("slope"), F.when(ok, F.col("intercept")).alias("intercept"), F.when(ok & (F.col("n") > 2), F.sqrt(rest / (F.col("n") - 2) / F.col("_xx"))).alias("se"))
 
 
-def demean(df: DataFrame, columns: Sequence[str], effects: Sequence[str], rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
-    """Take out the effects by alternating projections, with a checkpoint every few rounds, until no mean moves."""
+def unit_entries(df: DataFrame, unit: str, period: str, cell: str, y: str) -> DataFrame:
+    """One row for each unit: ``n``, ``sy`` and ``entries``, its numbers of rows and sums of y by (period, cell).
+
+    ``period`` and ``cell`` are column numbers of the regression (a null cell is
+    none).  Rows are summed before units are gathered, so a unit's array has as
+    many entries as it has periods, however many rows it repeats.
+    """
+    e = df.groupBy(unit, F.col(period).alias("p"), F.col(cell).alias("c")).agg(F.count("*").cast("double").alias("n"), F.sum(y).alias("sy"))
+    return e.groupBy(unit).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.collect_list(F.struct("p", "c", "n", "sy")).alias("entries"))
+
+
+def _by_column(entries: Column, measure: Callable[[Column], Column]) -> Column:
+    """Of an array of entries one struct (i, v) for each period and each cell in it: its measure."""
+    periods = F.transform(entries, lambda e: F.struct(e.p.alias("i"), measure(e).alias("v")))
+    cells = F.transform(F.filter(entries, lambda e: e.c.isNotNull()), lambda e: F.struct(e.c.alias("i"), measure(e).alias("v")))
+    both = F.concat(periods, cells)
+    seen = F.array_distinct(F.transform(both, lambda x: x.i))
+    total = lambda i: F.aggregate(F.filter(both, lambda x: x.i == i), F.lit(0.0), lambda t, x: t + x.v)
+    return F.transform(seen, lambda i: F.struct(i.alias("i"), total(i).alias("v")))
+
+
+def _outer(units: DataFrame, vector: str, by: Column) -> DataFrame:
+    """Sums over the units of v_i v_j / ``by``, as rows (i, j, v) with i <= j: as many as the regression has pairs of columns."""
+    x, y = F.col("x"), F.col("y")
+    one = units.select(by.alias("_by"), vector, F.explode(vector).alias("x")).select("_by", "x", F.explode(vector).alias("y")).filter(x.i <= y.i)
+    return one.groupBy(x.i.alias("i"), y.i.alias("j")).agg(F.sum(x.v * y.v / F.col("_by")).alias("v"))
+
+
+def _matrix(rows: DataFrame, k: int) -> np.ndarray:
+    m = np.zeros((k, k))
+    for i, j, v in rows.select("i", "j", "v").collect():
+        m[i, j] = m[j, i] = m[i, j] + v
+    return m
+
+
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse of a symmetric matrix; directions that only rounding fills, such as the sum of all periods, are left out."""
+    return np.linalg.pinv(m, rcond=1e-9, hermitian=True) if m.size else m
+
+
+def two_way_fit(df: DataFrame, unit: str, period: str, cell: str, y: str, cells: int, periods: int) -> Fit:
+    """Effects of the cells (columns 0 ...) under unit and period effects (columns ``cells`` ...), variance clustered by unit.
+
+    Unit effects are taken out by each unit's sums, which leaves the cross products
+    of cells and periods; the periods are then eliminated exactly (Schur
+    complement).  Two passes over the units' sums in all, each summed before its
+    shuffle to one number for a pair of columns; nothing is sorted by period.
+    """
     from .graphs import durable
 
-    out = df
-    for k in range(rounds):
-        for e in effects:
-            w = Window.partitionBy(e)
-            out = out.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
-        if k % 3 == 2:
-            out = durable(out)
-            means = out.groupBy(effects[0]).agg(*[F.avg(c).alias(c) for c in columns]).agg(*[F.max(F.abs(c)) for c in columns]).first()
-            if max((m or 0.0) for m in means) < tolerance:
-                break
-    return out
-
-
-def clustered_ols(df: DataFrame, y: str, xs: Sequence[str], cluster: str) -> Fit:
-    """Least squares without a constant (data demeaned before), variance clustered."""
-    names = list(xs)
-    cross = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]] + [F.sum(F.col(a) * F.col(y)) for a in names] + [F.count("*"), F.count_distinct(cluster)]
-    row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(cross)]).first()
-    k = len(names)
-    xx = np.zeros((k, k))
-    at = 0
-    for i in range(k):
-        for j in range(i, k):
-            xx[i, j] = xx[j, i] = row[at] or 0.0
-            at += 1
-    xy = np.array([row[at + i] or 0.0 for i in range(k)])
-    n, g = row[at + k], row[at + k + 1]
-    inverse = np.linalg.pinv(xx)
-    b = inverse @ xy
-    residual = F.col(y) - sum((F.col(x) * float(c) for x, c in zip(names, b)), F.lit(0.0))
-    scores = df.withColumn("_u", residual).groupBy(cluster).agg(*[F.sum(F.col(x) * F.col("_u")).alias(f"s{i}") for i, x in enumerate(names)])
-    meat_row = scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i in range(k) for j in range(k)]).first()
-    meat = np.array([v or 0.0 for v in meat_row]).reshape(k, k)
-    small = g / (g - 1) * (n - 1) / max(1, n - k) if g > 1 else 1.0
-    return Fit(names, b, small * inverse @ meat @ inverse, n, g)
+    k = cells + periods
+    units = durable(unit_entries(df, unit, period, cell, y))
+    e = F.col("entries")
+    counted = units.withColumn("_s", _by_column(e, lambda z: z.n))
+    own = units.select(F.explode("entries").alias("e")).select("e.*")
+    ends = F.array(F.struct(F.col("p").alias("i"), F.col("p").alias("j")), F.struct(F.col("c").alias("i"), F.col("c").alias("j")), F.struct(F.col("c").alias("i"), F.col("p").alias("j")))
+    raw = own.select(F.explode(ends).alias("z"), "n").filter("z.i is not null").groupBy(F.col("z.i").alias("i"), F.col("z.j").alias("j")).agg(F.sum("n").alias("v"))
+    a = _matrix(raw, k) - _matrix(_outer(counted, "_s", F.col("n")), k)
+    sums = units.select(F.col("n").alias("_n"), F.col("sy").alias("_sy"), F.explode(_by_column(e, lambda z: z.sy - z.n * F.col("sy") / F.col("n"))).alias("x"))
+    right = np.zeros(k)
+    for i, v in sums.groupBy(F.col("x.i").alias("i")).agg(F.sum("x.v").alias("v")).collect():
+        right[i] = v
+    within = _inverse(a[cells:, cells:])
+    through = a[:cells, cells:] @ within
+    schur = _inverse(a[:cells, :cells] - through @ a[cells:, :cells])
+    beta = schur @ (right[:cells] - through @ right[cells:])
+    effects = F.array(*[F.lit(float(v)) for v in np.concatenate([beta, within @ (right[cells:] - a[cells:, :cells] @ beta)])])
+    fitted = lambda z: F.get(effects, z.p) + F.coalesce(F.get(effects, z.c), F.lit(0.0))
+    left = units.withColumn("_rest", F.transform(e, lambda z: F.struct(z.p.alias("p"), z.c.alias("c"), z.n.alias("n"), (z.sy - z.n * fitted(z)).alias("r"))))
+    left = left.withColumn("_mean", F.aggregate("_rest", F.lit(0.0), lambda t, z: t + z.r) / F.col("n"))
+    scored = left.withColumn("_g", _by_column(F.col("_rest"), lambda z: z.r - z.n * F.col("_mean")))
+    g = _matrix(_outer(scored, "_g", F.lit(1.0)), k)
+    take = np.hstack([np.eye(cells), -through])
+    n, clusters = units.agg(F.sum("n"), F.count("*")).first()
+    small = clusters / (clusters - 1) * (n - 1) / max(1, n - cells) if clusters and clusters > 1 else 1.0
+    return Fit([str(i) for i in range(cells)], beta, small * schur @ (take @ g @ take.T) @ schur, int(n or 0), clusters)
 
 
 def event_study(df: DataFrame, unit: str, time: str, cohort: str, y: str, reach: int, baseline: int = -1, split: str | None = None) -> Fit:
@@ -95,9 +132,14 @@ def event_study(df: DataFrame, unit: str, time: str, cohort: str, y: str, reach:
     d = d.withColumn("_rel", F.greatest(F.lit(-reach), F.least(F.lit(reach), F.col(time) - F.col(cohort))))
     treated = d.filter(F.col(cohort).isNotNull() & (F.col("_rel") != baseline))
     cells = [tuple(r) for r in treated.groupBy("_group", cohort, "_rel").count().orderBy("_group", cohort, "_rel").collect()]
-    names = [f"_d{i}" for i in range(len(cells))]
-    d = d.withColumns({n: F.coalesce((F.col("_group") == g) & (F.col(cohort) == c) & (F.col("_rel") == r), F.lit(False)).cast("double") for n, (g, c, r, _) in zip(names, cells)})
-    fit = clustered_ols(demean(d, ["_y", *names], [unit, time]), "_y", names, unit)
+    times = [r[0] for r in d.select(time).distinct().orderBy(time).collect()]
+    cell_of = {(g, c, r): i for i, (g, c, r, _) in enumerate(cells)}
+    kind = dict(d.dtypes)
+    # One row a cell and one a period: as many as the regression has columns.
+    numbered = df.sparkSession.createDataFrame([(*key, i) for key, i in cell_of.items()], f"_group string, `{cohort}` {kind[cohort]}, _rel {kind['_rel']}, _cell int")
+    dated = df.sparkSession.createDataFrame([(t, len(cells) + i) for i, t in enumerate(times)], f"`{time}` {kind[time]}, _period int")
+    placed = d.join(F.broadcast(numbered), ["_group", cohort, "_rel"], "left").join(F.broadcast(dated), time)
+    fit = two_way_fit(placed, unit, "_period", "_cell", "_y", len(cells), len(times))
     terms = sorted({(g, r) for g, _, r, _ in cells})
     weights = np.zeros((len(terms), len(cells)))
     for i, (g, _, r, n) in enumerate(cells):
@@ -109,7 +151,6 @@ def event_study(df: DataFrame, unit: str, time: str, cohort: str, y: str, reach:
     rows = [(g, c, r, terms.index((g, r)), float((fit.b[i] - effects[terms.index((g, r))]) / sizes[terms.index((g, r))])) for i, (g, c, r, _) in enumerate(cells)]
     if not rows:
         return Fit([], effects, weights @ fit.v @ weights.T, fit.n, fit.clusters)
-    kind = dict(d.dtypes)
     table = df.sparkSession.createDataFrame(rows, f"_group string, `{cohort}` {kind[cohort]}, _rel {kind['_rel']}, _term int, _part double")
     parts = treated.join(F.broadcast(table), ["_group", cohort, "_rel"]).groupBy(unit).agg(*[F.sum(F.when(F.col("_term") == i, F.col("_part")).otherwise(0.0)).alias(f"p{i}") for i in range(len(terms))])  # one row for each cell
     k = len(terms)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesy import geodesic_miles
 from ..functions.text import ascii_fold, squish
+from ..operators import estimation as E
 from ..operators import joins as J
 from ..operators import pair_records as R
+from .panel_queries import YEARLY, yearly
 from .registry import register, table
 
 TOP, HEAD = ("wholesale", "export"), ("export",)
@@ -120,3 +122,34 @@ def q_record_features(spark, d):
 @register("q_record_resolution", f"with {_features_sql()}, {R.resolution_sql('feats')} select id1, id2, label, stage from resolved")
 def q_record_resolution(spark, d):
     return R.resolve_in_stages(features(spark, d))
+
+
+#: A panel whose effects are known: those of customers, of years, and of a cohort's years since its event; the estimate is their mean by the cohorts' shares.
+_COHORT = "case o_custkey % 3 when 0 then 1997 when 1 then 1998 end"
+_KNOWN = f"""{YEARLY}, x as (select o_custkey, year, {_COHORT} as cohort, o_custkey % 2 as half, greatest(-2, least(2, year - {_COHORT})) as rel from yearly),
+e as (select *, case when rel >= 0 then cohort - 1990 + rel * 0.5 + half else 0 end as effect from x where cohort is not null and rel <> -1)"""
+
+
+def _known_sql(group: str) -> str:
+    return f"""with {_KNOWN}, m as (select *, {group} as g, avg(effect) over (partition by {group}, rel) as b, count(*) over (partition by {group}, rel) as size from e), u as (select o_custkey, g, rel, any_value(b) as b, sum((effect - b) / size) as part from m group by 1, 2, 3)
+select case when g is null then '' else g || ':' end || 't' || rel as term, round(any_value(b), 6) as b, round(sqrt(sum(part * part)), 6) as se, (select count(*) from x) as n, (select count(distinct o_custkey) from x) as clusters from u group by g, rel"""
+
+
+def known_fit(spark, d, split: str | None):
+    cohort = F.when(F.col("o_custkey") % 3 == 0, 1997).when(F.col("o_custkey") % 3 == 1, 1998)
+    x = yearly(spark, d).select("o_custkey", "year", cohort.alias("cohort"), (F.col("o_custkey") % 2).alias("half"))
+    rel = F.greatest(F.lit(-2), F.least(F.lit(2), F.col("year") - F.col("cohort")))
+    share = F.col("half") if split else F.lit(0)
+    effect = F.when(F.col("cohort").isNotNull() & (rel >= 0), F.col("cohort") - 1990 + rel * 0.5 + share).otherwise(0.0)
+    x = x.withColumn("y", F.col("o_custkey") % 7 + F.col("year") % 5 * 1.5 + effect)
+    return E.as_frame(spark, {"known": E.event_study(x, "o_custkey", "year", "cohort", "y", 2, split=split)}).select("term", F.round("b", 6).alias("b"), F.round("se", 6).alias("se"), "n", "clusters")
+
+
+@register("q_event_study_known", _known_sql("null::varchar").replace(" + half else", " else"))
+def event_study_known(spark, d):
+    return known_fit(spark, d, None)
+
+
+@register("q_event_study_split_known", _known_sql("half::varchar"))
+def event_study_split_known(spark, d):
+    return known_fit(spark, d, "half")
