@@ -35,7 +35,7 @@ def _load() -> None:
         importlib.import_module(f"panelweave.plans.{module}")
 
 
-MODULES = ["panel_queries", "verb_queries", "linkage_queries", "cohort_queries", "identity_queries", "table_queries", "outcome_queries", "source_queries", "record_queries", "text_queries"]
+MODULES = ["panel_queries", "verb_queries", "linkage_queries", "cohort_queries", "identity_queries", "table_queries", "outcome_queries", "source_queries", "record_queries", "text_queries", "graph_queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
