@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again.
+
+    Unlike a checkpoint it carries no constraints of the plan before it, which pile
+    up where one step after another joins the table with its own sums.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_hubs(rows: DataFrame, per_key: DataFrame, key: str, spread: str, n: str, total: int) -> DataFrame:
     """``rows`` with ``per_key``'s columns of the same key (inner), where a few keys may have most of the rows.
 

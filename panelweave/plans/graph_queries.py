@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.double_metaphone import word_codes
+from ..operators import claims as C
 from ..operators import linkage as L
 from ..operators import name_graphs as N
 from ..operators import panel as P
@@ -89,3 +90,30 @@ def shape_files(spark, d):
     areas = shapes.shapes(archives).select(F.col("id").alias("area"), "rings")
     a = _points(spark, d, "customer", "c_custkey", ("id", "lat", "lon"))
     return shapes.rings_join(a, areas, "lon", "lat", "rings", 15.0).select("id", "area", F.size("rings").alias("rings"))
+
+
+#: Clients as claims on their master: a row for each month with a change, compared with the client whose number the master is.
+_CLAIMS = r"""m as (select client_id, month(updated_at)::bigint as period, segment, city from clients union select client_id, month(valid_at), segment, city from client_changes),
+o as (select client_id as id, period, min(segment) as segment, min(city) as city from m where client_id is not null and period is not null group by 1, 2),
+n as (select client_id as id, master_id as owner, lower(strip_accents(trim(regexp_replace(name, '\s+', ' ', 'g')))) as name, email as address, source || nation_id as system, city as home from clients where client_id is not null and master_id is not null),
+d as (select o.id, o.period, a.owner, a.name, o.city, a.address, a.system, b.name as owner_name, b.home as owner_city, b.address as owner_address, case segment when 'retail' then 1 when 'online' then 2 when 'wholesale' then 3 when 'public' then 6 else 8 end as kind
+ from o join n a using (id) left join n b on b.id = a.owner),
+e as (select *, trim(regexp_replace(regexp_replace(name, ' jr$', ''), '\s+', ' ', 'g')) as x from d),
+claims as (select id, period, owner, kind, system, jaro_winkler_similarity(name, owner_name) as sim, jaro_winkler_similarity(name, owner_name) as clean_sim, jaro_winkler_similarity(address, owner_address) as near_sim, coalesce(name = owner_name, false) as same_name, coalesce(city = owner_city, false) as same_city from e)"""
+
+
+def claims(spark, d):
+    c = table(spark, d, "clients")
+    m = c.select("client_id", F.month("updated_at").cast("long").alias("period"), "segment", "city").union(table(spark, d, "client_changes").select("client_id", F.month("valid_at").cast("long"), "segment", "city"))
+    o = m.filter("client_id is not null and period is not null").groupBy(F.col("client_id").alias("id"), "period").agg(F.min("segment").alias("segment"), F.min("city").alias("city"))
+    n = c.filter("client_id is not null and master_id is not null").select(
+        F.col("client_id").alias("id"), F.col("master_id").alias("owner"), F.lower(T.ascii_fold(T.squish(F.col("name")))).alias("name"), F.col("email").alias("address"), F.concat("source", F.col("nation_id").cast("string")).alias("system"), F.col("city").alias("home"))
+    b = n.select(F.col("id").alias("owner"), F.col("name").alias("owner_name"), F.col("home").alias("owner_city"), F.col("address").alias("owner_address"))
+    kind = F.when(F.col("segment") == "retail", 1).when(F.col("segment") == "online", 2).when(F.col("segment") == "wholesale", 3).when(F.col("segment") == "public", 6).otherwise(8)
+    rows = o.join(n.drop("home"), "id").join(b, "owner", "left").withColumn("kind", kind)
+    return C.claim_scores(rows)
+
+
+@register("q_settled_claims", f"with {_CLAIMS}, {C.settle_sql('claims')} select id, period, owner, value, step from settled")
+def settled_claims(spark, d):
+    return C.settle_claims(claims(spark, d)).select("id", "period", "owner", "value", "step")

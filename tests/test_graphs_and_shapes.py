@@ -95,3 +95,21 @@ def test_broken_shape_files_raise():
             list(shapes.polygon_records(broken))
     with pytest.raises(KeyError):
         shapes.table_values(zipfile.ZipFile(io.BytesIO(whole)).read("area/shapes.dbf"), "missing")
+
+
+def test_claims_are_closed_and_overturned(spark):
+    """An accepted name closes its group; of several entities that one owner has in a period only its usual one stays; open claims fill from neighbours."""
+    from panelweave.operators import claims as C
+
+    schema = "id long, period long, owner long, kind int, system string, sim double, clean_sim double, near_sim double, same_name boolean, same_city boolean"
+    row = lambda i, p, o, kind, sim=0.0, same=False: (i, p, o, kind, None, sim, sim, 0.0, same, False)
+    rows = [row(1, p, 7, 2, 1.0, True) for p in range(4)] + [row(2, 0, 7, 1, 0.99)]  # closed by 1
+    rows += [row(3, 1, 8, 2, 1.0, True), row(3, 2, 8, 1), row(3, 3, 8, 2, 1.0, True)]  # between equal neighbours
+    rows += [row(4, 1, 9, 1), row(5, 1, None, 1), row(6, None, 9, 1, 0.9)]
+    got = {(r.id, r.period): (r.value, r.step) for r in C.settle_claims(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1, 0] == (7, "second kind by name") and got[2, 0] == (0, "second kind by name")
+    assert got[3, 1][0] == got[3, 2][0] == 8 and got[3, 2][1] == "between equal neighbours"
+    assert len(got) == len(rows)
+    steps = [C.Step("all", [], "owner"), next(s for s in C.STEPS if s.name == "usual entity of several")]
+    taken = spark.createDataFrame([row(1, p, 7, 1) for p in range(6)] + [row(2, 0, 7, 1)], schema)
+    assert {(r.id, r.period): r.value for r in C.settle_claims(taken, steps).collect()} == {(1, p): 7 for p in range(6)} | {(2, 0): 0}
