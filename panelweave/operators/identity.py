@@ -282,3 +282,20 @@ def leader_passes(leaders: DataFrame, people: DataFrame, id_col: str, entity: st
     first = F.row_number().over(Window.partitionBy(id_col).orderBy("precedence", F.desc_nulls_last("_s"), F.desc("_t"), "person"))
     best = j.withColumn("_r", first).filter("_r = 1").select(id_col, "person", "precedence", "pass")
     return leaders.join(best, id_col, "left")
+
+
+def leader_levels(leaders: DataFrame, people: DataFrame, id_col: str, levels: Sequence[str], time: str, name: str, title: str, person: str, step: int = 1000, least: float = 0.9, reach: int = 2) -> DataFrame:
+    """``leader_passes`` within each of several groupings (the entity, then its system): ``person``, ``precedence``, ``pass`` and ``level``.
+
+    Passes of the second level count from ``step``, of the third from twice that;
+    the least number wins, so a wider level speaks only where no narrower one does.
+    A null level of a leader or a person matches nothing there.
+    """
+    found = None
+    for k, level in enumerate(levels):
+        held = leaders.filter(F.col(level).isNotNull())
+        hit = leader_passes(held, people.filter(F.col(level).isNotNull()), id_col, level, time, name, title, person, least, reach).filter("person is not null")
+        hit = hit.select(id_col, "person", (F.col("precedence") + k * step).alias("precedence"), "pass", F.lit(level).alias("level"))
+        found = hit if found is None else found.unionByName(hit)
+    best = found.groupBy(id_col).agg(F.min(F.struct("precedence", "person", "pass", "level")).alias("_b")).select(id_col, "_b.*")
+    return leaders.join(best, id_col, "left")

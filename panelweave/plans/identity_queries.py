@@ -211,3 +211,23 @@ def leader_passes(spark, d):
     a = o.groupBy("e", "t").agg(F.min("o_orderkey").alias("id"), F.concat(F.lit("p"), F.min(F.col("o_orderkey") % 41).cast("string"), F.min("o_orderpriority")).alias("name"))
     b = o.filter("o_orderkey % 3 <> 0").select("e", "t", F.concat(name, "o_orderpriority").alias("name"), (F.col("o_orderstatus") == "P").alias("title"), F.col("o_orderkey").alias("who"))
     return I.leader_passes(a, b, "id", "e", "t", "name", "title", "who").select("id", "person", "precedence", "pass")
+
+
+def _level_sql(level: str, number: int) -> str:
+    """One level's passes, numbered from ``number``."""
+    return f"""select * from (select id, person, {number} + case when s >= 0.9 and k = 0 then 1 when alone and k = 0 then 2 when s >= 0.9 then 2 + k when alone then 100 + k end as precedence,
+case when s >= 0.9 and k = 0 then 'name' when alone and k = 0 then 'title' when s >= 0.9 then 'name_year' when alone then 'title_year' end as pass, '{level}' as level, s, t from
+(select a.id, b.person, b.t, abs(b.t - a.t) as k, jaro_winkler_similarity(a.name, b.n) as s, b.title and b.n_{level} = 1 as alone from a join b on a.{level} = b.{level} and abs(b.t - a.t) <= 2)) where precedence is not null qualify row_number() over (partition by id order by precedence, s desc, t desc, person) = 1"""
+
+
+@register("q_leader_levels", f"""with a as (select o_custkey as e, o_custkey // 6 as g, year(o_orderdate)::int as t, min(o_orderkey) as id, 'p' || min(o_orderkey % 41) || min(o_orderpriority) as name from orders group by 1, 2, 3),
+o as (select o_custkey as e, o_custkey // 6 as g, year(o_orderdate)::int as t, 'p' || o_orderkey % 41 || o_orderpriority as n, o_orderstatus = 'P' as title, o_orderkey as person from orders where o_orderkey % 7 = 0),
+b as (select *, count(distinct case when title then person end) over (partition by e, t) as n_e, count(distinct case when title then person end) over (partition by g, t) as n_g from o),
+f as ({_level_sql("e", 0)} union all {_level_sql("g", 1000)}), x as (select * from f qualify row_number() over (partition by id order by precedence) = 1) select a.id, person, precedence, pass, level from a left join x using (id)""")
+def leader_levels(spark, d):
+    """Customers as entities of systems of six; few orders are people, so that many leaders are found in the system only."""
+    o = table(spark, d, "orders").withColumn("t", F.year("o_orderdate")).withColumnRenamed("o_custkey", "e").withColumn("g", F.floor(F.col("e") / 6))
+    name = F.concat(F.lit("p"), (F.col("o_orderkey") % 41).cast("string"))
+    a = o.groupBy("e", "g", "t").agg(F.min("o_orderkey").alias("id"), F.concat(F.lit("p"), F.min(F.col("o_orderkey") % 41).cast("string"), F.min("o_orderpriority")).alias("name"))
+    b = o.filter("o_orderkey % 7 = 0").select("e", "g", "t", F.concat(name, "o_orderpriority").alias("name"), (F.col("o_orderstatus") == "P").alias("title"), F.col("o_orderkey").alias("who"))
+    return I.leader_levels(a, b, "id", ["e", "g"], "t", "name", "title", "who").select("id", "person", "precedence", "pass", "level")
