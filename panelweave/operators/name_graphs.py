@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def name_blocks(names: DataFrame, rows: DataFrame, codes: DataFrame, name: str =
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``_number`` from 0 within the keys, by counting rows before: rank over ranges of the order, so that no task holds a key's rows."""
+    """``_number`` from 0 within the keys, null keys included, in the given order; ranges of the order are numbered apart, so that no task holds a key's rows."""
     ranged = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).sortWithinPartitions(*keys, *order)
     placed = ranged.withColumn("_piece", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
     placed = durable(placed)
@@ -64,7 +65,10 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy("_row")) - 1
-    return placed.withColumn("_at", within).join(starts, [*keys, "_piece"]).withColumn("_number", F.col("_start") + F.col("_at")).drop("_piece", "_row", "_at", "_start")
+    starts = starts.withColumnsRenamed({c: f"_of{i}" for i, c in enumerate([*keys, "_piece"])})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate([*keys, "_piece"])])
+    out = placed.withColumn("_at", within).join(starts, same).withColumn("_number", F.col("_start") + F.col("_at"))
+    return out.drop("_piece", "_row", "_at", "_start", *[f"_of{i}" for i in range(len(keys) + 1)])
 
 
 #: By the pattern of a name's states, the quantiles under which its first and last name are both rare; any pair of them will do.

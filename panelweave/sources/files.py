@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_column_name
+from ..operators.name_graphs import numbered
 
 
 def existing(spark: SparkSession, path: str) -> bool:
@@ -147,24 +148,30 @@ def ring_of(wkt):
     return F.when((F.size(points) > 2) & F.forall(ring, lambda p: p.x.isNotNull() & p.y.isNotNull()), ring)
 
 
-def sheets(df: DataFrame, by: str, most: int = 10_000) -> dict[str, list[list]]:
-    """One sheet for each value of ``by`` (name cleaned, numbered if it clashes): a header and rows, all columns padded to one length; raises over ``most`` rows."""
-    rows = df.orderBy(*df.columns).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} rows")
+def sheet_rows(df: DataFrame, by: str) -> DataFrame:
+    """One sheet for each value of ``by``: ``sheet``, ``row`` from 0 in the order of the columns, ``filled`` and the other columns.
+
+    Names are cleaned for spreadsheets, and numbered in the order of the values
+    where that makes them clash; a null is the sheet ``sheet``.  All sheets are padded with
+    empty rows to the longest.  Rows are numbered over ranges of their order, so no
+    task holds a sheet.
+    """
     columns = [c for c in df.columns if c != by]
-    out: dict[str, list[list]] = {}
-    names: dict[object, str] = {}
-    for r in rows:
-        if r[by] not in names:
-            name, k = sheet_name(str(r[by])), 2
-            while name in out:
-                name, k = f"{sheet_name(str(r[by]))[:28]} {k}", k + 1
-            names[r[by]] = name
-            out[name] = [columns]
-        out[names[r[by]]].append([r[c] for c in columns])
-    height = max(map(len, out.values()), default=0)
-    return {n: s + [[None] * len(columns)] * (height - len(s)) for n, s in out.items()}
+    cleaned = F.trim(F.substring(F.trim(F.regexp_replace(F.coalesce(F.col(by).cast("string"), F.lit("")), r"[\[\]:*?/\\]", " ")), 1, 31))
+    named = df.select(by).distinct().withColumn("_clean", F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("sheet")))
+    turn = F.row_number().over(Window.partitionBy("_clean").orderBy(F.col(by).asc_nulls_first()))
+    named = named.withColumn("_turn", turn).withColumn("sheet", F.when(F.col("_turn") == 1, F.col("_clean")).otherwise(F.concat(F.substring("_clean", 1, 28), F.lit(" "), F.col("_turn").cast("string"))))
+    placed = numbered(df, [by], columns).withColumnsRenamed({by: "_by"})
+    rows = placed.join(named.select(F.col(by).alias("_of"), "sheet"), F.col("_by").eqNullSafe(F.col("_of"))).select("sheet", F.col("_number").alias("row"), F.lit(True).alias("filled"), *columns)
+    heights = rows.groupBy("sheet").agg(F.count("*").alias("_n"))
+    tallest = F.broadcast(heights.agg(F.max("_n").alias("_most")))  # one row
+    short = heights.join(tallest, F.col("_n") < F.col("_most")).select("sheet", F.explode(F.sequence(F.col("_n"), F.col("_most") - 1)).alias("row"), F.lit(False).alias("filled"))
+    return rows.unionByName(short, allowMissingColumns=True)
+
+
+def write_sheets(rows: DataFrame, path: str) -> None:
+    """A folder of CSV files for each sheet, in the order of its rows."""
+    rows.repartitionByRange("sheet", "row").sortWithinPartitions("sheet", "row").drop("row", "filled").write.partitionBy("sheet").csv(path, header=True, mode="overwrite")
 
 
 def plot_frame(df: DataFrame, x: str, y: str, series: str | None = None, se: str | None = None, z: float = 1.96) -> DataFrame:

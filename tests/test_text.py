@@ -67,3 +67,13 @@ def test_faulty_and_ragged_files(spark, tmp_path):
     assert files.tolerant_csv(spark, lines("b", ["1,a", "2,b,c,d", "3,e", "z,f", "4,g", "5,h"]), "k int, v string").count() == 4
     pairs = files.equivalent_pairs(files.ragged_csv(spark, lines("c", ["Bob,Robert,Rob,NA", "ann, Anna,,", "zoe", ""])))
     assert {tuple(r) for r in pairs.collect()} == {("ann", "anna"), ("anna", "ann"), ("bob", "rob"), ("bob", "robert"), ("rob", "bob"), ("rob", "robert"), ("robert", "bob"), ("robert", "rob")}
+
+
+def test_sheets(spark):
+    rows = [("a/b", 2, "y"), ("a/b", 1, "x"), ("a:b", 5, None), (None, 7, "n"), ("x" * 40, 1, "l"), ("[]", 3, "e"), ("a/b", 1, "x")]
+    got = files.sheet_rows(spark.createDataFrame(rows, "k string, v int, t string"), "k").collect()
+    sheets = {}
+    for r in sorted(got, key=lambda r: (r.sheet, r.row)):
+        sheets.setdefault(r.sheet, []).append((r.v, r.t) if r.filled else None)
+    assert sheets == {"a b": [(1, "x"), (1, "x"), (2, "y")], "a b 2": [(5, None), None, None], "sheet": [(7, "n"), None, None], "sheet 2": [(3, "e"), None, None], "x" * 31: [(1, "l"), None, None]}
+    assert files.sheet_rows(spark.createDataFrame([], "k string, v int, t string"), "k").count() == 0
