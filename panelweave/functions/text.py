@@ -1,8 +1,9 @@
 """Text scalars: cleaning, names, addresses and similarity.
 
 All are Column functions.  What Spark can express stays in its expressions; edit
-similarity by Jaro and Winkler, alignment and the token-sort ratio run as Arrow-batched pandas functions, each over distinct values where the caller
-can arrange it.  Null in, null out, unless a function says otherwise.
+similarity by Jaro and Winkler, alignment and the token-sort ratio run as
+Arrow-batched pandas functions, each different pair of a batch once.  Null in,
+null out, unless a function says otherwise.
 """
 
 from __future__ import annotations
