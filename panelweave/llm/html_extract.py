@@ -14,7 +14,10 @@ footers, sidebars, notices, adverts, forms or comments don't count.  Such a mark
 is evidence, not proof: an element that holds most of the page's text keeps it if
 it also holds its first heading or article, or, unless its tag says what it is, if
 hardly any text would be left.
-Names such as ``has-sidebar``, ``no-comments`` or ``ad-free`` mark nothing.
+Names such as ``has-sidebar``, ``no-comments`` or ``ad-free`` mark nothing; in names
+such as ``share-price`` or ``comment-on-budget`` the mark only describes another
+word, and the element goes unless most of its text is on content paths, by their
+ratios, and not in links.
 
 Edge cases: null and empty pages and pages without text give an empty string;
 text outside any element counts as a block; unclosed and crossed tags are
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from html import unescape
 
 import numpy as np
@@ -53,32 +56,60 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 BESIDE = (set("has no with without not is".split()), set("free enabled disabled less off on ready".split()))
 PUNCTUATION = ".,;:!?…。、，！？；：¿¡"
 
-RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe")}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Words of a class or id that say what part of a layout an element is, and not what it is about.
+LAYOUT = set(
+    "area article articles aside author bar block body bottom box button buttons card center col column container content date desktop div element embed entry first fixed form grid group head heading "
+    "icon icons id info inline inner item items js label last layer left line link links list main meta mobile module outer page panel part post posts primary right row second secondary section site "
+    "slot small sticky stories story tab tabs text title toggle tools top unit view wrap wrapper".split()
+)
+
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe")}
+# A quote opens a value only right after an equals sign; elsewhere it is part of a name or of a bare value, as is one that nothing closes.
+_VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(.*?)(?:\]\]>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:{_VALUE})?+|=)*+)(?:>|\Z)"
+    r"|<[!?][^>]*>|</(?:[^a-zA-Z>][^>]*)?>|([^<]+|<)",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"(=?[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
+#: How far a name marks an element as boilerplate: not at all, perhaps, surely.
+PLAIN, MAYBE, MARKED = range(3)
+
 
-def _marks(name: str) -> bool:
-    """Whether a class or id marks boilerplate."""
+def _marks(name: str) -> int:
+    """How far a class or id marks boilerplate.
+
+    It does if the last word that isn't one of layout or a number is a mark, as in
+    ``fb-comments`` or ``comment-list-2``; a mark that only describes another
+    word, as in ``share-price``, may have that meaning or not.
+    """
     words = [w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
-    return bool(words) and words[0] not in BESIDE[0] and words[-1] not in BESIDE[1] and not MARKS.isdisjoint(words)
+    if not words or words[0] in BESIDE[0] or words[-1] in BESIDE[1] or MARKS.isdisjoint(words):
+        return PLAIN
+    told = [w for w in words if w not in LAYOUT and not w[0].isdigit()]
+    return MARKED if told[-1] in MARKS else MAYBE
 
 
-def _describe(attributes: str) -> tuple[str, bool, bool]:
-    """The class or id for the path, whether it marks boilerplate, and whether the element isn't shown."""
-    name, marked, hidden = "", False, False
+def _describe(attributes: str) -> tuple[str, int, bool]:
+    """The class or id for the path, how far it marks boilerplate, and whether the element isn't shown."""
+    name, marked, hidden, seen = "", PLAIN, False, set()
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
+        if key in seen:
+            continue  # of a repeated attribute the first counts
+        seen.add(key)
         if key == "hidden":
             hidden = True
         elif key == "aria-hidden":
             hidden |= value.lower() == "true"
         elif key == "role":
-            marked |= value.lower() in ROLES
-        else:
+            marked = MARKED if value.lower() in ROLES else marked
+        elif key in ("class", "id"):
             name = name or value
-            marked |= any(map(_marks, value.split()))
+            marked = max([marked, *map(_marks, value.split())])
     return name, marked, hidden
 
 
@@ -95,8 +126,8 @@ class Page:
         self.around, self.anchors = [0], [0]
         #: Marked articles, which tell where the text is on pages without others.
         self.articles = [0]
-        #: Whether its tag itself says what it is.
-        self.by_tag = [False]
+        #: Whether its tag itself says what it is, and whether it is one at all or only may be.
+        self.by_tag, self.maybe = [False], [False]
         self._read(page)
 
     def path(self, parent: int, step: str) -> int:
@@ -166,16 +197,18 @@ class Page:
             top = stack[-1] if stack else ground
             if tag in VOID:
                 continue
-            name, marked, hidden = _describe(m[4]) if m[4] else ("", False, False)
+            name, marked, hidden = _describe(m[4]) if m[4] else ("", PLAIN, False)
             head = tag == "header" or "header" in name.lower()
             dead, half, element = tag in HIDDEN or hidden, False, top[7]
-            if tag in BOILERPLATE or (marked and tag not in ("html", "body")) or "header" in name.lower().split():
-                half = top[5] and head
+            sure = tag in BOILERPLATE or marked == MARKED and tag not in ("html", "body") or "header" in name.lower().split()
+            if sure or marked and tag not in ("html", "body"):
+                half = sure and top[5] and head
                 if not half:
                     self.around.append(element)
                     self.anchors.append(0)
                     self.articles.append(0)
                     self.by_tag.append(tag in BOILERPLATE)
+                    self.maybe.append(not sure)
                     element = len(self.around) - 1
             if tag == "h1" or tag in ("article", "main") and not marked:
                 self.anchors[element] += 1
@@ -185,8 +218,8 @@ class Page:
             top = (tag, top[1] or dead, top[2] or half, top[3] or tag in HEADINGS, top[4] or tag == "a", top[5] or tag in ("article", "main"), self.path(top[6], step), element)
             stack.append(top)
 
-    def boilerplate(self) -> list[bool]:
-        """Of each marked element: whether its mark, or one around it, holds."""
+    def boilerplate(self, cleared: Set[int]) -> list[bool]:
+        """Of each marked element: whether its mark, or one around it, holds; those in ``cleared`` are none."""
         size, anchors, articles = [0] * len(self.around), list(self.anchors), list(self.articles)
         for _, _, link, text, element in self.nodes:
             size[element] += 0 if link else len(text.strip())
@@ -198,7 +231,7 @@ class Page:
         for k in range(1, len(size)):
             alone = not anchors[0] and (articles[k] > 0 or not self.by_tag[k] and 5 * size[k] > 4 * size[0])
             most = 2 * size[k] > size[0] and (anchors[k] > 0 or alone)
-            out[k] = out[self.around[k]] or not most
+            out[k] = out[self.around[k]] or not most and k not in cleared
         return out
 
 
@@ -206,6 +239,10 @@ class Page:
 _NO_ROOT = HEADINGS | {"p", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", "li"} | INLINE
 
 
+#: Times the threshold that a path's own score must reach for text before the title and outside of the content element.
+OUT_OF_PLACE = 3.0
+
+
 def _smooth(x: np.ndarray) -> np.ndarray:
     kernel = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
     if len(x) < 3:
@@ -213,19 +250,15 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 2, mode="edge"), kernel, "valid")
 
 
-def main_text(page: str | None, cut: float = 0.5) -> str:
-    """The blocks of the article, joined by line feeds; paths with less than ``cut`` of the best score are never content."""
-    if not page:
-        return ""
-    read = Page(page)
-    gone = read.boilerplate()
-    # Blocks: words between two boundaries of block elements.
+def _blocks(read: Page, cleared: Set[int]) -> list[tuple[str, int, float, int]]:
+    """Blocks of words between two boundaries of block elements: text, path, share in links, marked element."""
+    gone = read.boilerplate(cleared)
     blocks: dict[int, dict] = {}
     for block, path, link, raw, element in read.nodes:
         if gone[element]:
             continue
         text = unescape(raw)
-        b = blocks.setdefault(block, {"raw": [], "paths": defaultdict(int), "link": 0, "size": 0})
+        b = blocks.setdefault(block, {"raw": [], "paths": defaultdict(int), "link": 0, "size": 0, "element": element})
         size = len(text.strip())
         b["raw"].append(text)
         b["paths"][path] += size
@@ -236,29 +269,60 @@ def main_text(page: str | None, cut: float = 0.5) -> str:
         b = blocks[number]
         text = " ".join("".join(b["raw"]).split())
         if text:
-            rows.append((text, max(b["paths"], key=b["paths"].get), b["link"] / max(1, b["size"])))
-    if not rows:
-        return ""
-    # Path ratios over the page's nodes, smoothed in page order, fused and thresholded.
+            rows.append((text, max(b["paths"], key=b["paths"].get), b["link"] / max(1, b["size"]), b["element"]))
+    return rows
+
+
+def content_paths(rows: list[tuple[str, int, float, int]], cut: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each block whether its path is content, by ratios over the page's nodes, smoothed in page order, fused and thresholded; whether it is so by its own ratios too, and whether these are so high that place doesn't matter."""
     length, marks, times = defaultdict(float), defaultdict(float), defaultdict(int)
-    for text, path, link in rows:
+    for text, path, link, _ in rows:
         length[path] += len(text) * (1 - link)
         marks[path] += sum(map(text.count, PUNCTUATION))
         times[path] += 1
-    by_length = _smooth(np.array([length[p] / times[p] for _, p, _ in rows]))
-    by_marks = _smooth(np.array([(marks[p] + 0.5) / times[p] for _, p, _ in rows]))
-    fused = np.sqrt(by_length * by_marks)
-    weight = np.array([len(t) for t, _, _ in rows], float)
+    by_length = np.array([length[p] / times[p] for _, p, _, _ in rows])
+    by_marks = np.array([(marks[p] + 0.5) / times[p] for _, p, _, _ in rows])
+    fused = np.sqrt(_smooth(by_length) * _smooth(by_marks))
+    weight = np.array([len(t) for t, _, _, _ in rows], float)
     score = defaultdict(float)
-    for f, (_, path, _) in zip(fused, rows):
+    for f, (_, path, _, _) in zip(fused, rows):
         score[path] = max(score[path], f)
-    values = np.array([score[p] for _, p, _ in rows])
-    content = values >= min(values.max() * cut, 2 * cut * np.average(values, weights=weight))
+    values = np.array([score[p] for _, p, _, _ in rows])
+    level = min(values.max() * cut, 2 * cut * np.average(values, weights=weight))
+    own = np.sqrt(by_length * by_marks)
+    return values >= level, own >= level, own >= OUT_OF_PLACE * level
+
+
+def _cleared(read: Page, cut: float) -> Set[int]:
+    """Elements that may be boilerplate by name and aren't: most of their text is on content paths and not in links."""
+    unsure = {k for k, maybe in enumerate(read.maybe) if maybe}
+    rows = _blocks(read, unsure) if unsure else []
+    if not rows:
+        return unsure
+    size, good = defaultdict(float), defaultdict(float)
+    for keep, (text, _, link, element) in zip(content_paths(rows, cut)[0], rows):
+        while element:
+            size[element] += len(text)
+            good[element] += len(text) * bool(keep and link < 0.3)
+            element = read.around[element]
+    return {k for k in unsure if 2 * good[k] > size[k]}
+
+
+def main_text(page: str | None, cut: float = 0.5) -> str:
+    """The blocks of the article, joined by line feeds; paths with less than ``cut`` of the best score are never content."""
+    if not page:
+        return ""
+    read = Page(page)
+    rows = _blocks(read, _cleared(read, cut))
+    if not rows:
+        return ""
+    content, alone, high = content_paths(rows, cut)
+    weight = np.array([len(t) for t, _, _, _ in rows], float)
     # The deepest element that holds nearly all of the content text.
     n, parent = len(read.parent), read.parent
     tag = [s.split(".")[0] for s in read.step]
     below = [0.0] * n
-    for keep, w, (_, path, _) in zip(content, weight, rows):
+    for keep, w, (_, path, _, _) in zip(content, weight, rows):
         below[path] += w * keep
     for k in range(n - 1, 0, -1):
         below[parent[k]] += below[k]
@@ -266,9 +330,17 @@ def main_text(page: str | None, cut: float = 0.5) -> str:
     for k in range(1, n):
         if below[k] > (below[heaviest[parent[k]]] if heaviest[parent[k]] else 0.0):
             heaviest[parent[k]] = k
+    # Titles by the elements around them: one that holds the page's titles needs only the greater part of the text.
+    titles, title_at = [0] * n, -1
+    for k in range(n - 1, 0, -1):
+        titles[k] += tag[k] == "h1"
+        titles[parent[k]] += titles[k]
     root = 0
-    while heaviest[root] and below[heaviest[root]] >= 0.9 * below[0] and tag[heaviest[root]] not in _NO_ROOT:
-        root = heaviest[root]
+    while heaviest[root] and tag[heaviest[root]] not in _NO_ROOT:
+        into = heaviest[root]
+        if below[into] < (0.5 if titles[0] and titles[into] == titles[0] else 0.9) * below[0]:
+            break
+        root = into
         if tag[root] in ("article", "main"):
             break
     named, article = tag[root] in ("article", "main"), tag[root] == "article"
@@ -280,14 +352,17 @@ def main_text(page: str | None, cut: float = 0.5) -> str:
         beside.append(beside[p] or k == around)
         in_p.append(in_p[p] or tag[k] == "p" and beside[p])
         in_heading.append(in_heading[p] or tag[k] in HEADINGS)
+    # Before the title and outside of the element that holds it, an article seldom has text, so the score of a path must be higher there.
+    if titles[root]:
+        title_at = next((i for i, (_, path, _, _) in enumerate(rows) if within[path] and in_heading[path]), -1)
     stays = []
-    for keep, (text, path, link) in zip(content, rows):
+    for i, (keep, (text, path, link, _)) in enumerate(zip(content, rows)):
         sentence = link < 0.3 and in_p[path] and len(text.split()) > 4 and any(c in PUNCTUATION for c in text)
-        stays.append(bool(keep or within[path] and (article or link < 0.6) or beside[path] and sentence))
+        stays.append(bool(keep and (within[path] or (alone[i] if i > title_at else high[i])) or within[path] and (article or link < 0.6) or beside[path] and sentence))
     for k in range(len(rows) - 2, -1, -1):
-        _, path, link = rows[k]
+        _, path, link, _ = rows[k]
         stays[k] |= stays[k + 1] and link < 0.6 and in_heading[path]
-    return "\n".join(text for stay, (text, _, _) in zip(stays, rows) if stay)
+    return "\n".join(text for stay, (text, _, _, _) in zip(stays, rows) if stay)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
