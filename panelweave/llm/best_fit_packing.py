@@ -2,7 +2,7 @@
 
 Each document becomes its byte-pair ids and a closing id.  Only documents longer
 than the capacity are cut: the first piece takes the remainder, all others are
-full.  Pieces are dealt by hash into groups of a bounded number; in a group they
+full.  Pieces are dealt into groups of a bounded number; in a group they
 are placed best fit decreasing, and then a local search works on the bins that
 are not full.  From the emptiest on, a bin gives items away by moves, one-for-one
 swaps and two-for-one swaps that each raise the sum of squared fills, until it is
@@ -10,6 +10,9 @@ empty or nothing helps; the search ends when every bin has had its turn or no
 packing could have fewer bins.  A swap is found among all items and pairs by
 their lengths, in one pass over the bins' items.
 
+Pieces are numbered in a checkpoint and dealt by their numbers, so that a row
+that is repeated a million times is spread over all groups like any others.
+
 Only a document's first piece can be shorter than the capacity.  Full pieces are
 sequences of their own, dealt into parts of their own, so that a group holds a
 bounded number of pieces however long the documents are.  A group loses about
@@ -33,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jobs import durable
 from .text_hash import words_of
 from .word_cache import WordCache
 
@@ -262,13 +266,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """For each piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``."""
     path, table = tokenizer or default_tokenizer(), ranks or default_ranks()
     base = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    # A token has one byte at least, so these bound the first pieces and all pieces.
-    rows, most = docs.agg(F.count("*"), F.sum(F.floor((F.coalesce(F.octet_length(text_col), F.lit(0)) + capacity) / capacity))).first()
-    groups, more = max(1, -(-rows // GROUP)), max(1, -(-int(most or 0) // GROUP))
     schema = "doc_id string, piece int, start long, length long, ids_crc32 long"
-    place = F.xxhash64("doc_id", "piece", "ids_crc32")
-    pieces = base.mapInPandas(lambda it: _pieces(it, path, table, capacity, closing), schema).withColumn(
-        "part", F.when(F.col("length") < capacity, F.pmod(place, F.lit(groups))).otherwise(groups + F.pmod(place, F.lit(more)))
-    )
+    # Numbered in a checkpoint: repeated rows are equal in all columns, and only a number that stays deals them into several groups.
+    pieces = durable(base.mapInPandas(lambda it: _pieces(it, path, table, capacity, closing), schema).withColumn("number", F.monotonically_increasing_id()))
+    short = F.col("length") < capacity
+    some, full = pieces.agg(F.count(F.when(short, 1)), F.count(F.when(~short, 1))).first()
+    groups, more = max(1, -(-some // GROUP)), max(1, -(-full // GROUP))
+    place = F.xxhash64("number")
+    pieces = pieces.withColumn("part", F.when(short, F.pmod(place, F.lit(groups))).otherwise(groups + F.pmod(place, F.lit(more)))).drop("number")
     packed = pieces.groupBy("part").applyInPandas(lambda g: _packed(g, capacity), schema + ", sequence_id long, offset long")
     return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
