@@ -118,6 +118,7 @@ def compose(parts: list[Transducer]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 class Grammar:
     weights: dict[str, float]  # insult words, beginnings ("abc*") and beginnings of longer words only ("abc+")
     coefficients: tuple[float, ...] = (-4.0, 2.0, 0.5, 0.5, 0.5)
+    threat: float = 3.0  # weight of a threat
     follow: list = field(default_factory=list)
     factor: list = field(default_factory=list)
     act: list = field(default_factory=list)
@@ -132,7 +133,7 @@ class Grammar:
         self.words |= {w[:-1]: (OTHER, 0.0) for w in self.weights if w.endswith("+") and w[:-1] not in self.words}
         for symbol, names in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             for w in names:
-                (self.begins if w.endswith("*") else self.words).setdefault(w.rstrip("*"), (symbol, 3.0))
+                (self.begins if w.endswith("*") else self.words).setdefault(w.rstrip("*"), (symbol, self.threat))
         self.spans = sorted({len(w) for w in self.begins})
 
     def classify(self, word: str) -> tuple[int, float]:
@@ -285,7 +286,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Grammar(seeds)
-    grammar = Grammar(seeds | learn_weights(sample.select("text", "label"), sizes[1], sizes[0]))
+    learned = learn_weights(sample.select("text", "label"), sizes[1], sizes[0])
+    # Labels tell the weights of insults; a threat weighs as much as the middle one of them, so both are on one scale.
+    grammar = Grammar(seeds | learned, threat=max(3.0, float(np.median(list(learned.values())))) if learned else 3.0)
     rows = sample.select("doc_id", "text", "label").join(
         sample.select("doc_id", "text").mapInPandas(lambda it: _features(it, grammar), f"doc_id long, {FEATURE_SCHEMA}"), "doc_id"
     ).select("doc_id", "label", *FEATURES).toPandas().sort_values("doc_id")

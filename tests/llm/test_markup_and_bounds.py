@@ -88,3 +88,17 @@ def test_sample_has_one_row_for_each_id(spark):
     assert first == again and max(Counter(d for d, _, _ in first).values()) == 1
     assert 11 not in {d for d, _, _ in first} and all(d % 2 == y for d, _, y in first)
     assert training_texts(frame(spark, rows), labels, "quality", "doc_id", "text", most=5).count() <= 5
+
+
+def test_clauses_decide_pairs(spark):
+    """Texts with the same insults or threats, apart by negation, target or reporting alone, lie on both sides of the cut."""
+    from panelweave.llm.toxicity_grammar import train
+
+    d = "/root/testdata/sf0.1"
+    grammar = train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    score = lambda text: float(grammar.score(np.array([grammar.features(text)]))[0])
+    for toxic, clean in [
+        ("You are an idiot.", "You are not an idiot."), ("You are an idiot.", "She said you are an idiot."), ("I will kill you.", "I will kill time."),
+        ("I will kill you.", "I will not kill you."), ("I will kill you.", "He said he will kill you."), ("Du bist ein idiot.", "Du bist kein idiot."),
+    ]:
+        assert score(clean) < 0.3 <= score(toxic), (toxic, score(toxic), clean, score(clean))
