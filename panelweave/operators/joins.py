@@ -85,15 +85,21 @@ def similarity_left_join(left: DataFrame, right: DataFrame, a: str, b: str, most
 def best_token_sort(left: DataFrame, right: DataFrame, keys: Sequence[str], id_col: str, a: str, b: str, right_id: str, least: float = 80.0) -> DataFrame:
     """In a bucket of equal keys the right text with the best token-sort ratio (ties: the smaller right id), kept if it reaches ``least`` or one holds the other.
 
-    Null keys and texts match nothing.  Words are sorted once a side, and a ratio
-    is worked out once for different texts.
+    Null keys and texts match nothing.  Words are sorted once a side, a ratio is
+    worked out once for different texts, and a bucket's texts meet once, each
+    with its smallest right id, so rows that repeat a text make no pairs.
     """
+    keys = list(keys)
     l, r = left.withColumn("_a", sorted_tokens(F.col(a))), right.withColumn("_b", sorted_tokens(F.col(b)))
-    pairs = l.join(r, list(keys)).filter("_a is not null and _b is not null")
-    scored = pairs.select("_a", "_b").distinct().withColumn("score", token_sort_ratio(F.col("_a"), F.col("_b")))
-    pairs = pairs.join(scored, ["_a", "_b"])
-    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), right_id))).filter("_r = 1").drop("_r", "_a", "_b")
-    return best.filter((F.col("score") >= least) | F.col(a).contains(F.col(b)) | F.col(b).contains(F.col(a)))
+    held = [c for c in right.columns if c not in keys]
+    texts = r.filter("_b is not null").groupBy(*keys, "_b").agg(F.min_by(F.struct(*held), F.struct(right_id)).alias("_r"))
+    met = spread_join(l.filter("_a is not null").select(*keys, "_a").distinct(), texts.select(*keys, "_b", F.col("_r")[right_id].alias("_i")), keys)
+    scored = met.select("_a", "_b").distinct().withColumn("score", token_sort_ratio(F.col("_a"), F.col("_b")))
+    first = Window.partitionBy(*keys, "_a").orderBy(F.desc("score"), "_i")
+    best = met.join(scored, ["_a", "_b"]).withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*keys, "_a", "_b", "score")
+    found = l.join(best, [*keys, "_a"]).join(texts, [*keys, "_b"]).select(*left.columns, *[F.col("_r")[c].alias(c) for c in held], "score")
+    one = found.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), right_id))).filter("_n = 1").drop("_n")
+    return one.filter((F.col("score") >= least) | F.col(a).contains(F.col(b)) | F.col(b).contains(F.col(a)))
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:

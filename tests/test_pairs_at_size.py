@@ -25,3 +25,16 @@ def test_any_key_pairs_are_not_grouped(spark):
             want.setdefault((i, j), set()).update(agree)
     assert sorted((r.i, r.j, r.agree) for r in got.collect()) == sorted((*k, sorted(v)) for k, v in want.items())
     assert "Aggregate" not in above_join(got)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_token_sort_meets_texts_once(spark):
+    """Rows that repeat a text make no pairs; ties go to the smallest right id of all."""
+    a = spark.createDataFrame([(i, "k", "ab cd" if i % 2 else "xy") for i in range(6)], "id int, k string, a string")
+    b = spark.createDataFrame([("k", "cd ab", 9), ("k", "ab cd", 4), ("k", "ab cd", 3), ("k", "qq", 1)], "k string, b string, other int")
+    got = J.best_token_sort(a, b, ["k"], "id", "a", "b", "other")
+    assert sorted((r.id, r.other, r.b, r.score) for r in got.collect()) == [(i, 3, "ab cd", 100.0) for i in (1, 3, 5)]
+    assert plan(got).count("Aggregate") >= 3
