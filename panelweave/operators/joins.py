@@ -73,13 +73,18 @@ def fuzzy_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], id_c
     """All left rows with the right rows of equal keys that are within each test's edits (left column, right column, most).
 
     ``distance`` is the sum over the tests; a left row without a match has nulls
-    once.  Null keys and texts match nothing.
+    once.  Null keys and texts match nothing.  Different texts of a block are
+    compared once.
     """
-    r = right.select(right_id, *[F.col(k).alias(f"_{k}") for k in keys], *[F.col(b).alias(f"_t{i}") for i, (_, b, _) in enumerate(tests)])
-    match = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.levenshtein(F.col(a), F.col(f"_t{i}"), most) >= 0 for i, (a, _, most) in enumerate(tests)])
-    out = left.join(r, match, "left")
-    distance = sum((F.levenshtein(F.col(a), F.col(f"_t{i}")) for i, (a, _, _) in enumerate(tests)), F.lit(0))
-    return out.withColumn("distance", distance).drop(*[f"_{k}" for k in keys], *[f"_t{i}" for i in range(len(tests))])
+    own, other = [f"_s{i}" for i in range(len(tests))], [f"_t{i}" for i in range(len(tests))]
+    l = left.withColumns({s: F.col(a) for s, (a, _, _) in zip(own, tests)})
+    r = right.select(right_id, *keys, *[F.col(b).alias(t) for t, (_, b, _) in zip(other, tests)])
+    known = lambda names: reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in names])
+    met = spread_join(l.select(*keys, *own).filter(known(own)).distinct(), r.select(*keys, *other).filter(known(other)).distinct(), keys)
+    near = met.filter(reduce(lambda x, y: x & y, [F.levenshtein(F.col(s), F.col(t), most) >= 0 for s, t, (_, _, most) in zip(own, other, tests)]))
+    near = near.withColumn("distance", sum((F.levenshtein(F.col(s), F.col(t)) for s, t in zip(own, other)), F.lit(0)))
+    found = spread_join(near, r, [*keys, *other]).select(*keys, *own, right_id, "distance")
+    return spread_join(l, found, [*keys, *own], "left").select(*left.columns, right_id, "distance")
 
 
 def similarity_left_join(left: DataFrame, right: DataFrame, a: str, b: str, most: float, keys: Sequence[tuple[Column, Column]]) -> DataFrame:

@@ -49,3 +49,11 @@ def test_levenshtein_join_compares_texts_once(spark):
     assert sorted((r.i, r.j) for r in got.collect()) == sorted(want) and "Aggregate" in plan(got)
     left = J.levenshtein_join(a, b, ["k"], "a", "b", 1, "left")
     assert {r.i for r in left.filter("j is null").collect()} == {3, 8} and left.count() == len(want) + 2
+
+
+def test_fuzzy_left_join_compares_texts_once(spark):
+    rows = [(0, "k", "ab", "cd"), (1, "k", "ab", "cd"), (2, "k", "ax", "cd"), (3, "k", None, "cd"), (4, None, "ab", "cd"), (5, "k", "zzzz", "cd")]
+    a, b = spark.createDataFrame(rows, "i int, k string, f string, l string"), spark.createDataFrame(rows[:4], "j int, k string, f string, l string")
+    got = J.fuzzy_left_join(a, b, ["k"], "i", [("f", "f", 1), ("l", "l", 0)], "j")
+    want = [(i, j, int(i // 2 != j // 2)) for i in range(3) for j in range(3)] + [(i, None, None) for i in (3, 4, 5)]
+    assert sorted(map(str, ((r.i, r.j, r.distance) for r in got.collect()))) == sorted(map(str, want)) and "Aggregate" in plan(got)
