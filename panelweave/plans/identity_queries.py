@@ -162,7 +162,7 @@ def residual_pairs(spark, d):
 two as (select x.id as id1, y.id as id2, x.first || x.title || x.id % 50 as k, x.last as l from b x join b y on x.first = y.first and x.last = y.last and x.title = y.title and x.id % 50 = y.id % 50 and x.id < y.id) select id1, id2, min((k, l))[1] as k, min((k, l))[2] as l from two anti join one using (id1, id2) group by 1, 2""")
 def second_pass(spark, d):
     p = persons(spark, d).withColumn("k", F.concat("first", "title", (F.col("id") % 50).cast("string"))).withColumn("l", F.col("last"))
-    return S.second_pass(J.block_pairs(p, ["k", "l"], "id"), J.block_pairs(p, ["state", "phone"], "id"), ["k", "l"])
+    return S.second_blocks(p, "id", ["state", "phone"], ["k", "l"])
 
 
 @register("q_two_column_join", "with n as (select distinct split_part(p_name, ' ', 1) as f, split_part(p_name, ' ', 2) as l from part), x as (select f || '|' || l as i, f, l from n) select a.i as id1, b.i as id2, levenshtein(a.f, b.f)::int as distance0, levenshtein(a.l, b.l)::int as distance1 from x a, x b where levenshtein(a.f, b.f) <= 2 and levenshtein(a.l, b.l) <= 2")

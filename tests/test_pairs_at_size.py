@@ -5,6 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from panelweave.operators import joins as J
+from panelweave.operators import pair_stages as S
 
 
 def above_join(df):
@@ -57,3 +58,13 @@ def test_fuzzy_left_join_compares_texts_once(spark):
     got = J.fuzzy_left_join(a, b, ["k"], "i", [("f", "f", 1), ("l", "l", 0)], "j")
     want = [(i, j, int(i // 2 != j // 2)) for i in range(3) for j in range(3)] + [(i, None, None) for i in (3, 4, 5)]
     assert sorted(map(str, ((r.i, r.j, r.distance) for r in got.collect()))) == sorted(map(str, want)) and "Aggregate" in plan(got)
+
+
+def test_second_blocks_make_no_first_pairs(spark):
+    """Against all pairs: null keys, ids with several blocks."""
+    rows = [(1, "s", 1, "a", "x"), (1, None, 2, "b", "y"), (2, "s", 2, "a", "x"), (2, "t", 1, "b", "y"), (3, "s", 1, "a", "x"), (4, "u", 1, "a", None), (None, "s", 1, "a", "x"), (5, "v", 3, "b", "y"), (5, "v", 3, "a", "x")]
+    df = spark.createDataFrame(rows, "id int, st string, ph int, k string, l string")
+    blocks = lambda i, at: {(r[at], r[at + 1]) for r in rows if r[0] == i and r[at] is not None and r[at + 1] is not None}
+    want = [(i, j, *min(blocks(i, 3) & blocks(j, 3))) for i, j in itertools.combinations(range(1, 6), 2) if blocks(i, 3) & blocks(j, 3) and not blocks(i, 1) & blocks(j, 1)]
+    got = S.second_blocks(df, "id", ["st", "ph"], ["k", "l"])
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and "Aggregate" not in above_join(got)
