@@ -5,6 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from panelweave.operators import joins as J
+from panelweave.operators import linkage as L
 from panelweave.operators import pair_stages as S
 
 
@@ -68,3 +69,12 @@ def test_second_blocks_make_no_first_pairs(spark):
     want = [(i, j, *min(blocks(i, 3) & blocks(j, 3))) for i, j in itertools.combinations(range(1, 6), 2) if blocks(i, 3) & blocks(j, 3) and not blocks(i, 1) & blocks(j, 1)]
     got = S.second_blocks(df, "id", ["st", "ph"], ["k", "l"])
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and "Aggregate" not in above_join(got)
+
+
+def test_components_broadcast_no_nodes(spark):
+    """Joins on nodes are merged, so that no table of nodes passes the driver."""
+    c = spark.createDataFrame([(i, i) for i in range(40)], "k int, id int")
+    links = c.filter("k % 4 < 2").select(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))
+    got = L.relabel_to_max(c, "id", links, "a", "b")
+    assert {(r.k, r.id) for r in got.collect()} == {(k, k - k % 4 + 2 if k % 4 <= 2 else k) for k in range(40)}
+    assert plan(got).count("strategy=merge") >= 2
