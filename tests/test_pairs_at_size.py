@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelweave.operators import joins as J
 from panelweave.operators import linkage as L
 from panelweave.operators import pair_stages as S
+from panelweave.plans import registry
 
 
 def above_join(df):
@@ -78,3 +79,11 @@ def test_components_broadcast_no_nodes(spark):
     got = L.relabel_to_max(c, "id", links, "a", "b")
     assert {(r.k, r.id) for r in got.collect()} == {(k, k - k % 4 + 2 if k % 4 <= 2 else k) for k in range(40)}
     assert plan(got).count("strategy=merge") >= 2
+
+
+def test_text_scalars_of_long_ids(spark, tmp_path):
+    """Ids of seven digits: not in the query, as in its SQL, and whole in the other."""
+    rows = [(7, "a-b", "x", "Brand#3"), (123456, "c", "c", "b"), (1234567, "d e", "f", "4")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    padded = lambda q: sorted(r.padded for r in registry.queries()[q](spark, str(tmp_path)).collect())
+    assert padded("q_text_scalars") == ["000007", "123456"] and padded("q_text_scalars_whole") == ["000007", "123456", "1234567"]
