@@ -123,7 +123,8 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
 def nearest_point(left: DataFrame, right: DataFrame, id_col: str, lat: str, lon: str, right_id: str, right_lat: str, right_lon: str, radius_km: float) -> DataFrame:
     """The nearest right point within a radius, by grid cells: latitude bands, and longitude cells as wide as the band needs.
 
-    Null coordinates match nothing.  Cells wrap at the antimeridian.
+    Null coordinates match nothing.  Cells wrap at the antimeridian.  Places meet
+    once, however many rows are there; a place's smallest right id stands for it.
     """
     step = radius_km / 111.0
 
@@ -139,12 +140,18 @@ def nearest_point(left: DataFrame, right: DataFrame, id_col: str, lat: str, lon:
     def cell(c, n):
         return F.pmod(F.floor((F.col(c) + 180.0) / 360.0 * n).cast("long"), n)
 
-    r = right.filter(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull()).withColumn("_b", band(right_lat)).withColumn("_c", cell(right_lon, cells(F.col("_b"))))
-    l = left.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_b", F.explode(F.array(*[band(lat) + d for d in (-1, 0, 1)])))
+    near = [c for c in right.columns]
+    r = right.filter(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull()).groupBy(F.col(right_lat).alias("_y"), F.col(right_lon).alias("_x")).agg(F.min_by(F.struct(*near), F.struct(right_id)).alias("_r"))
+    places = r.select("_y", "_x", F.col("_r")[right_id].alias("_i"), band("_y").alias("_b")).withColumn("_c", cell("_x", cells(F.col("_b"))))
+    l = left.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    own = l.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).distinct().withColumn("_b", F.explode(F.array(*[band("_lat") + d for d in (-1, 0, 1)])))
     n = cells(F.col("_b"))  # a band next to the pole's may reach into it
-    l = l.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(cell(lon, n) + d, n) for d in (-1, 0, 1)]))))
-    pairs = l.join(r, ["_b", "_c"]).withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon))).filter(F.col("km") <= radius_km)
-    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy("km", right_id))).filter("_r = 1").drop("_r", "_b", "_c")
+    own = own.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(cell("_lon", n) + d, n) for d in (-1, 0, 1)]))))
+    met = spread_join(own, places, ["_b", "_c"]).withColumn("km", haversine_km(F.col("_lat"), F.col("_lon"), F.col("_y"), F.col("_x"))).filter(F.col("km") <= radius_km)
+    best = met.groupBy("_lat", "_lon").agg(F.min(F.struct("km", "_i", "_y", "_x")).alias("_m")).select("_lat", "_lon", "_m.*").drop("_i")
+    found = best.join(r.hint("merge"), ["_y", "_x"]).select("_lat", "_lon", "km", *[F.col("_r")[c].alias(c) for c in near])
+    pairs = l.withColumns({"_lat": F.col(lat), "_lon": F.col(lon)}).join(found.hint("merge"), ["_lat", "_lon"]).select(*left.columns, *near, "km")
+    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy("km", right_id))).filter("_r = 1").drop("_r")
 
 
 def in_polygon(x: Column, y: Column, ring: Column) -> Column:

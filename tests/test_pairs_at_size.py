@@ -87,3 +87,12 @@ def test_text_scalars_of_long_ids(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
     padded = lambda q: sorted(r.padded for r in registry.queries()[q](spark, str(tmp_path)).collect())
     assert padded("q_text_scalars") == ["000007", "123456"] and padded("q_text_scalars_whole") == ["000007", "123456", "1234567"]
+
+
+def test_nearest_place_meets_once(spark):
+    """Repeated places: the smallest right id stands for one, and every left row has its answer."""
+    a = spark.createDataFrame([(i, 10.0, 179.9 if i < 4 else None) for i in range(5)], "i int, y double, x double")
+    b = spark.createDataFrame([(9, 10.0, -179.9, "p"), (3, 10.0, -179.9, "q"), (1, 10.0, -179.0, "r"), (0, None, 1.0, "s")], "j int, y2 double, x2 double, t string")
+    got = J.nearest_point(a, b, "i", "y", "x", "j", "y2", "x2", 400.0)
+    assert sorted((r.i, r.j, r.t) for r in got.collect()) == [(i, 3, "q") for i in range(4)]
+    assert "min_by" in plan(got)
