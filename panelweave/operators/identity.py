@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaro_winkler, normalized_levenshtein
+from .joins import SALTS, spread_join
 from .verbs import mode_per_group
 
 
@@ -176,11 +177,20 @@ def final_blocks(df: DataFrame, block: str, size: str, most: int, exceptions: Da
 
 
 def part_names(df: DataFrame, id_col: str, name: str) -> DataFrame:
-    """Pairs of ids id1 < id2, one of whose hyphenated names has the other's whole name as a part, and that part."""
+    """Pairs of ids id1 < id2, one of whose hyphenated names has the other's whole name as a part, and that part.
+
+    No pair is made twice, so none is shuffled: where both ids have the part and
+    the whole name, the smaller id's hyphenated name stands for both.
+    """
     n = df.select(F.col(id_col).alias("i"), F.lower(name).alias("n")).filter("n is not null").distinct()
-    parts = n.filter(F.col("n").contains("-")).select(F.col("i").alias("id_h"), F.explode(F.array_distinct(F.split("n", "-"))).alias("n")).filter("n <> ''")
-    hit = parts.join(n.filter(~F.col("n").contains("-")), "n").filter("id_h <> i")
-    return hit.select(F.least("id_h", "i").alias("id1"), F.greatest("id_h", "i").alias("id2"), F.col("n").alias("part")).distinct()
+    parts = n.filter(F.col("n").contains("-")).select("i", F.explode(F.array_distinct(F.split("n", "-"))).alias("n")).filter("n <> ''").distinct()
+    plain = n.filter(~F.col("n").contains("-"))
+    ends = parts.withColumn("_h", F.lit(True)).unionByName(plain.withColumn("_h", F.lit(False))).groupBy("i", "n").agg(F.bool_or("_h").alias("_h"), F.bool_or(~F.col("_h")).alias("_w"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    h = ends.filter("_h").select(F.col("i").alias("id_h"), "n", F.col("_w").alias("_both"), salts.alias("_salt"))
+    w = ends.filter("_w").select("i", "n", F.col("_h").alias("_too"), F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int").alias("_salt"))
+    hit = spread_join(h, w, ["n", "_salt"]).filter("id_h < i or (id_h > i and not (_both and _too))")
+    return hit.select(F.least("id_h", "i").alias("id1"), F.greatest("id_h", "i").alias("id2"), F.col("n").alias("part"))
 
 
 def two_column_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, a: Sequence[str], b: Sequence[str], most: int = 2) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from panelweave.operators import identity as I
 from panelweave.operators import joins as J
 from panelweave.operators import linkage as L
 from panelweave.operators import pair_stages as S
@@ -96,3 +97,11 @@ def test_nearest_place_meets_once(spark):
     got = J.nearest_point(a, b, "i", "y", "x", "j", "y2", "x2", 400.0)
     assert sorted((r.i, r.j, r.t) for r in got.collect()) == [(i, 3, "q") for i in range(4)]
     assert "min_by" in plan(got)
+
+
+def test_part_names_each_pair_once(spark):
+    rows = [(1, "a-b"), (2, "B"), (2, "b-c"), (1, "b"), (3, "a"), (3, None), (4, "a--a"), (5, "c")]
+    low = [(i, n.lower()) for i, n in rows if n]
+    want = {(min(i, j), max(i, j), m) for i, n in low for j, m in low if i != j and "-" in n and m and m in n.split("-")}
+    got = I.part_names(spark.createDataFrame(rows, "i int, n string"), "i", "n")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and "Aggregate" not in above_join(got)
