@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import durable
+from .joins import SALTS, spread_join
 
 
 class CheckFailed(ValueError):
@@ -64,8 +65,18 @@ def merge_audit(joined: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
-    """On all common columns; null matches null."""
+    """On all common columns; null matches null.
+
+    Inner and left joins on columns of the same type, floating ones apart, have one
+    text as their key, so that few values with many rows are dealt into tasks.
+    """
     on = [c for c in left.columns if c in right.columns]
+    kinds = [(left.schema[c].dataType, right.schema[c].dataType) for c in on]
+    if how in ("inner", "left") and all(a == b and a.typeName() in ("byte", "short", "integer", "long", "string", "date", "boolean") for a, b in kinds):
+        key = F.to_json(F.struct(*on)).alias("_k")
+        l = left.select("*", key, F.pmod(F.xxhash64(*[f.name for f in left.schema if f.dataType.typeName() != "map"]), F.lit(SALTS)).cast("int").alias("_salt"))
+        dealt = right.select(*[c for c in right.columns if c not in on], key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        return spread_join(l, dealt, ["_k", "_salt"], how).drop("_k", "_salt")
     r = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
     match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
     return left.join(r, match, how).drop(*[f"_r_{c}" for c in on])

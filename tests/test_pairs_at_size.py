@@ -8,6 +8,7 @@ from panelweave.operators import identity as I
 from panelweave.operators import joins as J
 from panelweave.operators import linkage as L
 from panelweave.operators import pair_stages as S
+from panelweave.operators import verbs as V
 from panelweave.plans import registry
 
 
@@ -105,3 +106,11 @@ def test_part_names_each_pair_once(spark):
     want = {(min(i, j), max(i, j), m) for i, n in low for j, m in low if i != j and "-" in n and m and m in n.split("-")}
     got = I.part_names(spark.createDataFrame(rows, "i int, n string"), "i", "n")
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and "Aggregate" not in above_join(got)
+
+
+def test_natural_join_deals_frequent_keys(spark):
+    a = spark.createDataFrame([(None if i % 3 == 0 else i % 3, "n", i) for i in range(9)], "k long, n string, i int")
+    b = spark.createDataFrame([(None, "n", 1), (1, "n", 2), (1, "m", 3), (1, None, 4)], "k long, n string, j int")
+    got = V.natural_join(a, b)
+    assert got.columns == ["k", "n", "i", "j"] and "strategy=merge" in plan(got)
+    assert {(r.i, r.j) for r in got.collect()} == {(i, {0: 1, 1: 2, 2: None}[i % 3]) for i in range(9)} and got.count() == 9
