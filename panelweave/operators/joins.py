@@ -13,6 +13,8 @@ from ..functions.text import jaro_winkler, sorted_tokens, token_sort_ratio
 EARTH_KM = 6371.0
 #: A join that may make many rows of few runs in so many tasks, however small its tables are; a frequent value's rows are dealt into SALTS parts.
 JOIN_TASKS, SALTS = 96, 16
+#: Fixed value: rows of a task, where their number tells how many tasks there are.
+TASK_ROWS = 250_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -211,13 +213,14 @@ def block_sizes(df: DataFrame, block: Sequence[str], id_col: str) -> DataFrame:
     return n.withColumn("pairs", F.floor(F.col("ids") * (F.col("ids") - 1) / 2))
 
 
-def block_pairs(df: DataFrame, block: Sequence[str], id_col: str, largest: int | None = None, then: Sequence[str] = ()) -> DataFrame:
-    """Pairs id1 < id2 of a block, each once; null ids and null keys make none.
+def block_pairs(df: DataFrame, block: Sequence[str], id_col: str, largest: int | None = None, then: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
+    """Pairs id1 < id2 of a block, each once; null ids and null keys make none.  ``tasks``: how many make them, where the table's size should say.
 
     Blocks of more than ``largest`` ids are split by the further keys ``then``;
     without such keys they raise.
     """
-    d = df.select(*block, *then, id_col).filter(F.col(id_col).isNotNull()).distinct()
+    d = df.select(*block, *then, id_col).filter(F.col(id_col).isNotNull())
+    d = (d.repartition(tasks, *block) if tasks else d).distinct()
     pairs = lambda x, on: x.select(*on, F.col(id_col).alias("id1")).distinct().join(x.select(*on, F.col(id_col).alias("id2")).distinct(), list(on)).filter("id1 < id2")
     if largest is None:
         return pairs(d, list(block))

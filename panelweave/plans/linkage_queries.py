@@ -72,7 +72,9 @@ def pair_rules(spark, d):
 
 @register("q_cohold_pairs", "with d as (select distinct l_orderkey, l_suppkey from lineitem) select a.l_suppkey as id1, b.l_suppkey as id2, count(*) as n from d a join d b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey group by 1, 2")
 def cohold(spark, d):
-    return J.block_pairs(table(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey").groupBy("id1", "id2").agg(F.count("*").alias("n"))
+    t = table(spark, d, "lineitem")
+    tasks = max(J.JOIN_TASKS, t.count() // J.TASK_ROWS)  # so that a task's memory doesn't grow with the table
+    return J.block_pairs(t, ["l_orderkey"], "l_suppkey", tasks=tasks).repartition(tasks, "id1", "id2").groupBy("id1", "id2").agg(F.count("*").alias("n"))
 
 
 _XY = "select {k} as id, (({k} * 7919) % 1400) / 10.0 - 70 as lat, (({k} * 104729) % 3600) / 10.0 - 180 as lon from {t}"

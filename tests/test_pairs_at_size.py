@@ -114,3 +114,9 @@ def test_natural_join_deals_frequent_keys(spark):
     got = V.natural_join(a, b)
     assert got.columns == ["k", "n", "i", "j"] and "strategy=merge" in plan(got)
     assert {(r.i, r.j) for r in got.collect()} == {(i, {0: 1, 1: 2, 2: None}[i % 3]) for i in range(9)} and got.count() == 9
+
+
+def test_tasks_of_pairs_follow_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(J, "TASK_ROWS", 50)
+    n = registry.table(spark, sf, "lineitem").count() // 50
+    assert "RepartitionByExpression [id1" in plan(registry.queries()["q_cohold_pairs"](spark, sf)) and f", {n}" in plan(registry.queries()["q_cohold_pairs"](spark, sf))
