@@ -139,7 +139,7 @@ _LABEL, _PLACE = S.stage_sql()
 @register("q_pair_stages", f"with c as (select c_custkey as id, c_nationkey as n, c_mktsegment as s from customer), p as (select a.id as id1, b.id as id2 from c a join c b on a.n = b.n and a.s = b.s and a.id < b.id), f as (select id1, id2, {', '.join(f'{e} as {k}' for k, e in _FEATURES.items())} from p) select id1, id2, {_LABEL} as label, {_PLACE} as stage from f")
 def pair_stages(spark, d):
     c = table(spark, d, "customer")
-    pairs = J.block_pairs(c, ["c_nationkey", "c_mktsegment"], "c_custkey").select("id1", "id2")
+    pairs = J.block_pairs(c, ["c_nationkey", "c_mktsegment"], "c_custkey", dealt=True).select("id1", "id2")
     features = pairs.withColumns({k: F.expr(e.replace("//", "div")) for k, e in _FEATURES.items()})
     return S.label_pairs(features).select("id1", "id2", "label", "stage")
 

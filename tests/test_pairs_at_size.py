@@ -120,3 +120,13 @@ def test_tasks_of_pairs_follow_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(J, "TASK_ROWS", 50)
     n = registry.table(spark, sf, "lineitem").count() // 50
     assert "RepartitionByExpression [id1" in plan(registry.queries()["q_cohold_pairs"](spark, sf)) and f", {n}" in plan(registry.queries()["q_cohold_pairs"](spark, sf))
+
+
+def test_rules_are_one_chain_and_blocks_are_dealt(spark):
+    df = spark.createDataFrame([(i, "b") for i in range(30)] + [(99, None), (None, "b")], "i int, b string")
+    p = J.block_pairs(df, ["b"], "i", dealt=True).select("id1", "id2")
+    assert sorted(tuple(r) for r in p.collect()) == list(itertools.combinations(range(30), 2)) and "strategy=merge" in plan(p)
+    got = L.apply_rules(p.withColumn("x", F.when(F.col("id1") > 2, F.col("id1"))), [[("SAME", F.col("x") == 7)], [("DIFFERENT", F.col("x") < 9), ("SAME", F.col("id2") == 29)]])
+    for r in got.collect():
+        assert (r.label, r.stage) == (("SAME", 1) if r.id1 == 7 else ("DIFFERENT", 2) if 2 < r.id1 < 9 else ("SAME", 2) if r.id2 == 29 else ("UNDECIDED", None))
+    assert plan(got).count("= 7)") == 1
