@@ -130,3 +130,16 @@ def test_rules_are_one_chain_and_blocks_are_dealt(spark):
     for r in got.collect():
         assert (r.label, r.stage) == (("SAME", 1) if r.id1 == 7 else ("DIFFERENT", 2) if 2 < r.id1 < 9 else ("SAME", 2) if r.id2 == 29 else ("UNDECIDED", None))
     assert plan(got).count("= 7)") == 1
+
+
+def test_block_features_shuffle_no_pair(spark):
+    """Blocks of several chunks, null names, values, ids and keys, long names; the same as features of pairs that were made before."""
+    rows = [(i if i % 50 else None, "ab"[i % 2] if i % 31 else None, None if i % 41 == 0 else f"f{i % 5}", None if i % 37 == 0 else f"Name {i * 7919 % 1000}" * (9 if i % 29 == 0 else 1), [None, "x", "yz"][i % 3]) for i in range(620)]
+    df = spark.createDataFrame(rows + [(7, "b", "f2", "a", "q")], "id long, k string, first string, last string, p string")
+    got = L.block_features(df, ["k"], "id", "first", "last", ["k", "p"])
+    want = L.pair_features(J.block_pairs(df, ["k"], "id").select("id1", "id2"), df, "id", "first", "last", ["k", "p"])
+    names = ["id1", "id2", "first_lev", "last_lev", "first_jw", "last_jw", "shared_k", "shared_p", "total_shared", "nickname"]
+    rows = sorted(map(str, got.select(names).collect()))
+    assert rows == sorted(map(str, want.select(names).collect())) and len(rows) > 80_000
+    tree = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in tree.split("MapInArrow")[0]
