@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelweave.operators import identity as I
 from panelweave.operators import joins as J
 from panelweave.operators import linkage as L
+from panelweave.operators import pair_records as R
 from panelweave.operators import pair_stages as S
 from panelweave.operators import verbs as V
 from panelweave.plans import registry
@@ -143,3 +144,26 @@ def test_block_features_shuffle_no_pair(spark):
     assert rows == sorted(map(str, want.select(names).collect())) and len(rows) > 80_000
     tree = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in tree.split("MapInArrow")[0]
+
+
+def test_record_features_are_made_where_pairs_are(spark):
+    """Ids with several blocks, without records of a year, title, state or name; what a pair is told by hand; no shuffle of pairs."""
+    schema = "id long, year int, first string, last string, old_first string, old_last string, title string, name string, entity string, system string, address string, zip string, state int, gender string, kind string, block string"
+    rec = lambda i, year, first, last, title, state, block: (i, year, first, last, first, last, title, *["v"] * 5, state, "F", "k", block)
+    rows = [
+        rec(1, 1, "maria", "lee", "x", 5, "b"), rec(1, 2, "maria", "lee", "y", 6, "c"), rec(1, 2, "maria", "lee", "x", 6, "c"), rec(2, 2, "mari", "lea", "z", 7, "b"), rec(2, 2, "mari", "lea", "y", 7, "c"),
+        rec(3, 4, "maria", "lee", "z", 5, "b"), rec(4, None, None, "q", "x", None, "b"), rec(None, 1, "a", "b", "x", 5, "b"), rec(5, 1, "m", None, None, None, "c"), rec(6, 2, "m", None, "x", 1, None), rec(2, 3, "mari", "lea", "x", None, "b"),
+    ]
+    r = spark.createDataFrame(rows, schema)
+    tables = spark.createDataFrame([("maria", "mari")], "name1 string, name2 string"), spark.createDataFrame([("maria", "mr"), ("mari", "mr")], "name string, code string"), spark.createDataFrame([(6, 7, 100.5), (7, 6, 100.5)], "a int, b int, miles double")
+    got = R.block_record_features(r, "block", *tables, ["x"], ["y"])
+    rows = {(x.id1, x.id2): x for x in got.collect()}
+    assert got.count() == len(rows) and set(rows) == {(1, 2), (1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4)}
+    a, b = rows[1, 2], rows[1, 3]
+    # In year 2 titles x, y meet y, z: y goes with x in one of its four rows, z with y in one of two.
+    assert (a.nick, a.same_code, a.apart_years, a.miles, a.overlap, a.first_lev, a.last_lev, a.p_diff) == (True, True, 1, 100.5, 1, 1, 1, None) and a.p_same == 0.25
+    assert (b.nick, b.apart_years, b.miles, b.overlap, b.p_same) == (False, 0, 0.0, 0, None)
+    assert rows[1, 4].first_lev is None and rows[1, 4].p_same is None and rows[1, 4].p_diff is None
+    pairs = spark.createDataFrame(list(rows), "id1 long, id2 long")
+    assert sorted(map(str, R.record_features(pairs, r, *tables, ["x"], ["y"]).collect())) == sorted(map(str, rows.values()))
+    assert "Aggregate" not in above_join(got) and got._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0].count("Exchange") == 0
