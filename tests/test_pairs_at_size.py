@@ -167,3 +167,15 @@ def test_record_features_are_made_where_pairs_are(spark):
     pairs = spark.createDataFrame(list(rows), "id1 long, id2 long")
     assert sorted(map(str, R.record_features(pairs, r, *tables, ["x"], ["y"]).collect())) == sorted(map(str, rows.values()))
     assert "Aggregate" not in above_join(got) and got._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0].count("Exchange") == 0
+
+
+def test_resolution_carries_no_features(spark, monkeypatch):
+    """What a pass keeps of a pair is two ids, bits, a label and a stage, and features that go with counts of pairs; labels as told rule by rule."""
+    kept = []
+    monkeypatch.setattr(R, "durable", lambda df: kept.append(df.columns) or df.localCheckpoint())
+    stages = {1: [("SAME", "x = 1"), ("DIFFERENT", "x = 2 and y > 0")], 2: [("DIFFERENT", "y < 0 and not linked1 and not linked2"), ("SAME", "y = 5 and (linked1 or linked2)")], 3: [("SAME", "linked1 and pairs1 >= z")]}
+    rows = [(1, 2, 1, 0, 9, 0), (1, 3, 0, 5, 9, 0), (4, 5, 0, 5, 9, 0), (6, 7, 0, -1, 9, 0), (6, 8, None, None, 9, 0), (1, 9, 0, -1, 1, 0), (10, 11, 2, 1, 0, 0)]
+    f = spark.createDataFrame(rows, "id1 long, id2 long, x int, y int, z int, unread int")
+    got = {(r.id1, r.id2): (r.label, r.stage) for r in R.resolve_in_stages(f, (1, 2, 3), stages).collect()}
+    assert got == {(1, 2): ("SAME", 1), (1, 3): ("SAME", 2), (4, 5): ("UNDECIDED", None), (6, 7): ("DIFFERENT", 2), (6, 8): ("UNDECIDED", None), (1, 9): ("SAME", 3), (10, 11): ("DIFFERENT", 1)}
+    assert all(set(c) <= {"id1", "id2", "_held0", "z", "label", "stage"} for c in kept)
