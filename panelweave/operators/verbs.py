@@ -176,13 +176,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequ
 
     A sketch cuts each group into ``pieces``; the different values are counted in
     these, and only the pieces that hold a wanted place are put in order, so no
-    task holds a whole group, be it the table.
+    task holds a whole group, be it the table.  The sketch is kept: it depends on
+    the order in which its parts arrive, and pieces that are counted by one sketch
+    and put in order by another would give wrong places.
     """
     names = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
     k = [F.col(c).alias(n) for c, n in zip(keys, names)] or [F.lit(0).alias("_k0")]
     v = df.select(*k, F.col(value).alias("_v")).filter("_v is not null")
     places = ", ".join(str(i / pieces) for i in range(1, pieces))
-    cuts = v.groupBy(*names).agg(F.expr(f"approx_percentile(_v, array({places}), 1000)").alias("_cuts"), F.count("*").alias("_n"))
+    cuts = durable(v.groupBy(*names).agg(F.expr(f"approx_percentile(_v, array({places}), 1000)").alias("_cuts"), F.count("*").alias("_n")))
     match = lambda other, on: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in on])
     right = lambda t, on: t.withColumnsRenamed({c: f"_r{c}" for c in on})
     d = v.groupBy(*names, "_v").agg(F.count("*").alias("_m")).join(right(cuts, names), match(cuts, names)).drop(*[f"_r{c}" for c in names])
@@ -204,7 +206,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequ
 
 def median_split(df: DataFrame, entity: str, value: str) -> DataFrame:
     """Each entity's median, the median of those, and ``above`` (strictly; null without a median)."""
-    per = df.groupBy(entity).agg(F.expr(f"percentile(`{value}`, 0.5)").alias("median"))
+    per = durable(df.groupBy(entity).agg(F.expr(f"percentile(`{value}`, 0.5)").alias("median")))
     cut = exact_quantiles(per, [], "median", [0.5]).select(F.col("q")[0].alias("cut"))
     return per.join(F.broadcast(cut)).select(entity, "median", "cut", (F.col("median") > F.col("cut")).alias("above"))  # one row
 

@@ -179,3 +179,10 @@ def test_resolution_carries_no_features(spark, monkeypatch):
     got = {(r.id1, r.id2): (r.label, r.stage) for r in R.resolve_in_stages(f, (1, 2, 3), stages).collect()}
     assert got == {(1, 2): ("SAME", 1), (1, 3): ("SAME", 2), (4, 5): ("UNDECIDED", None), (6, 7): ("DIFFERENT", 2), (6, 8): ("UNDECIDED", None), (1, 9): ("SAME", 3), (10, 11): ("DIFFERENT", 1)}
     assert all(set(c) <= {"id1", "id2", "_held0", "z", "label", "stage"} for c in kept)
+
+
+def test_quantiles_use_one_sketch(spark):
+    """A sketch that each branch of the plan works out anew may differ between them; the value is that of the sorted column."""
+    df = spark.range(0, 20_001, 1, 24).select((F.col("id") * 7919 % 20_001).cast("double").alias("v"))
+    got = V.exact_quantiles(df, [], "v", [0.5, 0.25])
+    assert "percentile" not in plan(got) and got.first().q == [10_000.0, 5_000.0]
