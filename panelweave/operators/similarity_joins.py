@@ -1,4 +1,4 @@
-"""Joins on similar texts that lose no pair and need no blocking key: an index that is proven to hold every pair within the bound.
+"""Joins on similar texts that lose no pair and need no blocking key: by letters that a pair must have in common, or an index that is proven to hold every pair within the bound.
 
 Both compare different texts only, each pair once; rows come back by equi joins.
 """
@@ -7,15 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import alignment_distance, deletions, jaro_winkler, let
+from ..functions.text import alignment_distance, deletions, winkler_pairs
+from .joins import chunks, spread_join
 
 #: Winkler's weight of a common first letter, the Jaro similarity over which it counts, the most letters that do.
 WEIGHT, BOOST_OVER, FIRST_LETTERS = 0.1, 0.7, 4
-#: Letters from frequent to rare; only the index's selectivity depends on it.
-FREQUENT = "eaionrtlsucdmhgbpyfkvwzjxq"
+#: Texts of a chunk, parts of a side's chunks.
+TEXTS, GRID = 1000, 8
 _EPS = 1e-9
 
 
@@ -25,91 +28,59 @@ def least_jaro(least: float, common: int, weight: float = WEIGHT) -> float:
     return max(min(BOOST_OVER, least), boosted)
 
 
-def letters(c: Column) -> Column:
-    """A text's letters, each with its number among equal ones, rare ones first: what two texts have in common of it bounds their matches."""
-    def counted(chars: Column) -> Column:
-        def one(ch: Column, i: Column) -> Column:
-            turn = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == ch))
-            place = F.call_function("instr", F.lit(FREQUENT), ch)
-            rarity = F.when(place == 0, 40).otherwise(place) + (turn - 1) * 6
-            return F.concat(F.lpad((F.lit(9999) - rarity).cast("string"), 4, "0"), ch, turn.cast("string"))
-
-        return F.array_sort(F.transform(chars, one))
-
-    chars = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1)))
-    return F.when(F.length(c) > 0, let(chars, counted)).otherwise(F.array().cast("array<string>"))
-
-
-def least_common(n: Column, other: Column, jaro: float) -> Column:
-    """Letters that texts of these lengths have in common at least, if they reach ``jaro``."""
-    return F.greatest(F.lit(1), F.ceil((3 * jaro - 1) * n * other / (n + other) - _EPS)).cast("int")
-
-
-def _classes(weight: float) -> range:
-    """Numbers of equal first letters that make a difference."""
-    return range(FIRST_LETTERS + 1) if weight else range(1)
-
-
-def _index(texts: DataFrame, c: str, least: float, weight: float) -> DataFrame:
-    """Rows (key, text, n, bits) of an index that any pair reaching ``least`` meets in.
-
-    A pair with ``l`` equal first letters (4: or more) shares these, and by its
-    Jaro similarity a number of letters.  Where it shares two or more, it shares
-    the two rarest shared ones among the first of both texts; else any one.
-    ``bits`` has a bit for each letter, by hash.
-    """
-    # The letters go through a shuffle, so that no later expression works them out again.
-    t = texts.select(F.col(c).alias("text"), F.length(c).alias("n"), letters(F.col(c)).alias("tokens")).repartition("text")
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
-    t = t.withColumn("bits", F.aggregate("tokens", F.lit(0).cast("long"), lambda all_, x: all_.bitwiseOR(bit(x))))
-    none = F.array().cast("array<string>")
-    classes = []
-    for common in _classes(weight):
-        jaro = least_jaro(least, common, weight)
-        shortest = F.greatest(F.lit(1), F.ceil((3 * jaro - 2) * F.col("n") - _EPS))
-        fewest = least_common(F.col("n"), shortest, jaro)
-        head = F.slice("tokens", F.lit(1), F.greatest(F.lit(2), F.col("n") - F.greatest(F.lit(2), fewest) + 2))
-        keys = F.concat(F.when(F.col("n") >= 2, _twos(head)).otherwise(none), F.when(fewest <= 1, F.col("tokens")).otherwise(none))
-        begin = F.concat(F.lit(f"{common}:"), F.left("text", F.lit(common)), F.lit(":"))
-        classes.append(F.when(F.col("n") >= common, F.transform(keys, _prefixed(begin))).otherwise(none))
-    return t.select(F.explode(F.array_distinct(F.concat(*classes))).alias("key"), "text", "n", "bits")
-
-
-def _twos(head: Column) -> Column:
-    """All pairs of an array's values, in order, as one text each."""
-    def pairs(h: Column) -> Column:
-        return F.flatten(F.transform(h, lambda x, i: F.transform(F.slice(h, i + 2, F.size(h)), lambda y: F.concat(x, y))))
-
-    return let(head, pairs)
-
-
-def _prefixed(begin: Column):
-    return lambda k: F.concat(begin, k)
+def letter_bits(texts: np.ndarray) -> np.ndarray:
+    """64 bits of each text: one by each letter and its number among equal ones.  A bit that only one text has is a letter that the other lacks."""
+    out = np.zeros(len(texts), dtype=np.uint64)
+    for k, t in enumerate(texts):
+        turns: dict[str, int] = {}
+        bits = 0
+        for ch in t:
+            turn = turns[ch] = turns.get(ch, 0) + 1
+            bits |= 1 << (ord(ch) + 29 * (turn - 1)) % 64
+        out[k] = bits
+    return out
+
+
+def _similar(a: np.ndarray, b: np.ndarray, least: float, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs of two chunks' texts that reach ``least``, and their similarity; a pair that has too few letters in common by its bits is not compared."""
+    n, m = (np.array([len(t) for t in side], dtype=np.float64) for side in (a, b))
+    p, q = letter_bits(a), letter_bits(b)
+    most = np.minimum(n[:, None] - np.bitwise_count(p[:, None] & ~q), m - np.bitwise_count(q & ~p[:, None]))
+    # Pairs with equal first letters need fewer of the rest; the fewest that any pair needs.
+    jaro = least_jaro(least, FIRST_LETTERS if weight else 0, weight)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        needed = np.maximum(1, np.ceil((3 * jaro - 1) * n[:, None] * m / (n[:, None] + m) - _EPS))
+    i, j = np.nonzero((most >= needed) | ((n[:, None] == 0) & (m == 0)))
+    s = winkler_pairs(a, b, i, j, weight, BOOST_OVER) if len(i) else np.zeros(0)
+    near = s >= least
+    return i[near], j[near], s[near]
 
 
 def similar_texts(left: DataFrame, right: DataFrame, a: str, b: str, least: float, weight: float = WEIGHT) -> DataFrame:
     """``_a``, ``_b``, ``similarity``: all pairs of different values of both columns with a Jaro-Winkler similarity of ``least`` at least.
 
     ``weight`` 0 gives plain Jaro.  Nulls are in no pair; empty texts pair with
-    each other only.
+    each other only.  A task meets a chunk of each side at a time, so what meets
+    without being similar is neither kept nor shuffled.
     """
     if least < 0.5:
         raise ValueError("under 0.5 shared letters bound nothing")
-    x = left.select(F.col(a).alias("_t")).filter("_t is not null").distinct()
-    y = right.select(F.col(b).alias("_t")).filter("_t is not null").distinct()
-    xs = _index(x, "_t", least, weight).select("key", F.col("text").alias("_a"), F.col("n").alias("_na"), F.col("bits").alias("_ba"))
-    ys = _index(y, "_t", least, weight).select("key", F.col("text").alias("_b"), F.col("n").alias("_nb"), F.col("bits").alias("_bb"))
-    needed = F.lit(least_jaro(least, max(_classes(weight)), weight))
-    for common in reversed(_classes(weight)[:-1]):  # fewer equal first letters need more of the rest
-        needed = F.when(F.left("_a", F.lit(common + 1)) != F.left("_b", F.lit(common + 1)), least_jaro(least, common, weight)).otherwise(needed)
-    shared = F.greatest(F.lit(1), F.ceil((needed * 3 - 1) * F.col("_na") * F.col("_nb") / (F.col("_na") + F.col("_nb")) - _EPS))
-    # A bit that only one text has is a letter that the other lacks.
-    lacks = lambda p, q: F.bit_count(F.col(p).bitwiseAND(F.bitwise_not(F.col(q))))
-    enough = (F.col("_na") - lacks("_ba", "_bb") >= shared) & (F.col("_nb") - lacks("_bb", "_ba") >= shared)
-    met = xs.join(ys, "key").filter(enough).select("_a", "_b").distinct()
-    scored = met.withColumn("similarity", jaro_winkler(F.col("_a"), F.col("_b"), p=weight)).filter(F.col("similarity") >= least)
-    empty = x.filter("_t = ''").join(y.filter("_t = ''"), "_t").select(F.col("_t").alias("_a"), F.col("_t").alias("_b"), F.lit(1.0).alias("similarity"))
-    return scored.unionByName(empty)
+    x = left.select(F.col(a).alias("_a")).filter("_a is not null").distinct()
+    y = right.select(F.col(b).alias("_b")).filter("_b is not null").distinct()
+    # Chunks are dealt into a grid, in which each meets all of the other side: a chunk is sent GRID times, however many there are.
+    part, all_ = F.col("_chunk") % GRID, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID - 1).cast("long")))
+    xs = chunks(x, [], "_a", "_x", TEXTS).select("_x", part.alias("_p"), all_.alias("_q"))
+    ys = chunks(y, [], "_b", "_y", TEXTS).select("_y", part.alias("_q"), all_.alias("_p"))
+    met = spread_join(xs, ys, ["_p", "_q"])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c)[k].values.field(0).to_numpy(zero_copy_only=False) for c in ("_x", "_y"))
+                i, j, s = _similar(x, y, least, weight)
+                yield pa.RecordBatch.from_arrays([pa.array(x[i], pa.string()), pa.array(y[j], pa.string()), pa.array(s, pa.float64())], ["_a", "_b", "similarity"])
+
+    return met.select("_x", "_y").mapInArrow(run, "_a string, _b string, similarity double")
 
 
 def similarity_left_join(left: DataFrame, right: DataFrame, a: str, b: str, most: float, weight: float = WEIGHT) -> DataFrame:

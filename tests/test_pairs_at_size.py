@@ -9,6 +9,7 @@ from panelweave.operators import joins as J
 from panelweave.operators import linkage as L
 from panelweave.operators import pair_records as R
 from panelweave.operators import pair_stages as S
+from panelweave.operators import similarity_joins as X
 from panelweave.operators import verbs as V
 from panelweave.plans import registry
 
@@ -186,3 +187,12 @@ def test_quantiles_use_one_sketch(spark):
     df = spark.range(0, 20_001, 1, 24).select((F.col("id") * 7919 % 20_001).cast("double").alias("v"))
     got = V.exact_quantiles(df, [], "v", [0.5, 0.25])
     assert "percentile" not in plan(got) and got.first().q == [10_000.0, 5_000.0]
+
+
+def test_similar_texts_shuffle_no_candidates(spark):
+    """Several chunks of each side; texts that meet are compared where they meet."""
+    word = lambda i: "".join("abcdefgh"[i // 8**k % 8] for k in range(5))
+    a, b = spark.createDataFrame([(word(i * 7),) for i in range(1500)], "a string"), spark.createDataFrame([(word(i * 11),) for i in range(1200)], "b string")
+    got = X.similar_texts(a, b, "a", "b", 0.95, weight=0.0)
+    assert {(r._a, r._b) for r in got.collect()} == {(word(i),) * 2 for i in {i * 7 for i in range(1500)} & {i * 11 for i in range(1200)}}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
