@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alignment_distance, deletions, winkler_pairs
-from .joins import chunks, spread_join
+from .joins import CHUNK_ROWS, JOIN_TASKS, chunks, spread_join
 
 #: Winkler's weight of a common first letter, the Jaro similarity over which it counts, the most letters that do.
 WEIGHT, BOOST_OVER, FIRST_LETTERS = 0.1, 0.7, 4
@@ -90,30 +90,47 @@ def similarity_left_join(left: DataFrame, right: DataFrame, a: str, b: str, most
     return left.join(matched, F.col(a) == F.col("_a"), "left").drop("_a")
 
 
+def _within(met: DataFrame, a: str, b: str, most: int, name: str) -> DataFrame:
+    """Rows whose texts are within ``most`` edits; exploded, as a plain column would be worked out again for the filter."""
+    return met.withColumn(name, F.explode(F.array(alignment_distance(F.col(a), F.col(b))))).filter(F.col(name) <= most)
+
+
 def aligned_texts(left: DataFrame, right: DataFrame, a: str, b: str, most: int) -> DataFrame:
     """``_a``, ``_b``, ``distance``: all pairs of different values within ``most`` edits, a swap of neighbours being one.
 
     The index is what is left of a text with ``most`` letters or fewer taken out:
-    any such pair has one of these texts in common.
+    any such pair has one of these texts in common, and is kept at the least of
+    them, so what meets is compared in its task and only near pairs leave it.
     """
     x = left.select(F.col(a).alias("_a")).filter("_a is not null").distinct().withColumn("_k", F.explode(deletions(F.col("_a"), most)))
     y = right.select(F.col(b).alias("_b")).filter("_b is not null").distinct().withColumn("_k", F.explode(deletions(F.col("_b"), most)))
-    met = x.join(y, "_k").select("_a", "_b").distinct().filter(F.levenshtein("_a", "_b", 2 * most) >= 0)
-    return met.withColumn("distance", alignment_distance(F.col("_a"), F.col("_b"))).filter(F.col("distance") <= most)
+    least = F.array_min(F.array_intersect(deletions(F.col("_a"), most), deletions(F.col("_b"), most)))
+    met = x.join(y.hint("merge"), "_k").filter(F.col("_k") == least).select("_a", "_b")
+    return _within(met, "_a", "_b", most, "distance")
 
 
 def aligned_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, a: Sequence[str], b: Sequence[str], most: int = 2) -> DataFrame:
     """Pairs of ids whose two columns are each within ``most`` edits (see ``aligned_texts``), with both distances; a null column makes no pair.
 
-    The key is of both columns: a first value near one's own and a remainder of
-    the second.  So the holders of a frequent first value don't all meet.
+    Near first values bring their chunks of second values together, which are
+    compared where they meet; so a frequent first value is many chunks in many
+    tasks.  The column with more different values should come first.  Ids of a
+    frequent pair of values come back in parts of some CHUNK_ROWS, each in a task
+    of its own.
     """
-    x = left.select(left_id, F.col(a[0]).alias("_x0"), F.col(a[1]).alias("_x1")).filter("_x0 is not null and _x1 is not null")
-    y = right.select(right_id, F.col(b[0]).alias("_y0"), F.col(b[1]).alias("_y1")).filter("_y0 is not null and _y1 is not null")
-    firsts = aligned_texts(x, y, "_x0", "_y0", most).select(F.col("_a").alias("_x0"), F.col("_b").alias("_y0"), F.col("distance").alias("distance0"))
-    xs = x.select("_x0", "_x1").distinct().join(firsts, "_x0").withColumn("_k", F.explode(deletions(F.col("_x1"), most)))
-    ys = y.select("_y0", "_y1").distinct().withColumn("_k", F.explode(deletions(F.col("_y1"), most)))
-    met = xs.join(ys, ["_y0", "_k"]).select("_x0", "_x1", "_y0", "_y1", "distance0").distinct().filter(F.levenshtein("_x1", "_y1", 2 * most) >= 0)
-    seconds = met.select("_x1", "_y1").distinct().withColumn("distance1", alignment_distance(F.col("_x1"), F.col("_y1"))).filter(F.col("distance1") <= most)
-    pairs = met.join(seconds, ["_x1", "_y1"])
-    return x.join(pairs, ["_x0", "_x1"]).join(y, ["_y0", "_y1"]).select(left_id, right_id, "distance0", "distance1")
+    def dealt(df: DataFrame, id_col: str, columns: Sequence[str], s: str) -> tuple[DataFrame, DataFrame]:
+        """Different values with their number of parts, rows with their part."""
+        rows = df.select(id_col, *[F.col(c).alias(f"_{s}{i}") for i, c in enumerate(columns)]).filter(f"_{s}0 is not null and _{s}1 is not null")
+        on = [f"_{s}0", f"_{s}1"]
+        values = rows.groupBy(*on).agg(F.ceil(F.count("*") / CHUNK_ROWS).alias(f"_{s}n"))
+        return values, rows.join(values.hint("merge"), on).withColumn(f"_{s}p", F.pmod(F.xxhash64(id_col), F.col(f"_{s}n"))).drop(f"_{s}n")
+
+    (xs, x), (ys, y) = dealt(left, left_id, a, "x"), dealt(right, right_id, b, "y")
+    firsts = aligned_texts(xs, ys, "_x0", "_y0", most).select(F.col("_a").alias("_x0"), F.col("_b").alias("_y0"), F.col("distance").alias("distance0"))
+    held = lambda values, s: chunks(values, [f"_{s}0"], f"_{s}1", f"_{s}", CHUNK_ROWS).withColumnRenamed("_chunk", f"_{s}c")
+    met = held(xs, "x").join(firsts.hint("merge"), "_x0").join(held(ys, "y").hint("merge"), "_y0").repartition(JOIN_TASKS, "_x0", "_xc", "_y0", "_yc")
+    second = met.withColumn("_x", F.explode("_x")).withColumn("_y", F.explode("_y")).select("_x0", "_y0", "distance0", "_x.*", "_y.*").filter(F.levenshtein("_x1", "_y1", 2 * most) >= 0)
+    parts = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pairs = _within(second, "_x1", "_y1", most, "distance1").withColumn("_xp", parts("_xn")).withColumn("_yp", parts("_yn")).drop("_xn", "_yn")
+    found = spread_join(pairs, x, ["_x0", "_x1", "_xp"]).select(left_id, "_y0", "_y1", "_yp", "distance0", "distance1")
+    return spread_join(found, y, ["_y0", "_y1", "_yp"]).select(left_id, right_id, "distance0", "distance1")

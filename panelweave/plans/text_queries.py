@@ -160,7 +160,8 @@ select x.id1, y.id1 as id2, damerau_levenshtein(x.f, y.f)::int as distance0, dam
 def aligned_names(spark, d):
     w = F.split(F.lower(T.ascii_fold(T.squish(F.col("name")))), " ")
     n = clients(spark, d).filter("client_id is not null").select(F.col("client_id").alias("id1"), w[0].alias("f"), F.element_at(w, -1).alias("l")).distinct()
-    return S.aligned_join(n, n.withColumnRenamed("id1", "id2"), "id1", "id2", ["f", "l"], ["f", "l"], 1).filter("id1 < id2")
+    pairs = S.aligned_join(n, n.withColumnRenamed("id1", "id2"), "id1", "id2", ["l", "f"], ["l", "f"], 1).filter("id1 < id2")
+    return pairs.select("id1", "id2", F.col("distance1").alias("distance0"), F.col("distance0").alias("distance1"))
 
 
 @register("q_faulty_csv", "select 'audit' as what, count(*) as rows, count(*) filter (client_id % 7 = 0 or client_id % 11 = 0) as bad from clients where client_id is not null union all select 'tolerant', count(*) filter (client_id % 7 > 0 and client_id % 11 > 0), 0 from clients where client_id is not null")

@@ -196,3 +196,17 @@ def test_similar_texts_shuffle_no_candidates(spark):
     got = X.similar_texts(a, b, "a", "b", 0.95, weight=0.0)
     assert {(r._a, r._b) for r in got.collect()} == {(word(i),) * 2 for i in {i * 7 for i in range(1500)} & {i * 11 for i in range(1200)}}
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+
+
+def test_aligned_join_spreads_frequent_values(spark):
+    """Texts that met are worked out once, and a frequent pair of values makes its rows in several tasks; ids without a value and repeated rows count as before."""
+    rows = [(i, "ab", "cd") for i in range(700)] + [(i, "zz", "cd") for i in range(700, 900)] + [(900, "ba", "cxd"), (901, None, "cd"), (902, "ab", None), (900, "ba", "cxd"), (None, "ab", "cdd"), (903, "", "c")]
+    a = spark.createDataFrame(rows, "i int, f string, l string").repartition(1)
+    b = a.toDF("j", "g", "m")
+    got = X.aligned_join(a, b, "i", "j", ["f", "l"], ["g", "m"], 1)
+    assert plan(got).count("ArrowEvalPython") == 2
+    found = got.withColumn("p", F.spark_partition_id()).collect()
+    n = {(x, y): sum(1 for r in found if (r.distance0, r.distance1) == (x, y)) for x, y in {(r.distance0, r.distance1) for r in found}}
+    # (0, 0): both groups with themselves, the repeated row four times, two single rows; (1, 1): swapped and a letter more, with the group and with the row without an id.
+    assert n == {(0, 0): 700 * 700 + 200 * 200 + 4 + 1 + 1, (0, 1): 2 * 700, (1, 1): 2 * 2 * 700 + 4}
+    assert len({r.p for r in found if r.i is not None and r.i < 700 and r.j is not None and r.j < 700}) > 3
