@@ -92,13 +92,26 @@ def claim_scores(claims: DataFrame) -> DataFrame:
     return out.withColumns({"same_name": same("name", "owner_name"), "same_city": same("city", "owner_city")}).drop("_clean", "_owner_clean")
 
 
+def _words(*texts: str) -> set[str]:
+    return set(re.findall(r"\w+", " ".join(texts)))
+
+
+def read_by(steps: list[Step], columns: list[str]) -> list[str]:
+    """``id``, ``period``, ``owner`` and those of ``columns`` that a step names, in their order."""
+    named = {"id", "period", "owner"}.union(*[_words(s.value, *[x for keys, flags in s.flags for x in (*keys, *flags.values())]) for s in steps])
+    return [c for c in columns if c in named]
+
+
 def settle_claims(claims: DataFrame, steps: list[Step] = STEPS) -> DataFrame:
     """``value`` and ``step``, the last step that gave it another value, of each claim; one claim for an id and period.
 
+    All columns of a claim are written at each step, so it should have no more than
+    ``id``, ``period``, ``owner`` and what the steps read (``read_by``).
+
     Each group's flags are summed and joined back, so no group is held by a task;
     null systems are no system.  A step begins with a durable table (one that only
     closes goes on with that of the step before), which all flags that don't need
-    each other are summed from.
+    each other are summed from; flags that a table has written already need no new one.
     """
     value = F.col("value") if "value" in claims.columns else F.lit(None)
     out = claims.withColumn("value", value.cast("long")).withColumn("step", F.lit(None).cast("string"))
@@ -108,7 +121,7 @@ def settle_claims(claims: DataFrame, steps: list[Step] = STEPS) -> DataFrame:
         start = out
         made: list[str] = []
         for keys, flags in step.flags:
-            if set(re.findall(r"\w+", " ".join([*keys, *flags.values()]))) & set(made):
+            if _words(*keys, *flags.values()) & set(made) - set(start.columns):
                 out = start = stored(out)
             per = start.groupBy(*keys).agg(*[F.expr(e).alias(name) for name, e in flags.items()])
             per = per.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)})

@@ -113,3 +113,21 @@ def test_claims_are_closed_and_overturned(spark):
     steps = [C.Step("all", [], "owner"), next(s for s in C.STEPS if s.name == "usual entity of several")]
     taken = spark.createDataFrame([row(1, p, 7, 1) for p in range(6)] + [row(2, 0, 7, 1)], schema)
     assert {(r.id, r.period): r.value for r in C.settle_claims(taken, steps).collect()} == {(1, p): 7 for p in range(6)} | {(2, 0): 0}
+
+
+def test_settled_claims_write_what_steps_read(spark, sf, monkeypatch):
+    """A step writes no table for flags that one holds already, and the query's claims carry no names or addresses through the steps."""
+    from panelweave.operators import claims as C
+
+    written = []
+    keep = C.stored
+    monkeypatch.setattr(C, "stored", lambda df: written.append(df.columns) or keep(df))
+    step = next(s for s in C.STEPS if s.name == "usual entity of the owner")
+    rows = [(1, 0, 7, 7), (1, 1, 7, 7), (1, 2, 7, None), (2, 0, 7, 0), (3, 0, 8, None)]
+    got = C.settle_claims(spark.createDataFrame(rows, "id long, period long, owner long, value long"), [step])
+    assert {(r.id, r.period): r.value for r in got.collect()} == {(1, 0): 7, (1, 1): 7, (1, 2): 7, (2, 0): 0, (3, 0): None}
+    assert len(written) == 3
+    seen = []
+    monkeypatch.setattr(C, "settle_claims", lambda claims: seen.append(claims.columns) or claims.selectExpr("id", "period", "owner", "0 as value", "'' as step"))
+    registry.queries()["q_settled_claims"](spark, sf)
+    assert set(seen[0]) == {"id", "period", "owner", "kind", "system", "sim", "clean_sim", "near_sim", "same_name", "same_city"}
