@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import identity as I
@@ -140,7 +142,8 @@ _LABEL, _PLACE = S.stage_sql()
 def pair_stages(spark, d):
     c = table(spark, d, "customer")
     pairs = J.block_pairs(c, ["c_nationkey", "c_mktsegment"], "c_custkey", dealt=True).select("id1", "id2")
-    features = pairs.withColumns({k: F.expr(e.replace("//", "div")) for k, e in _FEATURES.items()})
+    # Fractions are doubles, as in SQL, and not decimals.
+    features = pairs.withColumns({k: F.expr(re.sub(r"(\d\.\d+)", r"\1D", e.replace("//", "div"))) for k, e in _FEATURES.items()})
     return S.label_pairs(features).select("id1", "id2", "label", "stage")
 
 

@@ -210,3 +210,13 @@ def test_aligned_join_spreads_frequent_values(spark):
     # (0, 0): both groups with themselves, the repeated row four times, two single rows; (1, 1): swapped and a letter more, with the group and with the row without an id.
     assert n == {(0, 0): 700 * 700 + 200 * 200 + 4 + 1 + 1, (0, 1): 2 * 700, (1, 1): 2 * 2 * 700 + 4}
     assert len({r.p for r in found if r.i is not None and r.i < 700 and r.j is not None and r.j < 700}) > 3
+
+
+def test_rule_chain_is_compiled_apart(spark, sf):
+    """The chain of rules isn't fused into one method too large to be compiled, and fractions are no decimals."""
+    got = registry.queries()["q_pair_stages"](spark, sf)
+    tree = got._jdf.queryExecution().executedPlan().toString()
+    chain = [line for line in tree.splitlines() if "CASE WHEN coalesce(" in line]
+    assert chain and not any("*(" in line for line in chain) and "decimal" not in tree
+    labels = L.apply_rules(spark.createDataFrame([(None, 1), (2, None), (3, 3)], "x int, y int"), [[("SAME", F.col("x") == 3)], [("DIFFERENT", F.col("y") == 1)]])
+    assert {(r.x, r.label, r.stage) for r in labels.collect()} == {(None, "DIFFERENT", 2), (2, "UNDECIDED", None), (3, "SAME", 1)}
