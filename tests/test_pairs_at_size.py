@@ -220,3 +220,15 @@ def test_rule_chain_is_compiled_apart(spark, sf):
     assert chain and not any("*(" in line for line in chain) and "decimal" not in tree
     labels = L.apply_rules(spark.createDataFrame([(None, 1), (2, None), (3, 3)], "x int, y int"), [[("SAME", F.col("x") == 3)], [("DIFFERENT", F.col("y") == 1)]])
     assert {(r.x, r.label, r.stage) for r in labels.collect()} == {(None, "DIFFERENT", 2), (2, "UNDECIDED", None), (3, "SAME", 1)}
+
+
+def test_second_pass_leaves_no_pair_out(spark, tmp_path):
+    """Ids of one name and title meet whatever their remainders; chunks of a block meet too, each pair once."""
+    rows = [(4 * i, "red bolt" if i < 3 else "old ring", "LARGE", f"Brand#{i}", i) for i in range(5)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = registry.queries()["q_second_pass"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 1, "redLARGE", "bolt"), (0, 2, "redLARGE", "bolt"), (1, 2, "redLARGE", "bolt"), (3, 4, "oldLARGE", "ring")]
+    many = spark.range(2500).selectExpr("id", "id % 7 as s", "'k' as k", "id % 2 as l")
+    found = S.second_blocks(many, "id", ["s"], ["k", "l"])
+    want = sum(1 for i in range(2500) for j in range(i + 2, 2500, 2) if (j - i) % 7)
+    assert found.count() == want == found.distinct().count() and found.filter("id1 >= id2 or id1 % 2 <> id2 % 2 or l <> id1 % 2 or id1 % 7 = id2 % 7").count() == 0
