@@ -232,3 +232,39 @@ def test_second_pass_leaves_no_pair_out(spark, tmp_path):
     found = S.second_blocks(many, "id", ["s"], ["k", "l"])
     want = sum(1 for i in range(2500) for j in range(i + 2, 2500, 2) if (j - i) % 7)
     assert found.count() == want == found.distinct().count() and found.filter("id1 >= id2 or id1 % 2 <> id2 % 2 or l <> id1 % 2 or id1 % 7 = id2 % 7").count() == 0
+
+
+def test_decided_pairs_are_written_once(spark, monkeypatch):
+    """A pass writes the pairs that it judged and no others; conditions are compiled apart from what makes the features."""
+    kept = []
+    monkeypatch.setattr(R, "durable", lambda df: kept.append((df.localCheckpoint(), plan(df))) or kept[-1][0])
+    stages = {1: [("SAME", "x = 1"), ("DIFFERENT", "x = 2")], 2: [("DIFFERENT", "x = 3 and not linked1")], 3: [("SAME", "linked1 and x > 3")]}
+    f = spark.createDataFrame([(10 * k, 10 * k + 1, k) for k in range(6)], "id1 long, id2 long, x int")
+    got = {r.id1: (r.label, r.stage) for r in R.resolve_in_stages(f, (1, 2, 3), stages).collect()}
+    assert got == {0: ("UNDECIDED", None), 10: ("SAME", 1), 20: ("DIFFERENT", 1), 30: ("DIFFERENT", 2), 40: ("UNDECIDED", None), 50: ("UNDECIDED", None)}
+    assert [t.count() for t, _ in kept] == [6, 4, 3] and all("aggregate(" in p for _, p in kept)
+
+
+def test_record_features_compare_chunks(spark):
+    """Chunks of one block and several blocks of an id, each pair once, the same as of pairs that were made before; no row of an id is made for a pair."""
+    schema = "id long, year int, first string, last string, old_first string, old_last string, title string, name string, entity string, system string, address string, zip string, state int, gender string, kind string, block string"
+    word = lambda n: "".join("aeiorst"[n // 7**k % 7] for k in range(4))
+    rows = []
+    for n in range(1300):
+        i, first, last = n * 37 % 1000, word(n * 37 % 1000 % 40), word(n * 37 % 1000 % 300)
+        rows.append((i, n % 5 or None, first if i % 17 else None, last, first, last if i % 19 else "x" + last, "xyzw"[n % 4] if n % 13 else None, f"n{n % 7}", None, "s", f"a{i % 200}", f"z{n % 3}", n % 6 if n % 11 else None, "FM"[n % 2] if n % 3 else None, "kl"[i % 2], f"b{n % 2}" if n % 29 else None))
+    r = spark.createDataFrame(rows, schema)
+    names = spark.createDataFrame([(word(k), word(k + 1)) for k in range(0, 40, 3)], "name1 string, name2 string")
+    tables = names, names.toDF("name", "code"), spark.createDataFrame([(a, b, 100.25 * a + b) for a in range(6) for b in range(6) if a != b], "a int, b int, miles double")
+    got = R.block_record_features(r, "block", *tables, ["x"], ["y"])
+    tree = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in tree and "ArrowEvalPython" not in tree.split("SortMergeJoin")[0]
+    by_id = {}
+    for x in rows:
+        by_id.setdefault(x[0], set()).update([x[-1]] if x[-1] else [])
+    few = sorted(i for i in by_id if i % 9 == 0)
+    want = [(i, j) for i, j in itertools.combinations(few, 2) if by_id[i] & by_id[j]]
+    near = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in x]) for x in df.collect())
+    found = got.filter("id1 % 9 = 0 and id2 % 9 = 0")
+    assert near(found) == near(R.record_features(spark.createDataFrame(want, "id1 long, id2 long"), r, *tables, ["x"], ["y"]))
+    assert got.count() == sum(1 for i, j in itertools.combinations(by_id, 2) if by_id[i] & by_id[j])
