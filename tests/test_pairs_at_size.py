@@ -268,3 +268,18 @@ def test_record_features_compare_chunks(spark):
     found = got.filter("id1 % 9 = 0 and id2 % 9 = 0")
     assert near(found) == near(R.record_features(spark.createDataFrame(want, "id1 long, id2 long"), r, *tables, ["x"], ["y"]))
     assert got.count() == sum(1 for i, j in itertools.combinations(by_id, 2) if by_id[i] & by_id[j])
+
+
+def test_any_key_pairs_are_made_as_lists(spark):
+    """Several chunks of a value; a pair is no row of a join; ids with several values, one text of what agrees."""
+    a = spark.range(1500).selectExpr("id as i", "id % 3 as n", "if(id % 5 = 0, null, id % 40) as z").union(spark.range(30).selectExpr("id", "7 as n", "id as z"))
+    b = spark.range(2300).selectExpr("id as j", "if(id % 7 = 0, null, id % 4) as n", "id % 50 as z").union(spark.range(20).selectExpr("id", "7 as n", "1 as z"))
+    got = J.any_key_join(a, b, "i", "j", ["n", "z"], ";")
+    tree = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(_qs" in tree and "_rows1" in tree.split("MapInArrow")[1]
+    pairs = None
+    for k in ("n", "z"):
+        p = a.select("i", k).join(b.select("j", k), k).select("i", "j", F.lit(k).alias("k")).distinct()
+        pairs = p if pairs is None else pairs.union(p)
+    want = pairs.groupBy("i", "j").agg(F.array_join(F.array_sort(F.collect_list("k")), ";").alias("agree"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 700_000
