@@ -283,3 +283,11 @@ def test_any_key_pairs_are_made_as_lists(spark):
         pairs = p if pairs is None else pairs.union(p)
     want = pairs.groupBy("i", "j").agg(F.array_join(F.array_sort(F.collect_list("k")), ";").alias("agree"))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 700_000
+
+
+def test_a_block_is_compared_in_several_tasks(spark):
+    """Chunks of one large block are dealt into tasks; edit distances of texts that begin alike."""
+    df = spark.range(1700).selectExpr("id", "'b' as k", "'f' as first", "concat('Name#0000', id % 90) as last", "'s' as p")
+    got = L.block_features(df, ["k"], "id", "first", "last", ["p"]).withColumn("t", F.spark_partition_id())
+    assert got.count() == 1700 * 1699 // 2 and got.select("t").distinct().count() > 1
+    assert got.filter(F.col("last_lev") != F.levenshtein(F.concat(F.lit("Name#0000"), F.col("id1") % 90), F.concat(F.lit("Name#0000"), F.col("id2") % 90))).count() == 0
